@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import logs, spans
+from . import calls, logs, spans, training
 
-MODULES = (spans, logs)
+MODULES = (spans, logs, calls, training)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import to_epoch
+from ..operators.capture import build_spans
 from ..operators.turns import calls_from_turns
+from ..session import scratch_path
+from ..sinks import write_spans
+from ..sources import read_spans
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -207,6 +211,19 @@ def raw_calls(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_LAKES: dict[tuple[str, str], str] = {}
+
+
+def captured(spark: SparkSession, folder: str) -> DataFrame:
+    """The captured spans, read back from a lake that is written once per application and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _LAKES:
+        path = scratch_path(spark, "captured")
+        write_spans(build_spans(raw_calls(spark, folder)), path, window_minutes=60)
+        _LAKES[key] = path
+    return read_spans(spark, _LAKES[key]).drop("shard")
+
+
 # --- the same in SQL --------------------------------------------------------------------------
 
 CALLS = """
@@ -294,3 +311,49 @@ def shard_sql(seconds: str, minutes: int) -> str:
     day = f"make_timestamp((floor({seconds} / 86400) * 86400)::BIGINT * 1000000)"
     inside = f"(floor(({seconds} - floor({seconds} / 86400) * 86400) / {width}) * {width})::BIGINT"
     return f"strftime({day} + to_seconds({inside}), '%Y%m%d_%H%M%S')"
+
+
+def models(spark: SparkSession, folder: str) -> DataFrame:
+    """Model configuration for the models of the calls."""
+    number = (F.col("conv_id") % 3).cast("string")
+    target = F.when(number == "0", "openai/other").when(number == "1", "openai/Gemini-flash").otherwise("gemini/pro")
+    return (
+        table(spark, folder, "conversations")
+        .select(
+            F.concat(F.lit("model_"), number).alias("model_name"),
+            F.struct(
+                target.alias("model"),
+                F.lit("https://models.example/v1").alias("api_base"),
+                (number == "2").alias("drop_params"),
+            ).alias("litellm_params"),
+        )
+        .distinct()
+    )
+
+
+RAW = (
+    SPANS
+    + """,
+raw AS (
+  SELECT *, 'c-' || conv_id::VARCHAR || '-' || turn::VARCHAR AS tool_id,
+    'call-' || conv_id::VARCHAR || '-' || turn::VARCHAR AS call_id,
+    turn = 7 AS failed, conv_id % 3 AS kind,
+    substr(sha256('call-' || conv_id::VARCHAR || '-' || turn::VARCHAR), 33, 16) AS captured_id,
+    '[' || array_to_string(list_concat(list_transform(messages, lambda m: to_json(m)::VARCHAR),
+      CASE WHEN sequence_id % 2 = 1 THEN ['{"role":"tool","content":"result of c-' || conv_id::VARCHAR || '-' || turn::VARCHAR
+        || '","tool_call_id":"c-' || conv_id::VARCHAR || '-' || turn::VARCHAR || '"}'] ELSE []::VARCHAR[] END), ',')
+      || ']' AS stored
+  FROM spans
+),
+captured AS (
+  SELECT *,
+    CASE WHEN failed THEN NULL WHEN kind = 0 AND turn % 4 = 1 THEN 'because ' || tool_id
+      WHEN kind = 0 THEN 'because ' || tool_id WHEN kind = 2 THEN 'because ' || tool_id END AS reasoning,
+    CASE WHEN failed THEN NULL WHEN kind = 0 THEN '[{"id":"' || tool_id || '","type":"function","function":{"name":"lookup",'
+      || '"arguments":"{\\"q\\":' || turn::VARCHAR || '}"}}]'
+      ELSE '[{"id":"' || tool_id || '","name":"lookup","input":{"q":' || turn::VARCHAR || '}}]' END AS tool_calls,
+    CASE WHEN sequence_id % 2 = 1 THEN '[{"tool_call_id":"' || tool_id || '","content":"result of ' || tool_id || '"}]' END
+      AS tool_results
+  FROM raw
+)"""
+)

@@ -62,16 +62,12 @@ def parse_calls(raw: DataFrame) -> DataFrame:
 def split_malformed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls that can become spans, and the quarantine: arguments that are not a JSON object, messages
     that are not a list of objects, or a missing start time."""
-    keys = F.json_object_keys("kwargs")
-    messages = F.get_json_object(request_payload(F.col("kwargs")), "$.messages")
-    listed = F.from_json(messages, "ARRAY<STRING>")
-    objects = F.coalesce(F.forall(listed, lambda m: m.startswith("{")), F.lit(False))
-    explicit_null = F.array_contains(F.json_object_keys(request_payload(F.col("kwargs"))), "messages")
-    fine = F.coalesce(
-        keys.isNotNull()
+    messages = F.from_json(request_payload(F.col("kwargs")), "messages VARIANT")["messages"]
+    objects = F.forall(F.try_variant_get(messages, "$", "ARRAY<MAP<STRING, VARIANT>>"), lambda m: m.isNotNull())
+    fine = (
+        F.json_object_keys("kwargs").isNotNull()
         & F.col("start_time").isNotNull()
-        & F.when(messages.isNotNull(), objects).otherwise(~F.coalesce(explicit_null, F.lit(False))),
-        F.lit(False),
+        & (messages.isNull() | F.coalesce(objects, F.lit(False)))
     )
     return raw.where(fine), raw.where(~fine)
 
@@ -90,7 +86,7 @@ def system_prompt() -> Column:
 
 def stored_messages() -> Column:
     """The messages as JSON text without the leading system turn; every message keeps all its keys."""
-    rest = F.when(_leading_system(), F.slice("msg_texts", 2, 2147483647)).otherwise(F.col("msg_texts"))
+    rest = F.when(_leading_system(), F.slice("msg_texts", F.lit(2), F.size("msg_texts"))).otherwise(F.col("msg_texts"))
     return F.concat(F.lit("["), F.array_join(rest, ","), F.lit("]"))
 
 
