@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import calls, logs, spans, training
+from . import calls, lake, logs, sessions, spans, streams, training
 
-MODULES = (spans, logs, calls, training)
+MODULES = (spans, logs, calls, training, lake, sessions, streams)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

@@ -53,9 +53,8 @@ def spans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def event_spans(spark: SparkSession, folder: str) -> DataFrame:
+def as_event_spans(events: DataFrame) -> DataFrame:
     """``events`` as spans that are not calls: one trace per user, one parent per chain of four."""
-    events = table(spark, folder, "events")
     at = to_epoch(F.col("ts"))
     chained = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("e"), (F.col("event_id") - 1).cast("string")))
     return events.select(
@@ -75,15 +74,19 @@ def event_spans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def access_log(events: DataFrame) -> DataFrame:
-    """``events`` as access-log entries; also for a stream of them."""
+def event_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return as_event_spans(table(spark, folder, "events"))
+
+
+def log_columns() -> list[Column]:
+    """Access-log columns of an event."""
     kind, user, value = F.col("event_type"), F.col("user_id"), F.col("value")
     is_error, is_response = kind == "error", kind.isin("purchase", "signup")
     number = F.col("event_id").cast("string")
     entry = F.when(is_error, "error").when(is_response, "response").otherwise("request")
     path = F.concat(F.lit("/v1/"), kind, F.lit("/"), (user % 7).cast("string"))
     failed = F.when(is_error, "upstream").when((kind == "signup") & (user % 10 == 0), "timeout")
-    return events.select(
+    return [
         entry.alias("type"),
         F.when(is_response, F.concat(F.lit("r"), (F.col("event_id") - 1).cast("string")))
         .when(~is_error, F.concat(F.lit("r"), number))
@@ -98,7 +101,12 @@ def access_log(events: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("request_method"),
         F.lit(None).cast("string").alias("request_path"),
         F.when(is_response & (value >= 1), value).alias("duration_ms"),
-    )
+    ]
+
+
+def access_log(events: DataFrame) -> DataFrame:
+    """``events`` as access-log entries; also for a stream of them."""
+    return events.select(*log_columns())
 
 
 def log(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,14 +222,18 @@ def raw_calls(spark: SparkSession, folder: str) -> DataFrame:
 _LAKES: dict[tuple[str, str], str] = {}
 
 
-def captured(spark: SparkSession, folder: str) -> DataFrame:
-    """The captured spans, read back from a lake that is written once per application and folder."""
+def captured_path(spark: SparkSession, folder: str) -> str:
+    """A lake of the captured spans, written once per application and folder."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _LAKES:
         path = scratch_path(spark, "captured")
         write_spans(build_spans(raw_calls(spark, folder)), path, window_minutes=60)
         _LAKES[key] = path
-    return read_spans(spark, _LAKES[key]).drop("shard")
+    return _LAKES[key]
+
+
+def captured(spark: SparkSession, folder: str) -> DataFrame:
+    return read_spans(spark, captured_path(spark, folder)).drop("shard")
 
 
 # --- the same in SQL --------------------------------------------------------------------------

@@ -69,9 +69,14 @@ def latest_shard(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_access_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Access log lines; blank lines are dropped, broken lines keep their text in ``_corrupt_record``."""
-    reader = _reader(spark, streaming).schema(schemas.LOG)
-    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    """Access log lines; blank lines are dropped, broken lines keep their text in ``_corrupt_record``.
+
+    The lines are read as text and parsed by an expression, because the JSON source refuses queries
+    that need the broken lines only.
+    """
+    lines = _reader(spark, streaming).text(path).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    return lines.select(F.from_json("value", schemas.LOG, options).alias("entry")).select("entry.*")
 
 
 def split_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
