@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sinks, sources
-from ..operators import batches, store
+from ..operators import batches, spans as spans_ops, store
 from ..operators.sessions import with_date_hour
 from ..session import scratch_path
 from . import fixtures as fx
 from .calls import CAPTURED, captured_columns
 from .registry import registry
+from .spans import TOKENS
 
 QUERIES, ORACLE, query = registry()
 
@@ -44,6 +45,31 @@ def lake_one_shard(spark, folder):
     return spans.where(F.col("shard") == "20240115_120000").groupBy("name").agg(F.count("*").alias("spans"))
 
 
+@query("lake_token_totals", f"WITH {fx.RAW} SELECT model, {TOKENS} FROM raw WHERE NOT failed GROUP BY model")
+def lake_token_totals(spark, folder):
+    """Token totals from the promoted columns: the attribute text is not read."""
+    spans = sources.read_spans(spark, fx.captured_path(spark, folder), promoted=True)
+    return spans_ops.token_totals(spans.where(F.col("status") == "OK"), ["model"])
+
+
+@query(
+    "lake_latest_calls",
+    f"WITH {fx.RAW} SELECT captured_id AS span_id, model, start_time FROM raw ORDER BY start_time DESC, captured_id LIMIT 12",
+)
+def lake_latest_calls(spark, folder):
+    spans = sources.read_spans(spark, fx.captured_path(spark, folder), promoted=True)
+    return spans_ops.latest(spans, 12).select("span_id", "model", "start_time")
+
+
+@query(
+    "lake_rollout_lookup",
+    f"""WITH {fx.RAW} SELECT captured_id AS span_id, sequence_id, start_time FROM raw WHERE rollout_id = 'ro-000000000011'""",
+)
+def lake_rollout_lookup(spark, folder):
+    spans = sources.read_spans(spark, fx.captured_path(spark, folder))
+    return spans_ops.query_spans(spans, "ro-000000000011").select("span_id", "sequence_id", "start_time")
+
+
 @query(
     "lake_by_hour",
     f"""WITH {fx.SPANS}, timed AS (SELECT make_timestamp((start_time * 1000000)::BIGINT) AS ts FROM spans)

@@ -43,25 +43,23 @@ def retain_batches(
     filter that reaches the scan, whole slices after it are kept as they are, and only the slice that
     the boundary cuts is numbered.
     """
-    time = order[0]
-    piece = F.floor(F.col(time) / slice_seconds)
-    counts = df.groupBy(piece.alias("piece")).agg(F.count("*").alias("n"))
-    rows = counts.agg(F.sum("n")).first()[0] or 0
-    cutoff = first_kept(rows, size, keep_rows)
-    if cutoff == 0:
-        return df
+    # Rows without a time count as the oldest.
+    time = F.coalesce(F.col(order[0]), F.lit(-1e15))
+    counts = df.groupBy(F.floor(time / slice_seconds).alias("piece")).agg(F.count("*").alias("n"))
     # One row per time slice, whatever the number of rows in it.
     upto = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    boundary = (
-        counts.select("piece", "n", F.sum("n").over(upto).alias("total"))
-        .where(F.col("total") > cutoff)
-        .orderBy("piece")
-        .first()
+    totals = counts.select(
+        "piece", "n", F.sum("n").over(upto).alias("total"), F.sum("n").over(Window.partitionBy()).alias("rows")
     )
+    oldest = (F.floor((F.col("rows") - 1) / size) - keep_rows // size) * size
+    boundary = totals.where(F.col("total") > F.greatest(oldest, F.lit(0))).orderBy("piece").first()
+    cutoff = 0 if boundary is None else first_kept(boundary["rows"], size, keep_rows)
+    if cutoff == 0:
+        return df
     low = float(boundary["piece"] * slice_seconds)
     skip = cutoff - (boundary["total"] - boundary["n"])
-    inside = df.where((F.col(time) >= low) & (F.col(time) < low + slice_seconds))
-    after = df.where(F.col(time) >= low + slice_seconds)
+    inside = df.where((time >= low) & (time < low + slice_seconds))
+    after = df.where(F.col(order[0]) >= low + slice_seconds)
     if skip > 0:
         inside = global_ordinal(inside, order, "_place").where(F.col("_place") >= skip).drop("_place")
     return inside.unionByName(after)

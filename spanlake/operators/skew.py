@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 HEAVY_ROWS_CONF = "spanlake.skew.heavyRows"
-HEAVY_ROWS = 1_000_000
+HEAVY_ROWS = 250_000
 TRACKED = 65_536
 
 

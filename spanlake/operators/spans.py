@@ -97,6 +97,8 @@ def query_spans(
 
 def llm_calls(spans: DataFrame) -> DataFrame:
     """Spans that carry request messages; the text of a message is not mistaken for the key."""
+    if "is_call" in spans.columns:
+        return spans.where("is_call")
     return spans.where(attr(F.col("attributes"), "llm.request.messages").isNotNull())
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import truncate_text
+from ..sources import file_path, listed_files
 
 
 def _files(df: DataFrame) -> DataFrame:
@@ -17,35 +18,21 @@ def _files(df: DataFrame) -> DataFrame:
 
 
 def readable_file_stats(df: DataFrame) -> DataFrame:
-    """Rows and bytes per file that ``df`` reads."""
-    return (
-        df.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("bytes"))
-        .groupBy("file_name", "bytes")
-        .agg(F.count("*").alias("rows"))
-    )
-
-
-def listed_files(spark: SparkSession, path: str) -> DataFrame:
-    """Name and size of the Parquet files below ``path``; contents are not read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-    return listing.load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes")
-    )
+    """Rows and bytes per file that ``df`` reads; row counts come from the footers."""
+    path, size = file_path(F.col("_metadata.file_path")), F.col("_metadata.file_size")
+    return df.select(path.alias("path"), size.alias("bytes")).groupBy("path", "bytes").agg(F.count("*").alias("rows"))
 
 
 def file_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Rows and bytes per file, with an ``unreadable`` row for each file that cannot be read.
-
-    Empty files count as readable only if the listing and the read agree on at least one row, so a
-    file without rows is reported with 0 rows as ``empty_or_unreadable``.
-    """
+    """Rows and bytes per file. A listed file that gives no row is reported as ``empty_or_unreadable``."""
     reader = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
-    schema = read_schema(spark, path)
-    read = readable_file_stats(reader.schema(schema).parquet(path))
-    missing = listed_files(spark, path).join(read, ["file_name", "bytes"], "left_anti")
-    return read.select("file_name", "rows", "bytes", F.lit("ok").alias("state")).unionByName(
-        missing.select("file_name", F.lit(0).cast("bigint").alias("rows"), "bytes", F.lit("empty_or_unreadable").alias("state"))
+    read = readable_file_stats(reader.schema(read_schema(spark, path)).parquet(path))
+    listed = listed_files(spark, path).select("path", "bytes")
+    missing = listed.join(read, "path", "left_anti").withColumn("rows", F.lit(0).cast("bigint"))
+    both = read.withColumn("state", F.lit("ok")).unionByName(
+        missing.withColumn("state", F.lit("empty_or_unreadable"))
     )
+    return both.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "path", "rows", "bytes", "state")
 
 
 def read_schema(spark: SparkSession, path: str):

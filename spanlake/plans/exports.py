@@ -292,10 +292,10 @@ def train_test_split(
     slot = _hash_slot(keys, _SLOTS)
     upto = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # At most 65,536 rows.
-    counts = df.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(upto))
-    rows = counts.agg(F.max("total")).first()[0]
-    wanted = math.ceil(rows * test_size)
-    boundary = counts.where(F.col("total") >= wanted).orderBy("slot").first()
+    counts = df.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
+    totals = counts.withColumns({"total": F.sum("n").over(upto), "rows": F.sum("n").over(Window.partitionBy())})
+    boundary = totals.where(F.col("total") >= F.ceil(F.col("rows") * test_size)).orderBy("slot").first()
+    wanted = math.ceil(boundary["rows"] * test_size)
     take = wanted - (boundary["total"] - boundary["n"])
     cut = global_ordinal(df.where(slot == boundary["slot"]), keys, "_place")
     test = df.where(slot < boundary["slot"]).unionByName(cut.where(F.col("_place") < take).drop("_place"))

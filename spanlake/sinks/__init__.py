@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import shard_label
+from ..functions import shard_label, with_attrs
 from ..operators.sessions import with_date_hour
 
 _PART_COLUMNS = ("shard", "date", "hour", "batch_idx")
@@ -15,14 +15,25 @@ def with_shard(spans: DataFrame, window_minutes: int = 5) -> DataFrame:
     return spans.withColumn("shard", shard_label(F.col("start_time"), window_minutes))
 
 
+def with_promoted(spans: DataFrame) -> DataFrame:
+    """Add the attributes of ``schemas.PROMOTED`` as columns, from one parse per row."""
+    wanted = {"model": "llm.model", "_messages": "llm.request.messages"}
+    wanted |= {c: f"llm.usage.{c}" for c in ("prompt_tokens", "completion_tokens", "total_tokens")}
+    bare = spans.drop("model", "prompt_tokens", "completion_tokens", "total_tokens", "is_call")
+    return with_attrs(bare, **wanted).withColumn("is_call", F.col("_messages").isNotNull()).drop("_messages")
+
+
 def write_spans(spans: DataFrame, path: str, window_minutes: int = 5) -> None:
     """Append to the time-sharded lake.
 
     New files are added, nothing is read back. The rebalance hint groups rows by shard into files of
-    the advisory size: small shards share a task, a shard with very many rows is split.
+    the advisory size: small shards share a task, a shard with very many rows is split. Rows are
+    sorted by rollout inside a file, so that a rollout filter skips row groups. Model, token counters
+    and the call flag become columns.
     """
-    sharded = with_shard(spans, window_minutes).hint("rebalance", "shard")
-    sharded.write.partitionBy("shard").mode("append").parquet(path)
+    sharded = with_promoted(with_shard(spans, window_minutes)).hint("rebalance", "shard")
+    ordered = sharded.sortWithinPartitions("shard", "rollout_id", "start_time")
+    ordered.write.partitionBy("shard").mode("append").parquet(path)
 
 
 def write_spans_by_hour(spans: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
 
@@ -15,12 +15,14 @@ def _reader(spark: SparkSession, streaming: bool):
     return spark.readStream if streaming else spark.read
 
 
-def read_spans(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+def read_spans(spark: SparkSession, path: str, streaming: bool = False, promoted: bool = False) -> DataFrame:
     """The span lake, with its partition columns (``shard``, ``batch_idx``) when it has them.
 
-    Sub-folders are partitions here, so numbered batches are never invisible.
+    Sub-folders are partitions here, so numbered batches are never invisible. ``promoted`` adds the
+    attribute columns of a lake written by ``write_spans``; operators use them instead of the JSON.
     """
-    return _reader(spark, streaming).schema(schemas.SPAN).parquet(path)
+    schema = f"{schemas.SPAN}, {schemas.PROMOTED}" if promoted else schemas.SPAN
+    return _reader(spark, streaming).schema(schema).parquet(path)
 
 
 def in_file_order(df: DataFrame) -> DataFrame:
@@ -55,17 +57,24 @@ def read_batches(spark: SparkSession, path: str, batches: Sequence[int] | None =
     return df if batches is None else df.where(F.col("batch_idx").isin([int(b) for b in batches]))
 
 
+def file_path(path: Column) -> Column:
+    """A file path with one slash after its scheme, as readers differ there."""
+    return F.regexp_replace(path, "^([a-zA-Z0-9]+):/+", "$1:/")
+
+
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """Path, size and change time of the Parquet files below ``path``; contents are not read."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    return listing.load(path).select(
+        file_path(F.col("path")).alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")
+    )
+
+
 def latest_shard(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the file that was modified last; of several, the one with the largest name."""
-    stamped = read_spans(spark, path).select(
-        "*",
-        F.col("_metadata.file_modification_time").alias("_modified"),
-        F.col("_metadata.file_path").alias("_file"),
-    )
-    newest = stamped.agg(F.max(F.struct("_modified", "_file")).alias("top")).first()["top"]
-    if newest is None:
-        return stamped.drop("_modified", "_file")
-    return stamped.where(F.col("_file") == newest["_file"]).drop("_modified", "_file")
+    newest = listed_files(spark, path).agg(F.max(F.struct("modified", "path")).alias("top")).first()["top"]
+    spans = read_spans(spark, path)
+    return spans if newest is None else spans.where(file_path(F.col("_metadata.file_path")) == newest["path"])
 
 
 def read_access_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:

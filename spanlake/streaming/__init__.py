@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import iso_duration_ms
 from ..operators import batches
 from ..operators.store import batch_state
-from ..sinks import with_shard
+from ..sinks import with_promoted, with_shard
 from ..sources import read_spans
 
 
@@ -33,7 +33,7 @@ def start_span_sink(
     spans: DataFrame, path: str, checkpoint: str, window_minutes: int = 5, every: str | None = None
 ) -> StreamingQuery:
     """Append a span stream to the time-sharded lake, exactly once."""
-    writer = with_shard(spans, window_minutes).writeStream.partitionBy("shard").format("parquet")
+    writer = with_promoted(with_shard(spans, window_minutes)).writeStream.partitionBy("shard").format("parquet")
     return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
 
 
@@ -82,11 +82,19 @@ def _within(start: Column, end: Column, max_wait: str) -> Column:
     return (start <= end) & (end <= start + F.expr(f"interval {max_wait}"))
 
 
+def _join_key() -> Column:
+    spread = F.xxhash64("timestamp", "body", F.to_json("headers")).cast("string")
+    return F.coalesce("request_id", F.concat(F.lit("\x00"), spread))
+
+
 def correlate_stream(
     requests: DataFrame, responses: DataFrame, lateness: str = "1 hour", max_wait: str = "2 hours"
 ) -> DataFrame:
-    """Every response with its request. State of both sides is dropped once the watermark passes."""
-    asked = _timed(requests, "asked_at", lateness).select(
+    """Every response with its request. State of both sides is dropped once the watermark passes.
+
+    Responses without an id get a key of their own, so that they do not meet in one state partition.
+    """
+    asked = _timed(requests.where(F.col("request_id").isNotNull()), "asked_at", lateness).select(
         F.col("request_id").alias("asked_id"),
         "asked_at",
         F.col("timestamp").alias("request_timestamp"),
@@ -95,21 +103,22 @@ def correlate_stream(
     )
     derived = ("request_method", "request_path", "duration_ms")
     answered = _timed(responses.drop(*derived), "answered_at", lateness)
-    matching = (F.col("request_id") == F.col("asked_id")) & _within(F.col("asked_at"), F.col("answered_at"), max_wait)
+    answered = answered.withColumn("answer_key", _join_key())
+    matching = (F.col("answer_key") == F.col("asked_id")) & _within(F.col("asked_at"), F.col("answered_at"), max_wait)
     joined = answered.join(asked, matching, "left")
     elapsed = iso_duration_ms(F.col("request_timestamp"), F.col("timestamp"))
-    return joined.withColumn("duration_ms", elapsed).drop("asked_id", "asked_at", "answered_at")
+    return joined.withColumn("duration_ms", elapsed).drop("asked_id", "asked_at", "answered_at", "answer_key")
 
 
 def open_requests_stream(
     requests: DataFrame, responses: DataFrame, lateness: str = "1 hour", max_wait: str = "2 hours"
 ) -> DataFrame:
     """Requests whose response did not come within ``max_wait``."""
-    asked = _timed(requests, "asked_at", lateness)
-    answered = _timed(responses, "answered_at", lateness).select(F.col("request_id").alias("answered_id"), "answered_at")
-    matching = (F.col("request_id") == F.col("answered_id")) & _within(F.col("asked_at"), F.col("answered_at"), max_wait)
+    asked = _timed(requests, "asked_at", lateness).withColumn("ask_key", _join_key())
+    answered = _timed(responses.where(F.col("request_id").isNotNull()), "answered_at", lateness).select(F.col("request_id").alias("answered_id"), "answered_at")
+    matching = (F.col("ask_key") == F.col("answered_id")) & _within(F.col("asked_at"), F.col("answered_at"), max_wait)
     joined = asked.join(answered, matching, "left")
-    return joined.where(F.col("answered_id").isNull()).drop("answered_id", "answered_at", "asked_at")
+    return joined.where(F.col("answered_id").isNull()).drop("answered_id", "answered_at", "asked_at", "ask_key")
 
 
 def drop_duplicate_spans(spans: DataFrame, lateness: str = "1 hour") -> DataFrame:
