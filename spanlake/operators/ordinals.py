@@ -71,9 +71,11 @@ def group_ordinal(
     # One row per range partition and heavy group in it: bounded by the partitions plus the heavy list.
     pieces = placed.groupBy(_PART, *keys).agg(F.min(_POS).alias("_first"), F.count("*").alias("_n"))
     pieces = pieces.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first"))
-    same = [placed[_PART] == F.col("p._part")] + [placed[k].eqNullSafe(F.col(f"p.{k}")) for k in keys]
-    numbered = placed.join(F.broadcast(pieces.alias("p")), same).select(
-        *[placed[c] for c in df.columns], (F.col("p._start") + placed[_POS]).cast("bigint").alias(name)
+    same = [F.col(f"r.{_PART}") == F.col(f"p.{_PART}")]
+    same += [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    numbered = placed.alias("r").join(F.broadcast(pieces.alias("p")), same).select(
+        *[F.col(f"r.{c}") for c in df.columns],
+        (F.col("p._start") + F.col(f"r.{_POS}")).cast("bigint").alias(name),
     )
     plain = normal.withColumn(name, (F.row_number().over(in_group) - 1).cast("bigint"))
     return plain.unionByName(numbered)

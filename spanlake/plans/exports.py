@@ -106,11 +106,9 @@ def _heads_by_join(parts: DataFrame) -> DataFrame:
         F.min("timestamp").alias("timestamp"),
         F.sum("n_spans").alias("n_spans"),
     )
-    same = [parts[k].eqNullSafe(F.col(f"h.{k}")) for k in GROUP]
-    return parts.join(F.broadcast(heads.alias("h")), same).select(
-        *[parts[k] for k in GROUP],
-        parts["part"],
-        parts["trajectory"],
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in GROUP]
+    return parts.alias("r").join(F.broadcast(heads.alias("h")), same).select(
+        *[F.col(f"r.{c}") for c in (*GROUP, "part", "trajectory")],
         *[F.col(f"h.{c}") for c in ("query", "response", "model", "timestamp", "n_spans")],
     )
 
