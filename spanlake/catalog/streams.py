@@ -103,13 +103,13 @@ def _not_late(df):
 
 @query("stream_correlate", LINKED)
 def stream_correlate(spark, folder):
-    linked = streaming.correlate_stream(*_sides(_closed_log(spark, folder)))
+    linked = streaming.correlate_stream(*_sides(_closed_log(spark, folder)), max_wait="2 days")
     return linked_columns(_not_late(_finish(spark, streaming.start_append_sink, linked.drop("headers"), "linked")))
 
 
 @query("stream_open_requests", OPEN)
 def stream_open_requests(spark, folder):
-    waiting = streaming.open_requests_stream(*_sides(_closed_log(spark, folder)))
+    waiting = streaming.open_requests_stream(*_sides(_closed_log(spark, folder)), max_wait="2 days")
     found = _finish(spark, streaming.start_append_sink, waiting.select("request_id", "timestamp", "path"), "open")
     return _not_late(found)
 
