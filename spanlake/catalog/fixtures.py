@@ -233,7 +233,7 @@ def captured_path(spark: SparkSession, folder: str) -> str:
 
 
 def captured(spark: SparkSession, folder: str) -> DataFrame:
-    return read_spans(spark, captured_path(spark, folder)).drop("shard")
+    return read_spans(spark, captured_path(spark, folder), promoted=True).drop("shard")
 
 
 # --- the same in SQL --------------------------------------------------------------------------

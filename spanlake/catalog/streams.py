@@ -195,7 +195,7 @@ def stream_capture(spark, folder):
 def stream_sft(spark, folder):
     """The lake of captured spans to SFT records as a stream."""
     session = _session(spark)
-    spans = sources.read_spans(session, fx.captured_path(spark, folder), streaming=True)
+    spans = sources.read_spans(session, fx.captured_path(spark, folder), streaming=True, promoted=True)
     records = exports.spans_to_sft(spans).drop("metadata")
     return _finish(spark, streaming.start_append_sink, records, "sft")
 

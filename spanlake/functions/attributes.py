@@ -47,7 +47,11 @@ def attrs_struct(attributes: Column, *keys: str) -> Column:
 
 
 def with_attrs(df: DataFrame, **wanted: str) -> DataFrame:
-    """Promote attributes to columns: ``with_attrs(df, model="llm.model")``. One parse per row."""
-    parsed = df.withColumn("_attrs", attrs_struct(F.col("attributes"), *dict.fromkeys(wanted.values())))
-    columns = {name: F.col("_attrs").getField(key) for name, key in wanted.items()}
+    """Promote attributes to columns: ``with_attrs(df, model="llm.model")``. One parse per row, and none
+    for columns that the frame already has."""
+    missing = {name: key for name, key in wanted.items() if name not in df.columns}
+    if not missing:
+        return df
+    parsed = df.withColumn("_attrs", attrs_struct(F.col("attributes"), *dict.fromkeys(missing.values())))
+    columns = {name: F.col("_attrs").getField(key) for name, key in missing.items()}
     return parsed.withColumns(columns).drop("_attrs")

@@ -10,7 +10,7 @@ from .skew import join_unique
 SANITIZED_PARAMS = ("tool_choice", "tools", "tool_use", "parallel_tool_calls")
 
 # Prefix lists up to this length are put into the plan as literals; longer ones are joined.
-INLINE_PREFIXES = 1000
+INLINE_PREFIXES = 200
 
 
 def sanitize_model_set(models: DataFrame) -> DataFrame:

@@ -148,11 +148,10 @@ def call_view(spans: DataFrame) -> DataFrame:
 def token_totals(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sums of the three token counters, of a frame that has them as columns or as span attributes."""
     counters = ("prompt_tokens", "completion_tokens", "total_tokens")
-    if "prompt_tokens" not in records.columns:
-        wanted = {c: f"llm.usage.{c}" for c in counters}
-        if "model" in by and "model" not in records.columns:
-            wanted["model"] = "llm.model"
-        records = with_attrs(records, **wanted)
+    wanted = {c: f"llm.usage.{c}" for c in counters}
+    if "model" in by:
+        wanted["model"] = "llm.model"
+    records = with_attrs(records, **wanted)
     return records.groupBy(*by).agg(*[F.sum(c).cast("bigint").alias(c) for c in counters])
 
 

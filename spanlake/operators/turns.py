@@ -15,9 +15,16 @@ _KEYS = ["conv_id", "part"]
 
 
 def with_part(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """Add the part of the conversation that a turn belongs to."""
     return turns.withColumn("part", F.floor(F.col("turn") / part_turns).cast("bigint"))
 
 
+def _co_located(turns: DataFrame, part_turns: int) -> DataFrame:
+    """Turns with their part, shuffled on it. Shuffling here, before the window inputs are built, moves
+    every text once; the windows then need no shuffle of their own."""
+    return with_part(turns, part_turns).repartition(*_KEYS)
+
+
 def with_history(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """Add the messages before each turn: ``history`` (turn, role, text), system turns included.
 
@@ -27,7 +34,7 @@ def with_history(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     before = Window.partitionBy(*_KEYS).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     message = F.struct("turn", "role", "text")
     return (
-        with_part(turns, part_turns)
+        _co_located(turns, part_turns)
         .withColumn("history", F.collect_list(message).over(before))
         .withColumnRenamed("part", "history_parts")
     )
@@ -87,7 +94,7 @@ def calls_from_turns(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFram
     upto = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     plain = ~_is("system")
     message = F.struct(F.col("role"), F.col("text").alias("content"))
-    calls = with_part(turns, part_turns).select(
+    calls = _co_located(turns.select("conv_id", "turn", "role", "text"), part_turns).select(
         *_KEYS,
         "turn",
         "role",

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions import last_content, with_attrs
+from ..functions import attr, last_content, with_attrs
 from ..operators.ordinals import global_ordinal, group_ordinal
 from ..operators.skew import heavy_keys, join_unique, split_heavy
 from ..operators.spans import GROUP, llm_calls
@@ -36,16 +36,24 @@ def _nonempty(value: Column) -> Column:
 
 
 def spans_to_sft(spans: DataFrame) -> DataFrame:
-    """One SFT record per successful call with a response; the prompt is the last user message."""
+    """One SFT record per successful call with a response; the prompt is the last user message.
+
+    On a lake read with its promoted columns all three conditions are filters on columns.
+    """
+    answered = llm_calls(spans.where(F.col("status") == "OK"))
+    if "has_response" in spans.columns:
+        answered = answered.where("has_response")
+    else:
+        answered = answered.where(F.length(attr(F.col("attributes"), "llm.response.content")) > 0)
     calls = with_attrs(
-        llm_calls(spans.where(F.col("status") == "OK")),
+        answered,
         messages="llm.request.messages",
         response="llm.response.content",
         thought_chain="llm.response.reasoning",
         model="llm.model",
         **{c: f"llm.usage.{c}" for c in _TOKENS},
     )
-    return calls.where(F.length("response") > 0).select(
+    return calls.select(
         F.col("span_id").alias("id"),
         F.coalesce(last_content(F.col("messages")), F.lit("")).alias("prompt"),
         "response",

@@ -17,10 +17,13 @@ def with_shard(spans: DataFrame, window_minutes: int = 5) -> DataFrame:
 
 def with_promoted(spans: DataFrame) -> DataFrame:
     """Add the attributes of ``schemas.PROMOTED`` as columns, from one parse per row."""
-    wanted = {"model": "llm.model", "_messages": "llm.request.messages"}
+    wanted = {"model": "llm.model", "_messages": "llm.request.messages", "_response": "llm.response.content"}
     wanted |= {c: f"llm.usage.{c}" for c in ("prompt_tokens", "completion_tokens", "total_tokens")}
-    bare = spans.drop("model", "prompt_tokens", "completion_tokens", "total_tokens", "is_call")
-    return with_attrs(bare, **wanted).withColumn("is_call", F.col("_messages").isNotNull()).drop("_messages")
+    flags = {
+        "is_call": F.col("_messages").isNotNull(),
+        "has_response": F.coalesce(F.length("_response") > 0, F.lit(False)),
+    }
+    return with_attrs(spans.drop(*wanted, *flags), **wanted).withColumns(flags).drop("_messages", "_response")
 
 
 def write_spans(spans: DataFrame, path: str, window_minutes: int = 5) -> None:

@@ -15,14 +15,18 @@ def _reader(spark: SparkSession, streaming: bool):
     return spark.readStream if streaming else spark.read
 
 
-def read_spans(spark: SparkSession, path: str, streaming: bool = False, promoted: bool = False) -> DataFrame:
+def read_spans(
+    spark: SparkSession, path: str, streaming: bool = False, promoted: bool = False, skip_unreadable: bool = False
+) -> DataFrame:
     """The span lake, with its partition columns (``shard``, ``batch_idx``) when it has them.
 
     Sub-folders are partitions here, so numbered batches are never invisible. ``promoted`` adds the
     attribute columns of a lake written by ``write_spans``; operators use them instead of the JSON.
+    ``skip_unreadable`` leaves out broken files, which ``file_stats`` lists.
     """
     schema = f"{schemas.SPAN}, {schemas.PROMOTED}" if promoted else schemas.SPAN
-    return _reader(spark, streaming).schema(schema).parquet(path)
+    reader = _reader(spark, streaming).schema(schema)
+    return reader.option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(path)
 
 
 def in_file_order(df: DataFrame) -> DataFrame:
@@ -35,18 +39,19 @@ def head(df: DataFrame, n: int) -> DataFrame:
     return in_file_order(df).orderBy("file_name", "row_index").limit(n).drop("file_name", "row_index")
 
 
-def import_foreign(spark: SparkSession, source: str, target: str) -> DataFrame:
+def import_foreign(spark: SparkSession, source: str, target: str, skip_unreadable: bool = True) -> DataFrame:
     """Rewrite span files of other writers as typed files, and return the result.
 
     Such files may hold an untyped all-null column, which the vectorized reader rejects; the
     non-vectorized reader fills it as null. That reader is a session setting, so the import runs in a
-    session of its own and the lake keeps vectorized reads. Unreadable files fail the import unless
-    they are reported first by ``file_stats``.
+    session of its own and the lake keeps vectorized reads. Broken files are skipped or fail the
+    import; ``file_stats`` of the source lists them.
     """
     session = spark.newSession()
     session.conf.set("spark.sql.parquet.enableVectorizedReader", "false")
     session.conf.set("spark.sql.session.timeZone", "UTC")
-    files = session.read.schema(schemas.SPAN).option("recursiveFileLookup", "true").parquet(source)
+    reader = session.read.schema(schemas.SPAN).option("recursiveFileLookup", "true")
+    files = reader.option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(source)
     files.write.mode("append").parquet(target)
     return read_spans(spark, target)
 

@@ -58,6 +58,12 @@ def run(start: Callable[..., StreamingQuery], df: DataFrame, path: str, checkpoi
     start(df, path, checkpoint).awaitTermination()
 
 
+def sink_stats(query: StreamingQuery) -> dict[str, int]:
+    """Rows and micro-batches of the recent progress of a query."""
+    progress = [p for p in query.recentProgress if p.numInputRows]
+    return {"spans_added": sum(p.numInputRows for p in progress), "micro_batches": len(progress)}
+
+
 def shard_counts(spans: DataFrame, window_minutes: int = 5, lateness: str = "10 minutes") -> DataFrame:
     """Spans per tumbling time shard.
 

@@ -25,6 +25,9 @@ def tables():
 def test_query(spark, tables, name):
     df = entry.queries()[name](spark, FOLDER)
     got = rows(df.columns, df.collect())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        assert unwanted not in plan
     if name not in entry.oracle_sql():
         return
     result = tables.execute(entry.oracle_sql()[name])

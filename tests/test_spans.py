@@ -127,6 +127,10 @@ def test_foreign_files(spark, tmp_path):
     rows = {r["span_id"]: r for r in sources.import_foreign(spark, str(folder), target).collect()}
     assert rows["s0001"]["parent_id"] is None and rows["s0002"]["parent_id"] == "s0001" and rows["s0002"]["end_time"] is None
     (folder / "spans_20240101_001000.parquet").write_bytes(b"not parquet at all")
+    again = sources.import_foreign(spark, str(folder), scratch_path(spark, "imported"))
+    assert sorted(ids(again)) == ["s0001", "s0002"]
+    with pytest.raises(Exception):
+        sources.import_foreign(spark, str(folder), scratch_path(spark, "imported"), skip_unreadable=False)
     stats = {r["file_name"]: (r["rows"], r["state"]) for r in store.file_stats(spark, str(folder)).collect()}
     assert stats == {
         "spans_20240101_000000.parquet": (1, "ok"),

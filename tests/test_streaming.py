@@ -19,7 +19,9 @@ def test_ingest_and_restart(spark):
     source, lake, checkpoint = (scratch_path(spark, n) for n in ("src", "lake", "cp"))
     add(table(spark, *[span(i) for i in range(5)]), source)
     stream = streaming.stream_table(spark, source, schemas.SPAN, max_files=1)
-    streaming.start_span_sink(stream, lake, checkpoint).awaitTermination()
+    sink = streaming.start_span_sink(stream, lake, checkpoint)
+    sink.awaitTermination()
+    assert streaming.sink_stats(sink) == {"spans_added": 5, "micro_batches": 1}
     assert sources.read_spans(spark, lake).count() == 5
     add(table(spark, *[span(i, start=i + 1000) for i in range(5, 8)]), source)
     streaming.start_span_sink(stream, lake, checkpoint).awaitTermination()
