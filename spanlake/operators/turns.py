@@ -1,7 +1,8 @@
 """Conversation turns: history, rebuilt conversations, and the calls they stand for.
 
-``(conversation, turn)`` is unique, so ``turn div part_turns`` cuts every conversation, however long,
-into parts of at most ``part_turns`` rows. All per-conversation work is done per part; what a later
+``turn div part_turns`` cuts every conversation, however long, into parts. Where turns are numbered
+once, a part has at most ``part_turns`` rows; where copies of turns pile up, the rows are numbered
+first and parts are cut from those numbers. All per-conversation work is done per part; what a later
 part needs from earlier ones is carried by a small table with one row per part. A conversation that
 fits in one part (every one that fits a model's context) comes out as a single row or list.
 """
@@ -10,13 +11,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-PART_TURNS = 4096
+from .ordinals import group_ordinal
+from .skew import heavy_keys
+
+PART_TURNS = 1024
 _KEYS = ["conv_id", "part"]
 
 
 def with_part(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """Add the part of the conversation that a turn belongs to."""
-    return turns.withColumn("part", F.floor(F.col("turn") / part_turns).cast("bigint"))
+    """Add ``place``, the order of the rows of a conversation, and the ``part`` cut from it."""
+
+    def cut(df: DataFrame) -> DataFrame:
+        return df.withColumn("part", F.floor(F.col("place") / part_turns).cast("bigint"))
+
+    by_turn = cut(turns.withColumn("place", F.col("turn").cast("bigint")))
+    if not heavy_keys(by_turn, _KEYS):
+        return by_turn
+    return cut(group_ordinal(turns, ["conv_id"], ["turn", "role", "text"], "place"))
 
 
 def _co_located(turns: DataFrame, part_turns: int) -> DataFrame:
@@ -31,22 +42,25 @@ def with_history(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     A turn in part p > 0 has ``history`` from its own part; the rest is parts ``0 .. history_parts-1``
     of :func:`rebuild_conversation`. Nothing is repeated for every later turn of a long conversation.
     """
-    before = Window.partitionBy(*_KEYS).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*_KEYS).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     message = F.struct("turn", "role", "text")
     return (
         _co_located(turns, part_turns)
         .withColumn("history", F.collect_list(message).over(before))
         .withColumnRenamed("part", "history_parts")
+        .drop("place")
     )
 
 
 def rebuild_conversation(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """One row per conversation and part with its turns in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "turn", "role", "text")))
+    listed = F.transform("turns", lambda t: F.struct(*[t[c].alias(c) for c in ("turn", "role", "text")]))
     return (
         with_part(turns, part_turns)
         .groupBy(*_KEYS)
         .agg(ordered.alias("turns"), F.count("*").alias("n_turns"))
+        .withColumn("turns", listed)
     )
 
 
@@ -60,22 +74,21 @@ def _is(role: str) -> Column:
     return F.col("role") == role
 
 
-def _carried(turns: DataFrame, part_turns: int) -> DataFrame:
+def _carried(parts: DataFrame) -> DataFrame:
     """Per part after the first of long conversations: totals and last user text of the earlier parts."""
-    long_ones = turns.where(F.col("turn") >= part_turns).select("conv_id").distinct()
-    parts = (
-        with_part(turns, part_turns)
-        .join(long_ones, "conv_id", "left_semi")
+    long_ones = parts.where(F.col("part") > 0).select("conv_id").distinct()
+    totals = (
+        parts.join(long_ones, "conv_id", "left_semi")
         .groupBy(*_KEYS)
         .agg(
             F.count_if(_is("assistant")).alias("n"),
             F.sum(F.when(~_is("system"), F.length("text"))).alias("chars"),
-            F.max_by("text", F.when(_is("user"), F.col("turn"))).alias("user"),
-            F.min_by(F.struct("role", "text"), "turn").alias("first"),
+            F.max_by("text", F.when(_is("user"), F.col("place"))).alias("user"),
+            F.min_by(F.struct("role", "text"), "place").alias("first"),
         )
     )
     earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select(
+    return totals.select(
         *_KEYS,
         F.sum("n").over(earlier).alias("c_n"),
         F.sum("chars").over(earlier).alias("c_chars"),
@@ -90,11 +103,12 @@ def calls_from_turns(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFram
     ``messages`` are the earlier non-system turns of the same part (see :func:`with_history`).
     Characters stand in for tokens.
     """
-    before = Window.partitionBy(*_KEYS).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*_KEYS).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     upto = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     plain = ~_is("system")
     message = F.struct(F.col("role"), F.col("text").alias("content"))
-    calls = _co_located(turns.select("conv_id", "turn", "role", "text"), part_turns).select(
+    parts = with_part(turns.select("conv_id", "turn", "role", "text"), part_turns)
+    calls = parts.repartition(*_KEYS).select(
         *_KEYS,
         "turn",
         "role",
@@ -105,9 +119,9 @@ def calls_from_turns(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFram
         F.first(F.struct("role", "text")).over(upto).alias("first"),
         F.collect_list(F.when(plain, message)).over(before).alias("messages"),
     ).where(_is("assistant"))
-    # Reads only the turn column, and its statistics rule out files without long conversations.
-    if not turns.where(F.col("turn") >= part_turns).isEmpty():
-        calls = calls.join(_carried(turns, part_turns), _KEYS, "left")
+    # Where parts are cut by turn, this reads the turn column only, and its statistics rule out files.
+    if not parts.where(F.col("place") >= part_turns).isEmpty():
+        calls = calls.join(_carried(parts), _KEYS, "left")
     else:
         calls = calls.withColumns(
             {

@@ -38,6 +38,19 @@ def test_long_conversations(spark):
     assert [(m["role"], m["content"]) for m in messages] == [x[2:] for x in conversation(2, 4)]
 
 
+def test_copied_turns(spark, heavy):
+    """A conversation of which one turn is there 40 times is cut into bounded parts, and keeps every row."""
+    rows = conversation(1, 6) + [(2, 0, "user", "again")] * 40 + conversation(2, 3)[1:]
+    told = spark.createDataFrame(rows, TURNS)
+    rebuilt = sorted(turns.rebuild_conversation(told, 5).collect(), key=lambda r: (r["conv_id"], r["part"]))
+    assert all(r["n_turns"] <= 5 for r in rebuilt)
+    listed = [(r["conv_id"], t["turn"], t["role"], t["text"]) for r in rebuilt for t in r["turns"]]
+    assert listed == sorted(rows, key=lambda r: r[:2])
+    assert max(len(r["history"]) for r in turns.with_history(told, 5).collect()) == 4
+    calls = {(r["conv_id"], r["turn"]): r for r in turns.calls_from_turns(told, 5).collect()}
+    assert calls[2, 2]["prompt_tokens"] == 40 * len("again") + len(rows[-2][3]) and calls[2, 2]["last_user"] == rows[-2][3]
+
+
 def call(i, rollout, sequence, user=None, response=None, status="OK", **more):
     found = {"llm.model": more.pop("model", "m"), "llm.response.content": response, "llm.response.reasoning": more.pop("reasoning", None)}
     found["llm.request.messages"] = json.dumps([{"role": "user", "content": user}] if user else [])
