@@ -36,7 +36,7 @@ def tool_results(spark, folder):
     f"""WITH {fx.RAW} SELECT call_id, model, CASE WHEN turn % 2 = 1 THEN '0.5' END AS temperature,
     CASE WHEN conv_id % 2 = 0 THEN '256' END AS max_tokens, NULL::VARCHAR AS top_p,
     CASE WHEN conv_id % 5 = 0 THEN '[{{"type":"function","name":"lookup"}}]' END AS tools
-    FROM raw WHERE kind <> 2 OR true""",
+    FROM raw""",
 )
 def request_model_and_params(spark, folder):
     return _parsed(spark, folder).select(

@@ -60,4 +60,4 @@ def flatten_content(messages: Column, width: int | None = None) -> Column:
 def last_content(messages: Column, role: str = "user") -> Column:
     """Content of the last message of a role, read from the messages JSON text."""
     wanted = F.filter(parse_messages(messages), lambda m: m["role"] == role)
-    return content_text(F.get(wanted, F.size(wanted) - 1)["content"])
+    return content_text(F.try_element_at(wanted, F.lit(-1))["content"])

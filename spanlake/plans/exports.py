@@ -84,6 +84,7 @@ def _trajectory_parts(spans: DataFrame, heavy: list[int], part_spans: int) -> Da
         F.min_by("query", F.when(F.length("query") > 0, F.col("ordinal"))).alias("query"),
         F.max_by("response", F.when(F.length("response") > 0, F.col("ordinal"))).alias("response"),
         F.max_by("model", "ordinal").alias("model"),
+        F.max("reward").alias("reward"),
         F.min("start_time").alias("timestamp"),
         F.count("*").alias("n_spans"),
     )
@@ -116,7 +117,7 @@ def _heads_by_join(parts: DataFrame) -> DataFrame:
     )
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in GROUP]
     return parts.alias("r").join(F.broadcast(heads.alias("h")), same).select(
-        *[F.col(f"r.{c}") for c in (*GROUP, "part", "trajectory")],
+        *[F.col(f"r.{c}") for c in (*GROUP, "part", "trajectory", "reward")],
         *[F.col(f"h.{c}") for c in ("query", "response", "model", "timestamp", "n_spans")],
     )
 
@@ -125,18 +126,20 @@ def spans_to_rl(spans: DataFrame, rewards: DataFrame | None = None, part_spans:
     """One RL record per rollout and attempt, trajectory in sequence order, reward joined on.
 
     ``rewards`` has ``rollout_id`` and ``reward``. A trajectory of more than ``part_spans`` spans
-    continues in rows with ``part`` 1, 2, ...: no row or task has to hold an unbounded one.
+    continues in rows with ``part`` 1, 2, ...: no row or task has to hold an unbounded one. The reward
+    is joined to the spans, whose partitioning by rollout then also serves the trajectories, so that
+    the long texts are shuffled once.
     """
     heavy = heavy_keys(spans, GROUP)
+    if rewards is None:
+        spans = spans.withColumn("reward", F.lit(None).cast("double"))
+    else:
+        per_rollout = rewards.groupBy("rollout_id").agg(F.max("reward").cast("double").alias("reward"))
+        spans = join_unique(spans.drop("reward"), per_rollout, ["rollout_id"])
     normal, hot = split_heavy(spans, GROUP, heavy) if heavy else (spans, None)
     records = _heads_by_window(_trajectory_parts(normal, [], part_spans))
     if hot is not None:
         records = records.unionByName(_heads_by_join(_trajectory_parts(hot, heavy, part_spans)))
-    if rewards is None:
-        records = records.withColumn("reward", F.lit(None).cast("double"))
-    else:
-        per_rollout = rewards.groupBy("rollout_id").agg(F.max("reward").cast("double").alias("reward"))
-        records = join_unique(records, per_rollout, ["rollout_id"], heavy=heavy_keys(spans, ["rollout_id"], limit=256))
     return records.select(
         "rollout_id",
         "attempt_id",
@@ -201,7 +204,7 @@ def trl_rl(rl: DataFrame) -> DataFrame:
         rl = rl.where(F.coalesce("part", F.lit(0)) == 0)
     spans = F.from_json("trajectory", _TRAJECTORY)
     first = F.get(spans, F.lit(0))["attributes"]
-    last = F.get(spans, F.size(spans) - 1)["attributes"]
+    last = F.try_element_at(spans, F.lit(-1))["attributes"]
     asked = F.coalesce(
         F.get_json_object(first, "$['llm.messages']"), F.get_json_object(first, "$['llm.request.messages']")
     )

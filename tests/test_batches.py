@@ -61,4 +61,5 @@ def test_copies_are_spread(spark):
 
 def test_empty(spark):
     assert global_ordinal(spark.range(0), ["id"]).count() == 0
-    assert batches.retain_batches(events(spark, [])if False else spark.createDataFrame([], "start_time DOUBLE, span_id STRING"), 2, 2).count() == 0
+    none = spark.createDataFrame([], "start_time DOUBLE, span_id STRING")
+    assert batches.retain_batches(none, 2, 2).count() == 0
