@@ -39,20 +39,27 @@ def head(df: DataFrame, n: int) -> DataFrame:
     return in_file_order(df).orderBy("file_name", "row_index").limit(n).drop("file_name", "row_index")
 
 
-def import_foreign(spark: SparkSession, source: str, target: str, skip_unreadable: bool = True) -> DataFrame:
+def import_foreign(
+    spark: SparkSession, source: str, target: str, skip_unreadable: bool = True, batches: bool = False
+) -> DataFrame:
     """Rewrite span files of other writers as typed files, and return the result.
 
     Such files may hold an untyped all-null column, which the vectorized reader rejects; the
     non-vectorized reader fills it as null. That reader is a session setting, so the import runs in a
     session of its own and the lake keeps vectorized reads. Broken files are skipped or fail the
-    import; ``file_stats`` of the source lists them.
+    import; ``file_stats`` of the source lists them. With ``batches`` the number of the folder a file
+    lies in becomes ``batch_idx``, as :func:`read_batches` expects it.
     """
     session = spark.newSession()
     session.conf.set("spark.sql.parquet.enableVectorizedReader", "false")
     session.conf.set("spark.sql.session.timeZone", "UTC")
     reader = session.read.schema(schemas.SPAN).option("recursiveFileLookup", "true")
     files = reader.option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(source)
-    files.write.mode("append").parquet(target)
+    writer = files.write
+    if batches:
+        number = F.regexp_extract(F.col("_metadata.file_path"), "/([0-9]+)/[^/]+$", 1).try_cast("bigint")
+        writer = files.withColumn("batch_idx", number).write.partitionBy("batch_idx")
+    writer.mode("append").parquet(target)
     return read_spans(spark, target)
 
 

@@ -14,7 +14,12 @@ def spark():
     session = build_session(
         "tests",
         "local[8]",
-        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g"},
+        **{
+            "spark.ui.enabled": "false",
+            "spark.sql.shuffle.partitions": "8",
+            "spark.driver.memory": "6g",
+            "spark.sql.maxMetadataStringLength": "10000",
+        },
     )
     session.sparkContext.setLogLevel("OFF")
     shared_dir(session)

@@ -107,6 +107,17 @@ def test_request_edge_rows(spark):
     assert set(attributes[5]) == {"llm.model", "llm.request.messages", "llm.request.system", "llm.error"}
 
 
+def test_hook_data(spark):
+    """The payload of the hook counts only when the arguments hold none themselves."""
+    kwargs = [{"model": "a"}, {"data": "text"}, {"messages": [], "model": "b"}]
+    hook = json.dumps({"model": "h", "messages": [{"role": "user", "content": "hooked"}]})
+    rows = [(str(i), json.dumps(k), "{}", None, 1.0, 2.0, hook) for i, k in enumerate(kwargs)]
+    raw = spark.createDataFrame(rows, f"{schemas.RAW_CALL}, hook_data STRING")
+    attributes = [json.loads(r["attributes"]) for r in capture.build_success(raw).collect()]
+    assert ["hooked" in a["llm.request.messages"] for a in attributes] == [True, True, False]
+    assert [a["llm.model"] for a in attributes] == ["a", "h", "b"]
+
+
 def test_quarantine(spark):
     kwargs = ['{"messages": []}', '{"model": "m"}', "{oops", "[1]", '{"messages": null}', '{"messages": [1]}', '{"messages": "x"}']
     rows = [(str(i), k, None, None, 1.0, 2.0) for i, k in enumerate(kwargs)] + [("late", kwargs[0], None, None, None, 2.0)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanlake import schemas, sinks, sources
 from spanlake.operators import spans as ops, store
+from spanlake.plans import exports
 from spanlake.session import scratch_path
 
 NAMES = [c.split(" ")[0] for c in schemas.SPAN.split(", ")]
@@ -113,10 +114,27 @@ def test_pushdown(spark):
     assert "EqualTo(rollout_id,r1)" in lookup and "TakeOrderedAndProject" in lookup
     totals = plan(ops.token_totals(spans, ["model"]))
     assert "attributes" not in totals.split("ReadSchema")[1].split("\n")[0]
+    sft = plan(exports.spans_to_sft(spans))
+    for pushed in ("EqualTo(status,OK)", "EqualTo(is_call,true)", "EqualTo(has_response,true)"):
+        assert pushed in sft
+    newest = plan(ops.latest(spans, 3))
+    assert "GreaterThanOrEqual(start_time,47.0)" in newest
     pruned = plan(spans.where("shard = '19700101_000000'").groupBy("name").count())
     assert "PartitionFilters: [isnotnull(shard" in pruned
 
 
+def test_first_by_time_on_a_lake(spark):
+    """The two-step form against the plain one: ties at the edge, missing times, fewer rows than asked for."""
+    rows = [span(i, "A" if i % 2 else "B", start=i // 6) for i in range(60)] + [span(99, start=None, start_time=None)]
+    plain = table(spark, *rows)
+    lake = sinks.with_promoted(plain)
+    for n in (0, 1, 7, 60, 61, 100):
+        assert ids(ops.latest(lake, n)) == ids(ops.latest(plain, n))
+        assert ids(ops.earliest(lake, n)) == ids(ops.earliest(plain, n))
+        assert ids(ops.query_spans(lake, "A", limit=n)) == ids(ops.query_spans(plain, "A", limit=n))
+    assert ids(ops.latest(lake, 2)) == ["s0054", "s0055"]
+
+
 def test_foreign_files(spark, tmp_path):
     """Files of another writer: an untyped null column, a missing column, a broken file, sub-folders."""
     folder = tmp_path / "spans"
@@ -129,6 +147,9 @@ def test_foreign_files(spark, tmp_path):
     (folder / "spans_20240101_001000.parquet").write_bytes(b"not parquet at all")
     again = sources.import_foreign(spark, str(folder), scratch_path(spark, "imported"))
     assert sorted(ids(again)) == ["s0001", "s0002"]
+    numbered = scratch_path(spark, "imported")
+    sources.import_foreign(spark, str(folder), numbered, batches=True)
+    assert ids(sources.read_batches(spark, numbered, [0])) == ["s0002"]
     with pytest.raises(Exception):
         sources.import_foreign(spark, str(folder), scratch_path(spark, "imported"), skip_unreadable=False)
     stats = {r["file_name"]: (r["rows"], r["state"]) for r in store.file_stats(spark, str(folder)).collect()}
