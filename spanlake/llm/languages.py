@@ -11,6 +11,7 @@ empty table; other columns of the input are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,15 +22,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from .text import slices
 
-SAMPLE_ROWS = 64
-DICTIONARY_BYTES = 96 << 10
-BLOCK_BYTES = 2 << 10
+SAMPLE_ROWS = 96
+DICTIONARY_BYTES = 192 << 10
+BLOCK_BYTES = 4 << 10
 MARGIN = 0.02
 LEVEL = 3
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _folded(text: str) -> bytes:
-    return " ".join(text.lower().split()).encode()
+    """Lower-case runs of letters: marks and digits say little about the language."""
+    return " ".join(_LETTERS.findall(text.lower())).encode()
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> tuple[tuple[str, bytes], ...]:
