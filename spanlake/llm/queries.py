@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, languages, licenses, near_dedup, pieces, sharding, toxicity
+from . import decontamination, languages, licenses, near_dedup, pieces, repeats, sharding, toxicity
 
 QUERIES = {}
 ORACLE = {}
@@ -89,3 +89,8 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+@register
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(_table(spark, sf_dir, "documents")))
