@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, languages, licenses, near_dedup, pieces, repeats, sharding, toxicity
+from . import decontamination, languages, licenses, near_dedup, neighbours, pieces, repeats, sharding, tool_calls, tool_traffic, toxicity
 
 QUERIES = {}
 ORACLE = {}
@@ -94,3 +94,18 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
+@register
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+@register
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = tool_traffic.derive_messages(_table(spark, sf_dir, "conversations"))
+    linked = tool_calls.link_calls(messages, tool_traffic.SCHEMAS)
+    return linked.withColumn("errors", F.array_join("errors", ","))
+
+
+ORACLE["op9_tool_calls"] = tool_traffic.SQL
