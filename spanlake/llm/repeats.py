@@ -310,7 +310,7 @@ def _second_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], ["doc", "low", "n"])
 
 
-def _remove(names: list[str], text_col: str):
+def _remove(names: list[str], text_col: str, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             kept, removed, spans = [], [], []
@@ -323,7 +323,9 @@ def _remove(names: list[str], text_col: str):
                 kept.append(b"".join(left) + text[at:])
                 removed.append(len(text) - len(kept[-1]))
                 spans.append([{"first_byte": a, "end_byte": b} for a, b in gone])
-            made = [pa.array(kept, pa.binary()), pa.array([len(k) + r for k, r in zip(kept, removed)], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _SPANS)]
+            sizes = pa.array([len(k) + r for k, r in zip(kept, removed)], pa.int64())
+            left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            made = [left, sizes, pa.array(removed, pa.int64()), pa.array(spans, _SPANS)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], [*names, *_MADE])
 
     return run
@@ -333,8 +335,13 @@ _MADE = {"kept": "binary", "n_bytes": "bigint", "n_removed": "bigint", "spans":
 _SPANS = pa.list_(pa.struct([("first_byte", pa.int64()), ("end_byte", pa.int64())]))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Columns ``keep`` (the id, unless given) of each row with ``kept`` bytes, ``n_bytes``, ``n_removed`` and removed ``spans``."""
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None, as_text: bool = False
+) -> DataFrame:
+    """Columns ``keep`` (the id, unless given) of each row with ``kept`` bytes, ``n_bytes``, ``n_removed`` and removed ``spans``.
+
+    ``as_text``: ``kept`` is text, without the bytes of characters that a removed run has cut.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [id_col] if keep is None else list(keep)
@@ -359,8 +366,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = level.mapInArrow(_second_level, "doc bigint, low bigint, n bigint")
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("low", "n")).alias("runs"))
     out = placed.join(runs, "doc", "left").select(*own.values(), "runs")
-    schema = ", ".join([*(f"{own[c]} {types[c]}" for c in names), *(f"{c} {t}" for c, t in _MADE.items())])
-    made = out.mapInArrow(_remove([own[c] for c in names], text), schema)
+    kinds = _MADE | ({"kept": "string"} if as_text else {})
+    schema = ", ".join([*(f"{own[c]} {types[c]}" for c in names), *(f"{c} {t}" for c, t in kinds.items())])
+    made = out.mapInArrow(_remove([own[c] for c in names], text, as_text), schema)
     return made.select(*[F.col(own[c]).alias(c) for c in names], *_MADE)
 
 
