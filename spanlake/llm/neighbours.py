@@ -2,7 +2,8 @@
 
 Unit vectors are clustered into lists. A vector goes to its nearest centroid and also to others that are nearly as near (boundary
 vectors), unless a centroid chosen before is nearer to that centroid than the vector is. Queries walk a neighbour graph of the centroids and search the lists
-whose distance is at most ``RATIO`` times the nearest one's. Lists of more than ``BLOCK_ROWS`` rows are dealt to several blocks, and a query
+whose distance is at most a ratio times the nearest one's; the ratio is the least that finds ``AIM`` of the true neighbours of ``PROBES`` sample vectors
+in the sample. Lists of more than ``BLOCK_ROWS`` rows are dealt to several blocks, and a query
 visits all blocks of its lists, so a hot list costs many tasks little. A block keeps the best ``k`` of each query; the final order is by
 cosine on the original vectors in double precision.
 
@@ -30,7 +31,8 @@ EXACT_ROWS = 256
 LISTS = 256
 REPLICAS = 2
 BOUNDARY = 1.05
-RATIO = 1.3
+AIM = 0.98
+PROBES = 256
 GRAPH_DEGREE = 24
 BEAM = 64
 BLOCK_ROWS = 4096
@@ -122,7 +124,24 @@ def posting_lists(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(row), np.concatenate(lists)
 
 
-def probed_lists(index: Index, x: np.ndarray, ratio: float = RATIO) -> tuple[np.ndarray, np.ndarray]:
+def fit_ratio(index: Index, x: np.ndarray, k: int, aim: float = AIM) -> float:
+    """The ratio that reaches the share ``aim`` of the ``k`` nearest of some rows of ``x`` among all of them."""
+    x = np.unique(x, axis=0)
+    row, lists = posting_lists(index, x)
+    asked = np.linspace(0, len(x) - 1, min(PROBES, len(x))).astype(int)
+    nearness = x[asked] @ x.T
+    nearness[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-nearness, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    order, distance = search_graph(index, x[asked], len(index.centroids))
+    by_list = np.empty_like(distance)
+    np.put_along_axis(by_list, order, distance / np.maximum(distance[:, :1], 1e-12), axis=1)
+    held = np.argsort(row, kind="stable")
+    bounds = np.searchsorted(row[held], np.arange(len(x) + 1))
+    needed = [by_list[i, lists[held[bounds[j] : bounds[j + 1]]]].min() for i in range(len(asked)) for j in best[i]]
+    return float(np.quantile(needed, aim, method="higher")) if needed else 1.0
+
+
+def probed_lists(index: Index, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and list of every list that a query searches."""
     order, distance = search_graph(index, x, len(index.centroids))
     return np.nonzero(distance <= ratio * distance[:, :1] + 1e-12)[0], order[distance <= ratio * distance[:, :1] + 1e-12]
@@ -185,7 +204,7 @@ def nearest(
     vector_col: str = "embedding",
     sample_rows: int = SAMPLE_ROWS,
     lists: int = LISTS,
-    ratio: float = RATIO,
+    ratio: float | None = None,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` nearest vectors of each row that meets ``is_query`` (on ``vec_id``)."""
     spark = vectors.sparkSession
@@ -199,7 +218,9 @@ def nearest(
     lengths = sample.map(len).value_counts()
     length = int(lengths.index[lengths == lengths.max()].min())
     rows = rows.where(F.size("vector") == length)
-    index = build_index(np.stack([v for v in sample if len(v) == length]), lists)
+    sample = _unit(np.stack([v for v in sample if len(v) == length]))
+    index = build_index(sample, lists)
+    ratio = fit_ratio(index, sample, k) if ratio is None else ratio
     shared = spark.sparkContext.broadcast(index)
     postings = rows.mapInArrow(_spread(shared, posting_lists), schema).checkpoint()
     queries = rows.where(is_query).mapInArrow(_spread(shared, lambda i, x: probed_lists(i, x, ratio)), schema)
