@@ -2,7 +2,8 @@
 
 1. *Candidates.* Of the 24-byte grams of a 100-byte window the one with the least hash is its anchor. Equal windows have equal anchors, so
    only windows whose anchor occurs twice in the corpus can repeat. An anchor row is a hash, a document key and a run of windows.
-2. *Shards.* Documents come together with their candidate windows. Each task cuts them into shards of some megabytes and builds the suffix
+   A document whose whole text is that of an earlier one repeats in all its windows; it needs no suffix array and sends no bytes.
+2. *Shards.* The other documents come together with their candidate windows. Each task cuts them into shards of some megabytes and builds the suffix
    array of a shard's candidate regions by Larsson-Sadakane refinement: ranks of 8-byte prefixes first, then ranks of prefixes twice as long
    for the suffixes that are still tied. Kasai's common prefixes group equal windows; all but the earliest of a group are repeats.
 3. *Merging.* What is left of each anchor's windows goes, with its bytes, to the anchor's task. A passage that a shard holds many
@@ -211,15 +212,18 @@ _SNIPPET = ["gram", "last", "doc_id", "doc", "low", "n", "bytes"]
 def _first_level(kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SHARD_BYTES):
-            ids, docs = part.column("doc_id").to_pylist(), part.column("doc").to_pylist()
-            order = sorted(range(len(docs)), key=lambda i: (ids[i] is None, 0 if ids[i] is None else ids[i], docs[i]))
+            ids, docs, copies = (part.column(c).to_pylist() for c in ("doc_id", "doc", "copy"))
+            whole = as_bytes(part.column("text"))
+            order = sorted((i for i in range(len(docs)) if not copies[i]), key=lambda i: (ids[i] is None, 0 if ids[i] is None else ids[i], docs[i]))
             order = [i for k, i in enumerate(order) if not k or docs[i] != docs[order[k - 1]]]
-            texts = as_bytes(part.column("text"))
             held = part.column("held").to_pylist()
             places = [sorted({(h["place"] >> 32, h["place"] & 0x7FFFFFFF, h["gram"]) for h in held[i]}) for i in order]
             runs = [_union([(low, low + n) for low, n, _ in own]) for own in places]
-            repeats = shard_repeats([texts[i] for i in order], runs)
+            repeats = shard_repeats([whole[i] for i in order], runs)
             rows: list[tuple] = []
+            for i in range(part.num_rows):
+                if copies[i] and len(whole[i]) >= LENGTH:
+                    rows.append((docs[i], ids[i] is None, ids[i], docs[i], 0, len(whole[i]) - LENGTH + 1, None))
             for i, own, gone in zip(order, places, repeats):
                 head = (ids[i] is None, ids[i], docs[i])
                 rows += [(docs[i], *head, low, high - low, None) for low, high in to_runs(gone)]
@@ -230,7 +234,7 @@ def _first_level(kind: pa.DataType):
                         left = [(low, low + n)]
                     else:
                         left = to_runs(np.setdiff1d(np.arange(low, low + n), gone_set[a:b], assume_unique=True))
-                    rows += [(gram, *head, s, e - s, texts[i][s : e + LENGTH - 1]) for s, e in left]
+                    rows += [(gram, *head, s, e - s, whole[i][s : e + LENGTH - 1]) for s, e in left]
             columns = list(zip(*rows)) or [()] * len(_SNIPPET)
             types = [pa.int64(), pa.bool_(), kind, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], _SNIPPET)
@@ -335,6 +339,14 @@ _MADE = {"kept": "binary", "n_bytes": "bigint", "n_removed": "bigint", "spans":
 _SPANS = pa.list_(pa.struct([("first_byte", pa.int64()), ("end_byte", pa.int64())]))
 
 
+def _copies(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Keys of the documents whose whole text an earlier document has; of a text, only narrow rows meet."""
+    keyed = rows.select(F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("digest"), F.struct(F.col(doc_id).isNull(), F.col(doc_id), "doc").alias("at"))
+    first = keyed.groupBy("digest").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.doc").alias("first"))
+    later = keyed.join(first, "digest").where("at.doc <> first")
+    return later.select(F.col("at.doc").alias("doc"), F.lit(True).alias("copy")).distinct()
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None, as_text: bool = False
 ) -> DataFrame:
@@ -360,7 +372,8 @@ def remove_repeats(
     # Both joins use this exchange of the documents.
     placed = rows.repartition(parts, "doc")
     kind = pa.string() if types[id_col] == "string" else pa.int64()
-    level = placed.join(held, "doc").withColumns({"doc_id": F.col(doc_id), "text": F.col(text)})
+    level = placed.join(held, "doc").join(_copies(rows, doc_id, text), "doc", "left")
+    level = level.withColumns({"doc_id": F.col(doc_id), "text": F.col(text), "copy": F.coalesce("copy", F.lit(False))})
     schema = f"gram bigint, last boolean, doc_id {'string' if types[id_col] == 'string' else 'bigint'}, doc bigint, low bigint, n bigint, bytes binary"
     level = level.mapInArrow(_first_level(kind), schema).repartition(parts, "gram").sortWithinPartitions("gram", "last", "doc_id", "doc", "low")
     runs = level.mapInArrow(_second_level, "doc bigint, low bigint, n bigint")
