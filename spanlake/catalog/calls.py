@@ -242,32 +242,29 @@ def sanitize_model_set(spark, folder):
     return sanitize.sanitize_model_set(fx.models(spark, folder))
 
 
-def _prefixes(spark, folder):
-    """First words of the assistant texts as prefixes: a list that grows with the data."""
-    turns = fx.table(spark, folder, "conversations").where(F.col("role") == "assistant")
-    return turns.select(F.substring("text", 1, 6).alias("prefix"))
-
-
-_PREFIX_SQL = """WITH p AS (SELECT DISTINCT substr(text, 1, 6) AS prefix FROM conversations WHERE role = 'assistant')
-    SELECT conv_id, turn, EXISTS (SELECT 1 FROM p WHERE starts_with(substr(c.text, 1, 40), p.prefix)) AS matched
-    FROM conversations c"""
-
-
-def _titles(spark, folder):
-    turns = fx.table(spark, folder, "conversations")
-    return turns.select("conv_id", "turn", F.substring("text", 1, 40).alias("model"))
-
-
-@query("match_model_prefix", _PREFIX_SQL)
+@query(
+    "match_model_prefix",
+    f"""WITH {fx.CALLS} SELECT conv_id, turn, model, conv_id % 3 <> 0 AS matched FROM calls""",
+)
 def match_model_prefix(spark, folder):
-    found = sanitize.match_model_prefix(_titles(spark, folder), _prefixes(spark, folder))
-    return found.select("conv_id", "turn", "matched")
+    """The models of the calls against those whose requests need sanitizing."""
+    listed = sanitize.sanitize_model_set(fx.models(spark, folder))
+    return sanitize.match_model_prefix(fx.calls(spark, folder), listed).select("conv_id", "turn", "model", "matched")
 
 
-@query("match_model_prefix_long_list", _PREFIX_SQL)
+@query(
+    "match_model_prefix_long_list",
+    """WITH p AS (SELECT DISTINCT 'model_' || (conv_id % 1000)::VARCHAR AS prefix FROM conversations WHERE conv_id % 2 = 1)
+    SELECT conv_id, turn, EXISTS (SELECT 1 FROM p WHERE starts_with('model_' || c.conv_id::VARCHAR || '-chat', p.prefix)) AS matched
+    FROM conversations c""",
+)
 def match_model_prefix_long_list(spark, folder):
-    found = sanitize.match_model_prefix(_titles(spark, folder), _prefixes(spark, folder), inline=10)
-    return found.select("conv_id", "turn", "matched")
+    """A model name per conversation against up to 500 prefixes of several lengths."""
+    told = fx.table(spark, folder, "conversations")
+    number = lambda n: F.concat(F.lit("model_"), n.cast("string"))
+    prefixes = told.where("conv_id % 2 = 1").select(number(F.col("conv_id") % 1000).alias("prefix"))
+    named = told.select("conv_id", "turn", F.concat(number(F.col("conv_id")), F.lit("-chat")).alias("model"))
+    return sanitize.match_model_prefix(named, prefixes).select("conv_id", "turn", "matched")
 
 
 @query(

@@ -367,12 +367,34 @@ def trajectory_ends(spark, folder):
 @query(
     "with_history",
     """SELECT c.conv_id, c.turn, c.role, coalesce((SELECT to_json(list({'turn': h.turn, 'role': h.role, 'text': h.text}
-    ORDER BY h.turn)) FROM conversations h WHERE h.conv_id = c.conv_id AND h.turn < c.turn)::VARCHAR, '[]') AS history,
-    0::BIGINT AS history_parts FROM conversations c WHERE c.role = 'assistant'""",
+    ORDER BY h.turn)) FROM conversations h WHERE h.conv_id = c.conv_id AND h.turn < c.turn)::VARCHAR, '[]') AS history
+    FROM conversations c""",
 )
 def with_history(spark, folder):
-    told = turns.with_history(fx.table(spark, folder, "conversations")).where(F.col("role") == "assistant")
-    return told.select("conv_id", "turn", "role", F.to_json("history").alias("history"), "history_parts")
+    told = turns.with_history(fx.table(spark, folder, "conversations"))
+    return told.select("conv_id", "turn", "role", F.to_json("history").alias("history"))
+
+
+# Twenty conversations put behind each other, with gaps in their turn numbers.
+_CHAINED = """chained AS (SELECT conv_id // 20 AS conv_id, (conv_id % 20) * 1000 + turn AS turn, role, text FROM conversations)"""
+
+
+def chained(spark, folder):
+    """Long conversations: twenty of the given ones put behind each other."""
+    told = fx.table(spark, folder, "conversations")
+    order = F.col("conv_id") % 20 * 1000 + F.col("turn")
+    return told.select(F.floor(F.col("conv_id") / 20).cast("bigint").alias("conv_id"), order.alias("turn"), "role", "text")
+
+
+@query(
+    "with_history_long",
+    f"""WITH {_CHAINED} SELECT c.conv_id, c.turn, c.role, coalesce((SELECT to_json(list({{'turn': h.turn, 'role': h.role, 'text': h.text}}
+    ORDER BY h.turn)) FROM chained h WHERE h.conv_id = c.conv_id AND h.turn < c.turn)::VARCHAR, '[]') AS history FROM chained c""",
+)
+def with_history_long(spark, folder):
+    """Conversations of many parts, each of 7 turns: histories are complete."""
+    told = turns.with_history(chained(spark, folder), part_turns=7)
+    return told.select("conv_id", "turn", "role", F.to_json("history").alias("history"))
 
 
 @query(

@@ -10,6 +10,7 @@ from ..session import scratch_path
 from ..sinks import export_parquet, export_splits
 from . import fixtures as fx
 from .registry import registry
+from .spans import chained
 
 QUERIES, ORACLE, query = registry()
 
@@ -164,6 +165,28 @@ def trl_rl(spark, folder):
     return ops.trl_rl(_rl(spark, folder))
 
 
+@query(
+    "trl_rl_long",
+    f"""WITH {_RL}, ends AS (SELECT rollout_id, attempt_id, arg_max(response, sequence_id) AS last_response FROM spans GROUP BY 1, 2)
+    SELECT coalesce(query, '') AS query, last_response AS response, rollout_id, attempt_id, model, reward
+    FROM rl JOIN ends USING (rollout_id, attempt_id)""",
+)
+def trl_rl_long(spark, folder):
+    """One span per part and no response in the records: the response is that of the last span of the whole trajectory."""
+    bare = _rl(spark, folder, part_spans=1).withColumn("response", F.lit(None).cast("string"))
+    return ops.trl_rl(bare)
+
+
+@query(
+    "hf_rl_long",
+    f"""WITH {_RL} SELECT rollout_id, attempt_id, span_ids, coalesce(query, '') AS query, coalesce(response, '') AS response,
+    coalesce(reward, 0.0) AS reward, model, "timestamp" FROM rl""",
+)
+def hf_rl_long(spark, folder):
+    """Two spans per part: still one row per trajectory, with all its spans in order."""
+    return _with_span_ids(ops.hf_rl(_rl(spark, folder, part_spans=2)))
+
+
 @query(
     "trl_rl_from_trajectory",
     f"""WITH {_RL}, ends AS (SELECT rollout_id, attempt_id, to_json(arg_min(messages, sequence_id))::VARCHAR AS query,
@@ -292,3 +315,25 @@ def rebuild_conversation(spark, folder):
 )
 def multi_turn_sft(spark, folder):
     return _json(turns.multi_turn_sft(fx.table(spark, folder, "conversations")))
+
+
+_LONG = """WITH chained AS (SELECT conv_id // 20 AS conv_id, (conv_id % 20) * 1000 + turn AS turn, role, text FROM conversations),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM chained)"""
+
+
+@query(
+    "rebuild_conversation_long",
+    f"""{_LONG} SELECT conv_id, (place // 7)::BIGINT AS part, to_json(list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn))::VARCHAR AS turns,
+    count(*) AS n_turns FROM placed GROUP BY 1, 2""",
+)
+def rebuild_conversation_long(spark, folder):
+    return _json(turns.rebuild_conversation(chained(spark, folder), part_turns=7), "turns")
+
+
+@query(
+    "multi_turn_sft_long",
+    f"""{_LONG} SELECT conv_id, (place // 7)::BIGINT AS part, to_json(list({{'role': role, 'content': text}} ORDER BY turn))::VARCHAR AS messages,
+    count(*) AS n_turns FROM placed GROUP BY 1, 2""",
+)
+def multi_turn_sft_long(spark, folder):
+    return _json(turns.multi_turn_sft(chained(spark, folder), part_turns=7))

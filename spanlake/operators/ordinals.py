@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import shared_dir
 from .skew import heavy_keys, split_heavy
@@ -79,3 +79,45 @@ def group_ordinal(
     )
     plain = normal.withColumn(name, (F.row_number().over(in_group) - 1).cast("bigint"))
     return plain.unionByName(numbered)
+
+
+def _null_safe(left: str, right: str, keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
+
+
+def slice_ordinal(df: DataFrame, keys: Sequence[str], piece: Column, order: Sequence[str], name: str) -> DataFrame:
+    """Add the 0-based place of each row in its group, counted slice by slice.
+
+    ``piece`` must not fall while ``order`` rises. Slices are numbered apart and start where the earlier slices of the group end,
+    so a task holds slices, not groups; the starts come from one narrow count per group and slice.
+    """
+    keys = list(keys)
+    rows = df.withColumn("_piece", piece)
+    counts = rows.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    # The first slice of a group starts at 0, so only groups of several slices meet the table of starts.
+    starts = counts.withColumn("_start", F.sum("_n").over(earlier)).where(F.col("_start").isNotNull())
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    placed = rows.withColumn("_place", F.row_number().over(inside) - 1)
+    joined = placed.alias("r").join(starts.alias("s"), _null_safe("r", "s", [*keys, "_piece"]), "left")
+    place = (F.coalesce("s._start", F.lit(0)) + F.col("r._place")).cast("bigint")
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], place.alias(name))
+
+
+def event_before(df: DataFrame, keys: Sequence[str], piece: Column, order: Sequence[str], value: Column, name: str, after: bool = False) -> DataFrame:
+    """Add ``value`` of the row before (or ``after``) each row in its group, null at the end.
+
+    Rows look in their own slice first; the last (first) value of each slice, one narrow row, serves the rows at its edge.
+    """
+    keys = list(keys)
+    direction = [F.col(c).desc() for c in order] if after else [F.col(c).asc() for c in order]
+    rows = df.withColumn("_piece", piece).withColumn("_value", value)
+    edge = F.min_by if after else F.max_by
+    edges = rows.groupBy(*keys, "_piece").agg(edge("_value", F.struct(*order)).alias("_edge"))
+    along = Window.partitionBy(*keys).orderBy(F.col("_piece").desc() if after else F.col("_piece").asc())
+    edges = edges.withColumn("_edge", F.lag("_edge").over(along)).where(F.col("_edge").isNotNull())
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*direction)
+    near = rows.withColumn("_near", F.lag("_value").over(inside)).withColumn("_nth", F.row_number().over(inside))
+    joined = near.alias("r").join(edges.alias("e"), _null_safe("r", "e", [*keys, "_piece"]), "left")
+    found = F.when(F.col("r._nth") == 1, F.col("e._edge")).otherwise(F.col("r._near"))
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], found.alias(name))

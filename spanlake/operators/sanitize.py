@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .skew import join_unique
-
 # The request parameters to remove.
 SANITIZED_PARAMS = ("tool_choice", "tools", "tool_use", "parallel_tool_calls")
 
-# Prefix lists up to this length are put into the plan as literals; longer ones are joined.
-INLINE_PREFIXES = 200
+# A configuration with more prefixes than this is refused: they all go into the plan.
+MAX_PREFIXES = 100_000
 
 
 def sanitize_model_set(models: DataFrame) -> DataFrame:
@@ -22,37 +20,27 @@ def sanitize_model_set(models: DataFrame) -> DataFrame:
     return models.where(gemini & (target.contains("openai/") | drop)).select(name.alias("prefix")).distinct()
 
 
-def match_model_prefix(
-    df: DataFrame, prefixes: DataFrame, model: str = "model", name: str = "matched", inline: int = INLINE_PREFIXES
-) -> DataFrame:
+def match_model_prefix(df: DataFrame, prefixes: DataFrame, model: str = "model", name: str = "matched") -> DataFrame:
     """Flag rows whose model starts with a listed prefix; an empty list means every model.
 
-    A short list becomes literals (at most ``inline + 1`` rows reach the driver). A longer one is an
-    equi-join: each distinct model is expanded to its own leading substrings.
+    ``prefixes`` comes from the model configuration, which is small. Prefixes of one length are one hash set of literals, so
+    a row costs one look-up per length, whatever the size of the list; no shuffle, and no action on ``df``, which may be a stream.
     """
-    listed = [row[0] for row in prefixes.select("prefix").distinct().limit(inline + 1).collect()]
+    listed = [row[0] for row in prefixes.select("prefix").where("prefix IS NOT NULL").distinct().limit(MAX_PREFIXES + 1).collect()]
+    if len(listed) > MAX_PREFIXES:
+        raise ValueError(f"more than {MAX_PREFIXES} model prefixes")
     if not listed:
         return df.withColumn(name, F.lit(True))
-    if len(listed) <= inline:
-        value = F.coalesce(F.col(model), F.lit(""))
-        hit = F.exists(F.array(*[F.lit(p) for p in listed]), lambda p: value.startswith(p))
-        return df.withColumn(name, hit)
-    starts = F.explode(F.transform(F.sequence(F.lit(0), F.length(model)), lambda n: F.substring(model, F.lit(1), n)))
-    matched = (
-        df.where(F.col(model).isNotNull())
-        .select(model)
-        .distinct()
-        .select(model, starts.alias("prefix"))
-        .join(prefixes.select("prefix").distinct(), "prefix", "left_semi")
-        .select(model, F.lit(True).alias("_hit"))
-        .distinct()
-    )
-    has_empty = prefixes.where(F.col("prefix") == "").limit(1).count() > 0
-    return (
-        join_unique(df, matched, [model])
-        .withColumn(name, F.coalesce("_hit", F.lit(has_empty)))
-        .select(*df.columns, name)
-    )
+    by_length: dict[int, list[str]] = {}
+    for prefix in sorted(listed):
+        # Characters as the engine counts them: code points.
+        by_length.setdefault(len(prefix), []).append(prefix)
+    value = F.coalesce(F.col(model), F.lit(""))
+    hits = [F.substring(value, 1, n).isin(found) if n else F.lit(True) for n, found in sorted(by_length.items())]
+    hit = hits[0]
+    for more in hits[1:]:
+        hit = hit | more
+    return df.withColumn(name, hit)
 
 
 def request_model(kwargs: Column) -> Column:

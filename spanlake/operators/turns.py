@@ -1,33 +1,29 @@
 """Conversation turns: history, rebuilt conversations, and the calls they stand for.
 
-``turn div part_turns`` cuts every conversation, however long, into parts. Where turns are numbered
-once, a part has at most ``part_turns`` rows; where copies of turns pile up, the rows are numbered
-first and parts are cut from those numbers. All per-conversation work is done per part; what a later
-part needs from earlier ones is carried by a small table with one row per part. A conversation that
-fits in one part (every one that fits a model's context) comes out as a single row or list.
+The rows of a conversation are numbered from 0 in turn order, and every ``part_turns`` numbers are a
+part: one rule, whatever the size and however the turns are numbered. All per-conversation work is
+done per part; what a later part needs from earlier ones is carried by a table with one row per part.
+Histories and message lists are complete in every part.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordinals import group_ordinal
-from .skew import heavy_keys
+from .ordinals import slice_ordinal
 
 PART_TURNS = 1024
+#: Turn numbers that share a slice while rows are numbered.
+_SLICE = 256
 _KEYS = ["conv_id", "part"]
 
 
 def with_part(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """Add ``place``, the order of the rows of a conversation, and the ``part`` cut from it."""
 
-    def cut(df: DataFrame) -> DataFrame:
-        return df.withColumn("part", F.floor(F.col("place") / part_turns).cast("bigint"))
-
-    by_turn = cut(turns.withColumn("place", F.col("turn").cast("bigint")))
-    if not heavy_keys(by_turn, _KEYS):
-        return by_turn
-    return cut(group_ordinal(turns, ["conv_id"], ["turn", "role", "text"], "place"))
+    piece = F.floor(F.col("turn") / _SLICE)
+    placed = slice_ordinal(turns, ["conv_id"], piece, ["turn", "role", "text"], "place")
+    return placed.withColumn("part", F.floor(F.col("place") / part_turns).cast("bigint"))
 
 
 def _co_located(turns: DataFrame, part_turns: int) -> DataFrame:
@@ -36,20 +32,28 @@ def _co_located(turns: DataFrame, part_turns: int) -> DataFrame:
     return with_part(turns, part_turns).repartition(*_KEYS)
 
 
-def with_history(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """Add the messages before each turn: ``history`` (turn, role, text), system turns included.
+def _earlier(parts: DataFrame, item: Column, name: str) -> DataFrame:
+    """Per part after the first: the items of all rows of the earlier parts, in order."""
+    placed = F.when(item.isNotNull(), F.struct("place", item.alias("item")))
+    listed = parts.groupBy(*_KEYS).agg(F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["item"]).alias("items"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return listed.select(*_KEYS, F.flatten(F.collect_list("items").over(before)).alias(name)).where(F.col("part") > 0)
 
-    A turn in part p > 0 has ``history`` from its own part; the rest is parts ``0 .. history_parts-1``
-    of :func:`rebuild_conversation`. Nothing is repeated for every later turn of a long conversation.
-    """
+
+def _long(parts: DataFrame) -> DataFrame:
+    """The rows of conversations that have more than one part."""
+    return parts.join(parts.where(F.col("part") > 0).select("conv_id").distinct(), "conv_id", "left_semi")
+
+
+def with_history(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """Add the messages before each turn: ``history`` (turn, role, text), system turns included."""
     before = Window.partitionBy(*_KEYS).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     message = F.struct("turn", "role", "text")
-    return (
-        _co_located(turns, part_turns)
-        .withColumn("history", F.collect_list(message).over(before))
-        .withColumnRenamed("part", "history_parts")
-        .drop("place")
-    )
+    parts = _co_located(turns, part_turns)
+    own = parts.withColumn("history", F.collect_list(message).over(before))
+    whole = own.join(_earlier(_long(with_part(turns, part_turns)), message, "_earlier"), _KEYS, "left")
+    history = F.when(F.col("_earlier").isNull(), F.col("history")).otherwise(F.concat("_earlier", "history"))
+    return whole.withColumn("history", history).select(*turns.columns, "history")
 
 
 def rebuild_conversation(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
@@ -75,11 +79,10 @@ def _is(role: str) -> Column:
 
 
 def _carried(parts: DataFrame) -> DataFrame:
-    """Per part after the first of long conversations: totals and last user text of the earlier parts."""
-    long_ones = parts.where(F.col("part") > 0).select("conv_id").distinct()
+    """Per part after the first: totals, last user text and messages of the earlier parts."""
+    plain = F.when(~_is("system"), F.struct(F.col("role"), F.col("text").alias("content")))
     totals = (
-        parts.join(long_ones, "conv_id", "left_semi")
-        .groupBy(*_KEYS)
+        parts.groupBy(*_KEYS)
         .agg(
             F.count_if(_is("assistant")).alias("n"),
             F.sum(F.when(~_is("system"), F.length("text"))).alias("chars"),
@@ -88,20 +91,20 @@ def _carried(parts: DataFrame) -> DataFrame:
         )
     )
     earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
+    carried = totals.select(
         *_KEYS,
         F.sum("n").over(earlier).alias("c_n"),
         F.sum("chars").over(earlier).alias("c_chars"),
         F.last("user", ignorenulls=True).over(earlier).alias("c_user"),
         F.first("first").over(earlier).alias("c_first"),
     ).where(F.col("part") > 0)
+    return carried.join(_earlier(parts, plain, "c_messages"), _KEYS)
 
 
 def calls_from_turns(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """One row per assistant turn, with what its call must have looked like.
 
-    ``messages`` are the earlier non-system turns of the same part (see :func:`with_history`).
-    Characters stand in for tokens.
+    ``messages`` are all earlier non-system turns. Characters stand in for tokens.
     """
     before = Window.partitionBy(*_KEYS).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     upto = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -119,18 +122,8 @@ def calls_from_turns(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFram
         F.first(F.struct("role", "text")).over(upto).alias("first"),
         F.collect_list(F.when(plain, message)).over(before).alias("messages"),
     ).where(_is("assistant"))
-    # Where parts are cut by turn, this reads the turn column only, and its statistics rule out files.
-    if not parts.where(F.col("place") >= part_turns).isEmpty():
-        calls = calls.join(_carried(parts), _KEYS, "left")
-    else:
-        calls = calls.withColumns(
-            {
-                "c_n": F.lit(0),
-                "c_chars": F.lit(0),
-                "c_user": F.lit(None).cast("string"),
-                "c_first": F.lit(None).cast("STRUCT<role: STRING, text: STRING>"),
-            }
-        )
+    calls = calls.join(_carried(_long(parts)), _KEYS, "left")
+    messages = F.when(F.col("c_messages").isNull(), F.col("messages")).otherwise(F.concat("c_messages", "messages"))
     first = F.coalesce("c_first", "first")
     prompt = F.coalesce("chars", F.lit(0)) + F.coalesce("c_chars", F.lit(0))
     done = F.length("text")
@@ -143,8 +136,7 @@ def calls_from_turns(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFram
         (F.col("n") + F.coalesce("c_n", F.lit(0)) - 1).cast("bigint").alias("sequence_id"),
         F.concat(F.lit("model_"), (F.col("conv_id") % 3).cast("string")).alias("model"),
         F.when(first["role"] == "system", first["text"]).alias("system"),
-        "messages",
-        F.col("part").alias("history_parts"),
+        messages.alias("messages"),
         F.coalesce("user", "c_user").alias("last_user"),
         F.col("text").alias("response"),
         start.alias("start_time"),

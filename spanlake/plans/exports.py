@@ -192,6 +192,33 @@ def _has_any(df: DataFrame, **conditions: Column) -> dict[str, bool]:
 
 
 _TRAJECTORY = "ARRAY<STRUCT<attributes: STRING>>"
+_WHOLE = ("rollout_id", "attempt_id")
+
+
+def _part() -> Column:
+    return F.coalesce("part", F.lit(0))
+
+
+def _ends(rl: DataFrame) -> DataFrame:
+    """One row per trajectory with the attributes of its first and last span, whatever its number of parts."""
+    spans = F.from_json("trajectory", _TRAJECTORY)
+    ends = rl.withColumn("first_span", F.get(spans, F.lit(0))["attributes"]).withColumn("last_span", F.try_element_at(spans, F.lit(-1))["attributes"])
+    if "part" not in rl.columns:
+        return ends
+    # Every part has the query, response, model and reward of the whole trajectory.
+    same = [F.min_by(c, _part()).alias(c) for c in ("query", "response", "model", "reward", "timestamp")]
+    return ends.groupBy(*_WHOLE).agg(*same, F.min_by("first_span", _part()).alias("first_span"), F.max_by("last_span", _part()).alias("last_span"))
+
+
+def whole_trajectories(rl: DataFrame) -> DataFrame:
+    """One row per trajectory, its parts joined to one list. A trajectory that no row can hold stays in parts by not calling this."""
+    if "part" not in rl.columns:
+        return rl
+    inner = F.expr("substring(coalesce(trajectory, '[]'), 2, length(coalesce(trajectory, '[]')) - 2)")
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct(_part().alias("part"), inner.alias("text")))), lambda p: p["text"])
+    listed = F.concat(F.lit("["), F.array_join(F.filter(pieces, lambda p: F.length(p) > 0), ","), F.lit("]"))
+    same = [F.min_by(c, _part()).alias(c) for c in ("query", "response", "model", "reward", "timestamp")]
+    return rl.groupBy(*_WHOLE).agg(listed.alias("trajectory"), *same)
 
 
 def trl_rl(rl: DataFrame) -> DataFrame:
@@ -199,16 +226,11 @@ def trl_rl(rl: DataFrame) -> DataFrame:
 
     The reward column is kept only if some record has one.
     """
-    if "part" in rl.columns:
-        # The first part already has the query and response of the whole trajectory.
-        rl = rl.where(F.coalesce("part", F.lit(0)) == 0)
-    spans = F.from_json("trajectory", _TRAJECTORY)
-    first = F.get(spans, F.lit(0))["attributes"]
-    last = F.try_element_at(spans, F.lit(-1))["attributes"]
+    ends = _ends(rl)
     asked = F.coalesce(
-        F.get_json_object(first, "$['llm.messages']"), F.get_json_object(first, "$['llm.request.messages']")
+        F.get_json_object("first_span", "$['llm.messages']"), F.get_json_object("first_span", "$['llm.request.messages']")
     )
-    answered = F.get_json_object(last, "$['llm.response.content']")
+    answered = F.get_json_object("last_span", "$['llm.response.content']")
     columns = [
         F.coalesce(_nonempty(F.col("query")), asked, F.lit("")).alias("query"),
         F.coalesce(_nonempty(F.col("response")), answered, F.lit("")).alias("response"),
@@ -218,7 +240,7 @@ def trl_rl(rl: DataFrame) -> DataFrame:
     ]
     if _has_any(rl, reward=F.col("reward").isNotNull())["reward"]:
         columns.append("reward")
-    return rl.select(*columns)
+    return ends.select(*columns)
 
 
 def reward_pairs(records: DataFrame) -> DataFrame:
@@ -256,9 +278,8 @@ def hf_sft(sft: DataFrame) -> DataFrame:
 
 
 def hf_rl(rl: DataFrame) -> DataFrame:
-    """Dataset columns; ``part`` is added when some trajectory takes more than one row."""
-    parted = "part" in rl.columns and _has_any(rl, parted=F.col("part") > 0)["parted"]
-    return rl.select(
+    """Dataset columns, one row per trajectory."""
+    return whole_trajectories(rl).select(
         "rollout_id",
         "attempt_id",
         _filled("query").alias("query"),
@@ -267,7 +288,6 @@ def hf_rl(rl: DataFrame) -> DataFrame:
         F.coalesce(_nonempty(F.col("model")), F.lit("unknown")).alias("model"),
         "timestamp",
         _filled("trajectory", "[]").alias("trajectory"),
-        *(["part"] if parted else []),
     )
 
 
@@ -287,7 +307,7 @@ def train_test_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Repeatable split by a hash of the key. A single row is not split.
 
-    Without ``exact`` the test part is every key in the first ``test_size`` of 10,000 slots: no
+    Without ``exact`` the test part is every key in the first ``test_size`` of 2^32 slots: no
     shuffle, fraction approximate, copies of a key stay together. With ``exact`` it has exactly
     ``ceil(rows * test_size)`` rows: whole slots up to the boundary, and numbered rows of the one slot
     that the boundary cuts.
@@ -296,7 +316,7 @@ def train_test_split(
     if len(df.select(*keys).take(2)) <= 1:
         return df, df.limit(0)
     if not exact:
-        in_test = _hash_slot(keys, 10_000) < round(test_size * 10_000)
+        in_test = _hash_slot(keys, 1 << 32) < round(test_size * (1 << 32))
         return df.where(~in_test), df.where(in_test)
     slot = _hash_slot(keys, _SLOTS)
     upto = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -349,7 +369,7 @@ def export(
 ) -> None:
     """Read records, convert them and write the training set."""
     if (format, type) not in FORMATS:
-        raise ValueError(f"Unknown export: {format} {type}")
+        raise ValueError(f"no export of {type} records as {format}; there are {sorted(FORMATS)}")
     records = read_records(spark, source, type)
     if (format, type) == ("trl", "sft"):
         result = trl_sft(records, sft_format, include_thoughts)

@@ -127,15 +127,14 @@ def test_quarantine(spark):
     assert good.count() + bad.count() == len(rows)
 
 
-@pytest.mark.parametrize("inline", [1000, 0])
-def test_prefix_match(spark, inline):
+def test_prefix_match(spark):
     df = spark.createDataFrame([("gemini-pro",), ("gpt-4",), ("claude",), (None,), ("",)], "model STRING")
     prefixes = spark.createDataFrame([("gemini",), ("gpt-4",), ("gpt-44",)], "prefix STRING")
-    found = sanitize.match_model_prefix(df, prefixes, inline=inline).collect()
+    found = sanitize.match_model_prefix(df, prefixes).collect()
     assert {r["model"]: r["matched"] for r in found} == {"gemini-pro": True, "gpt-4": True, "claude": False, None: False, "": False}
-    everything = sanitize.match_model_prefix(df, prefixes.limit(0), inline=inline)
+    everything = sanitize.match_model_prefix(df, prefixes.limit(0))
     assert all(r["matched"] for r in everything.collect())
-    blank = sanitize.match_model_prefix(df, prefixes.union(spark.createDataFrame([("",)], "prefix STRING")), inline=inline)
+    blank = sanitize.match_model_prefix(df, prefixes.union(spark.createDataFrame([("",)], "prefix STRING")))
     assert all(r["matched"] for r in blank.collect())
 
 
