@@ -6,9 +6,10 @@ text so that about ``K (ln K + 4)`` darts fall on all its elements; each dart be
 coordinate is its signature. Where a coordinate stays empty, the bound is doubled. Two texts agree in a coordinate with a probability equal
 to their weighted Jaccard similarity. With 28 bands of 6 coordinates a pair of similarity 0.8 meets in a band with probability 0.9998.
 
-In each bucket of a band the texts are compared with one centre, the member that meets the most others in all its buckets; those that are
-not similar to it form the next round, until every bucket is done. So a bucket costs its size times the number of unlike clusters in
-it, never all pairs. Similarity is checked exactly on the texts. Only texts that differ are compared: copies are one node from the start.
+In each bucket of a band the texts are compared with one centre, the member that meets the most others in all its buckets. Then links make
+components, and in each bucket one member of every component that is not yet connected to the centre stays; these are compared with 16 centres a round
+until no bucket has two left. So copies and clusters cost their size, and only unlike texts that share most of their elements cost
+more. Similarity is checked exactly on the texts. Only texts that differ are compared: copies are one node from the start.
 
 Defined cases: null texts and texts without words are in classes of their own; rows of equal text share a class, whatever their id; the class id
 is the smallest ``doc_id`` of the class (null if it has none); repeated rows give repeated results; an empty
@@ -21,9 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import shared_dir
+from ..session import scratch_path
 from .components import connected_components
 from .text import as_bytes, mix, slices, split_words, word_codes
 
@@ -31,6 +32,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 28
 ROWS = 6
+#: Centres of a bucket in a round after the first.
+CENTRES = 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,44 +156,70 @@ def _similar(weighted: bool, least: float):
     return run
 
 
-def near_links(texts: DataFrame, members: DataFrame, weighted: bool = False, least: float = SIMILARITY) -> list[DataFrame]:
-    """Verified links (node, centre) of the buckets in ``members`` (key, node), found in rounds; ``texts`` has one row per node."""
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    """A compressed table in the shared folder: fixes the rows and cuts the lineage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, weighted: bool, least: float) -> DataFrame:
+    """The pairs (node, centre) whose texts are similar."""
+    pairs = pairs.select("node", "centre").distinct()
+    pairs = pairs.join(texts.select("node", F.col("text").alias("left")), "node")
+    pairs = pairs.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("right")), "centre")
+    return pairs.select("node", "centre", "left", "right").mapInArrow(_similar(weighted, least), "node binary, centre binary").checkpoint()
+
+
+def near_links(rows: DataFrame, nodes: DataFrame, members: DataFrame, weighted: bool = False, least: float = SIMILARITY) -> list[DataFrame]:
+    """Verified links (node, centre) of the buckets in ``members`` (key, node).
+
+    ``rows`` has doc_id, node and text; ``nodes`` has the ``first_id`` of each node.
+    """
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = members.join(sizes, "key").checkpoint()
+    shared = _saved(members.join(sizes, "key"), "buckets")
     meets = shared.groupBy("node").agg(F.sum("n").alias("meets"))
     still = shared.join(meets, "node").select("key", "node", "meets")
-    # Texts of the members of shared buckets only; every round reads them.
-    wanted = texts.join(meets.select("node"), "node", "left_semi").checkpoint()
-    links = []
+    # One text of each member of a shared bucket; only here do all texts move.
+    wanted = meets.select("node").join(nodes.select("node", F.col("first_id").alias("doc_id")), "node")
+    wanted = _saved(rows.join(wanted, ["node", "doc_id"]).select("node", "text"), "texts").dropDuplicates(["node"])
+
+    centres = still.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("best")).select("key", F.col("best.node").alias("centre"))
+    tests = still.join(centres, "key").where("node <> centre").checkpoint()
+    links = [_verified(tests, wanted, weighted, least)]
+    roots = connected_components(links[0].toDF("a", "b")).toDF("node", "root")
+    # What is connected to the centre by now, in whatever bucket, is done; of other components one member stays in each bucket.
+    rooted = tests.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rooted.join(roots.toDF("centre", "centre_root"), "centre", "left").where("root <> coalesce(centre_root, centre)")
+    best = F.max(F.struct("meets", "node")).alias("best")
+    still = rooted.groupBy("key", "root").agg(best).select("key", "best.node", "best.meets").checkpoint()
+    order = Window.partitionBy("key").orderBy(F.col("meets").desc(), "node")
     while True:
-        centres = still.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("best")).select("key", F.col("best.node").alias("centre"))
-        tests = still.join(centres, "key").where("node <> centre").checkpoint()
+        centres = still.withColumn("place", F.row_number().over(order)).where(F.col("place") <= CENTRES)
+        centres = centres.select("key", F.col("node").alias("centre"), "place")
+        tests = still.join(centres.drop("place"), "key").where("node <> centre").checkpoint()
         if tests.isEmpty():
             return links
-        pairs = tests.select("node", "centre").distinct()
-        pairs = pairs.join(wanted.select("node", F.col("text").alias("left")), "node")
-        pairs = pairs.join(wanted.select(F.col("node").alias("centre"), F.col("text").alias("right")), "centre")
-        found = pairs.select("node", "centre", "left", "right").mapInArrow(_similar(weighted, least), "node binary, centre binary").checkpoint()
+        found = _verified(tests, wanted, weighted, least)
         links.append(found)
-        still = tests.join(found, ["node", "centre"], "left_anti").select("key", "node", "meets")
+        gone = tests.join(found, ["node", "centre"], "left_semi").select("key", "node")
+        gone = gone.unionByName(centres.select("key", F.col("centre").alias("node"))).distinct()
+        still = still.join(gone, ["key", "node"], "left_anti").checkpoint()
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False, least: float = SIMILARITY
 ) -> DataFrame:
     """``doc_id``, ``class_id`` and ``node`` (digest of the text) of every row."""
-    shared_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # A row without words meets nobody and needs no node: its own hash of the id keeps such rows from one partition.
     rows = rows.withColumn("node", _node(F.coalesce("text", F.lit(""))))
     kind = rows.dtypes[0][1]
-    base = rows.mapInArrow(_keys(weighted), f"doc_id {kind}, node binary, keys array<bigint>").checkpoint()
+    base = _saved(rows.mapInArrow(_keys(weighted), f"doc_id {kind}, node binary, keys array<bigint>"), "signatures")
     worded = base.where(F.size("keys") > 0)
-    nodes = worded.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
-    members = nodes.select(F.explode("keys").alias("key"), "node")
-    first = worded.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = rows.join(first, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "text")
-    links = near_links(texts, members, weighted, least)
+    nodes = worded.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    keyed = worded.groupBy("node").agg(F.first("keys").alias("keys"))
+    members = keyed.select(F.explode("keys").alias("key"), "node")
+    links = near_links(rows, nodes, members, weighted, least)
     if not links:
         classes = nodes.select("node", F.col("first_id").alias("class_id"))
     else:
@@ -198,8 +227,7 @@ def near_duplicates(
         for more in links[1:]:
             edges = edges.unionByName(more)
         roots = connected_components(edges.toDF("a", "b"))
-        rooted = nodes.select("node", "first_id").join(roots.toDF("node", "root"), "node", "left")
-        rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+        rooted = nodes.join(roots.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         ids = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
         classes = rooted.join(ids, "root").select("node", "class_id")
     found = worded.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "node")
