@@ -219,12 +219,14 @@ def raw_calls(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_LAKES: dict[tuple[str, str], str] = {}
+_LAKES: dict[tuple, str] = {}
 
 
 def captured_path(spark: SparkSession, folder: str) -> str:
-    """A lake of the captured spans, written once per application and folder."""
-    key = (spark.sparkContext.applicationId, folder)
+    """A lake of the captured spans, written once per application and state of the input files."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/conversations.parquet")
+    state = listing.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0]
+    key = (spark.sparkContext.applicationId, folder, state)
     if key not in _LAKES:
         path = scratch_path(spark, "captured")
         write_spans(build_spans(raw_calls(spark, folder)), path, window_minutes=60)

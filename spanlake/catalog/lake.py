@@ -16,6 +16,8 @@ from .spans import TOKENS
 
 QUERIES, ORACLE, query = registry()
 
+_SIZE, _KEEP = 700, 3000
+
 
 def _lake(spark, folder, minutes=720):
     path = scratch_path(spark, "lake")
@@ -93,15 +95,53 @@ def date_hour(spark, folder):
     return dated.select("span_id", "date", F.col("hour").cast("bigint").alias("hour"))
 
 
-@query("merge_spans", "SELECT count(*) AS spans, count(DISTINCT user_id) AS rollouts FROM events")
+@query("merge_spans", _BY_SHARD)
 def merge_spans(spark, folder):
+    """The compacted lake still has its shards."""
     target = scratch_path(spark, "merged")
     sinks.merge_spans(sources.read_spans(spark, _lake(spark, folder)), target)
-    return sources.read_spans(spark, target).agg(
-        F.count("*").alias("spans"), F.count_distinct("rollout_id").alias("rollouts")
+    return sources.read_spans(spark, target).groupBy("shard").agg(
+        F.count("*").alias("spans"), F.min("start_time").alias("first_start"), F.max("span_id").alias("last_id")
     )
 
 
+def _totals(spark, path):
+    spans = sources.read_spans(spark, path, promoted=True)
+    return spans_ops.token_totals(spans.where(F.col("status") == "OK"), ["model"])
+
+
+_TOTALS = f"WITH {fx.RAW} SELECT model, {TOKENS} FROM raw WHERE NOT failed GROUP BY model"
+
+
+@query("merged_token_totals", _TOTALS)
+def merged_token_totals(spark, folder):
+    target = scratch_path(spark, "merged")
+    sinks.merge_spans(sources.read_spans(spark, fx.captured_path(spark, folder)), target)
+    return _totals(spark, target)
+
+
+@query("hour_token_totals", _TOTALS)
+def hour_token_totals(spark, folder):
+    target = scratch_path(spark, "hours")
+    sinks.write_spans_by_hour(fx.captured(spark, folder), target)
+    return _totals(spark, target)
+
+
+@query("batch_token_totals", _TOTALS)
+def batch_token_totals(spark, folder):
+    target = scratch_path(spark, "batches")
+    spans = sources.read_spans(spark, fx.captured_path(spark, folder)).drop("shard")
+    sinks.write_batches(batches.assign_batches(spans, _SIZE), target)
+    return _totals(spark, target)
+
+
+@query("imported_token_totals", _TOTALS)
+def imported_token_totals(spark, folder):
+    target = scratch_path(spark, "imported")
+    sources.import_foreign(spark, fx.captured_path(spark, folder), target)
+    return _totals(spark, target)
+
+
 @query("file_stats", "SELECT 'ok' AS state, count(*) AS rows, true AS has_size FROM events")
 def file_stats(spark, folder):
     stats = store.file_stats(spark, _lake(spark, folder))
@@ -125,10 +165,11 @@ def dataset_stats(spark, folder):
 
 @query(
     "store_stats",
-    f"""WITH {fx.EVENT_SPANS} SELECT count(*) AS spans, max({fx.shard_sql('start_time', 720)}) AS current_shard FROM event_spans""",
+    f"""WITH {fx.EVENT_SPANS} SELECT count(*) AS spans, max({fx.shard_sql('start_time', 720)}) AS current_shard, true AS has_files FROM event_spans""",
 )
 def store_stats(spark, folder):
-    return store.store_stats(sources.read_spans(spark, _lake(spark, folder))).drop("files")
+    stats = store.store_stats(sources.read_spans(spark, _lake(spark, folder)))
+    return stats.withColumn("has_files", F.col("files") > 0).drop("files")
 
 
 @query(
@@ -148,19 +189,15 @@ def head(spark, folder):
 
 @query(
     "latest_shard",
-    f"""WITH {fx.SPANS} SELECT count(*) AS spans, count(DISTINCT rollout_id) AS rollouts, max(start_time) AS last_start
-    FROM spans""",
+    f"""WITH {fx.EVENT_SPANS} SELECT name, 2 * count(*) AS spans, max(start_time) AS last_start FROM event_spans
+    WHERE {fx.shard_sql('start_time', 720)} = '20240115_120000' GROUP BY name""",
 )
 def latest_shard(spark, folder):
-    """A file of events is followed by one of calls; the newest file holds the calls."""
-    path = scratch_path(spark, "latest")
-    for spans in (fx.event_spans(spark, folder), fx.spans(spark, folder)):
-        spans.coalesce(1).write.mode("append").parquet(path)
-    return sources.latest_shard(spark, path).agg(
-        F.count("*").alias("spans"),
-        F.count_distinct("rollout_id").alias("rollouts"),
-        F.max("start_time").alias("last_start"),
-    )
+    """The rows of one shard are written a second time, so its folder has old and new files; all of them are the newest shard."""
+    path = _lake(spark, folder)
+    again = sinks.with_shard(fx.event_spans(spark, folder), 720).where(F.col("shard") == "20240115_120000").drop("shard")
+    sinks.write_spans(again, path, 720)
+    return sources.latest_shard(spark, path).groupBy("name").agg(F.count("*").alias("spans"), F.max("start_time").alias("last_start"))
 
 
 @query(
@@ -229,9 +266,6 @@ def read_model_config(spark, folder):
 
 _ORDINAL = f"""WITH {fx.EVENT_SPANS}, placed AS (SELECT span_id, start_time,
     row_number() OVER (ORDER BY start_time, span_id) - 1 AS ordinal, count(*) OVER () AS n FROM event_spans)"""
-_SIZE, _KEEP = 700, 3000
-
-
 @query("batch_assign", f"{_ORDINAL} SELECT span_id, ordinal, ordinal // {_SIZE} AS batch_idx FROM placed")
 def batch_assign(spark, folder):
     assigned = batches.assign_batches(fx.event_spans(spark, folder).select("span_id", "start_time"), _SIZE)

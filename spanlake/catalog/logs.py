@@ -176,3 +176,35 @@ def iso_durations(spark, folder):
 
 
 LINKED = _LINKED
+
+# Ids that come back every 400 entries.
+_REUSED = f"""WITH {fx.LOG}, reused AS (SELECT * REPLACE ('r' || (substr(request_id, 2)::BIGINT % 400)::VARCHAR AS request_id) FROM log
+    WHERE type IN ('request', 'response')), placed AS (SELECT *, lag(type) OVER w AS b_type, lag(method) OVER w AS b_method, lag(path) OVER w AS b_path,
+    lag(timestamp) OVER w AS b_timestamp, lag(ts) OVER w AS b_ts, lead(type) OVER w AS a_type FROM reused
+    WINDOW w AS (PARTITION BY request_id ORDER BY timestamp, type))"""
+
+
+def _reused(spark, folder):
+    number = F.substring("request_id", 2, 20).cast("bigint") % 400
+    log = fx.log(spark, folder).withColumn("request_id", F.concat(F.lit("r"), number.cast("string")))
+    return ops.filter_log(log, "request"), ops.filter_log(log, "response")
+
+
+@query(
+    "log_correlate_reused",
+    f"""{_REUSED} SELECT request_id, timestamp, CASE WHEN b_type = 'request' THEN b_method END AS request_method,
+    CASE WHEN b_type = 'request' THEN b_path END AS request_path, CASE WHEN b_type = 'request' THEN b_timestamp END AS request_timestamp,
+    CASE WHEN b_type = 'request' THEN round(date_diff('microsecond', b_ts, ts) / 1000.0::DOUBLE, 3) END AS duration_ms
+    FROM placed WHERE type = 'response'""",
+)
+def correlate_reused(spark, folder):
+    """A response belongs to the last request with its id since the response before it."""
+    return linked_columns(ops.correlate_log(*_reused(spark, folder)))
+
+
+@query(
+    "log_open_requests_reused",
+    f"{_REUSED} SELECT request_id, timestamp, path FROM placed WHERE type = 'request' AND a_type IS DISTINCT FROM 'response'",
+)
+def open_requests_reused(spark, folder):
+    return ops.open_requests(*_reused(spark, folder)).select("request_id", "timestamp", "path")

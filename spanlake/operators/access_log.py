@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import iso_duration_ms, truncate_text
-from .skew import join_unique
+from .ordinals import event_before
 
 
 def is_error() -> Column:
@@ -124,19 +124,37 @@ def log_detail_view(log: DataFrame) -> DataFrame:
     )
 
 
-def request_contexts(requests: DataFrame) -> DataFrame:
-    """One context per request id; of repeated ids the latest entry counts."""
-    context = F.struct("timestamp", "method", "path")
-    return (
-        requests.where(F.col("request_id").isNotNull())
-        .groupBy("request_id")
-        .agg(F.max(context).alias("context"))
-        .select(
-            "request_id",
-            F.col("context.method").alias("request_method"),
-            F.col("context.path").alias("request_path"),
-            F.col("context.timestamp").alias("request_timestamp"),
-        )
+#: Seconds of a time slice; events look for their neighbour in their own slice first.
+_SLICE_SECONDS = 3600
+
+
+def _events(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """Ids, times and kinds of both sides; a request sorts before a response of the same time."""
+    told = F.struct("timestamp", "method", "path")
+    asked = requests.select("request_id", "timestamp", F.lit(0).alias("kind"), told.alias("request"))
+    answered = responses.select("request_id", "timestamp", F.lit(1).alias("kind"), F.lit(None).cast(asked.schema["request"].dataType).alias("request"))
+    return asked.unionByName(answered).where(F.col("request_id").isNotNull())
+
+
+def _slice() -> Column:
+    return F.floor(F.unix_timestamp(F.to_timestamp("timestamp")) / _SLICE_SECONDS)
+
+
+def request_contexts(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """The request of each response: the last one with its id since the response before it.
+
+    One row per response id and time; a request is used up by the first response after it.
+    """
+    events = _events(requests, responses).dropDuplicates(["request_id", "timestamp", "kind"])
+    order = ["timestamp", "kind"]
+    before = F.struct("kind", "request")
+    placed = event_before(events, ["request_id"], _slice(), order, before, "before").where("kind = 1 AND before.kind = 0")
+    return placed.select(
+        "request_id",
+        "timestamp",
+        F.col("before.request.method").alias("request_method"),
+        F.col("before.request.path").alias("request_path"),
+        F.col("before.request.timestamp").alias("request_timestamp"),
     )
 
 
@@ -144,12 +162,18 @@ def correlate_log(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Every response with method, path and start of its request; null when there is none."""
     derived = ("request_method", "request_path", "request_timestamp", "duration_ms")
     bare = responses.drop(*derived)
-    joined = join_unique(bare, request_contexts(requests), ["request_id"])
+    # Rows without an id meet nobody, so they stay out of the join.
+    named = bare.where(F.col("request_id").isNotNull())
+    named = named.join(request_contexts(requests, responses), ["request_id", "timestamp"], "left").select(*bare.columns, *derived[:3])
+    joined = named.unionByName(bare.where(F.col("request_id").isNull()), allowMissingColumns=True)
     elapsed = iso_duration_ms(F.col("request_timestamp"), F.col("timestamp"))
     return joined.withColumn("duration_ms", elapsed)
 
 
 def open_requests(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Requests that have no response."""
-    answered = responses.select("request_id").where(F.col("request_id").isNotNull()).distinct()
-    return join_unique(requests, answered, ["request_id"], "left_anti")
+    """Requests that no response follows before the next request with their id."""
+    events = _events(requests, responses).dropDuplicates(["request_id", "timestamp", "kind"])
+    after = event_before(events, ["request_id"], _slice(), ["timestamp", "kind"], F.col("kind"), "after", after=True)
+    answered = after.where("kind = 0 AND after = 1").select("request_id", "timestamp")
+    named = requests.where(F.col("request_id").isNotNull()).join(answered, ["request_id", "timestamp"], "left_anti")
+    return named.select(*requests.columns).unionByName(requests.where(F.col("request_id").isNull()))

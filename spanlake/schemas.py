@@ -11,6 +11,8 @@ SPAN = (
 # Attributes that the lake keeps as columns of their own, so that summaries do not read the JSON text.
 PROMOTED = "model STRING, prompt_tokens BIGINT, completion_tokens BIGINT, total_tokens BIGINT, is_call BOOLEAN, has_response BOOLEAN"
 
+PROMOTED_NAMES = tuple(c.split()[0] for c in PROMOTED.split(", "))
+
 # Nested lists of a span that the 13 stored columns do not hold.
 EVENTS = "ARRAY<STRUCT<name: STRING, timestamp: DOUBLE, attributes: MAP<STRING, VARIANT>>>"
 LINKS = (

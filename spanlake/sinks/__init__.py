@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import schemas
 from ..functions import shard_label, with_attrs
 from ..operators.sessions import with_date_hour
 
@@ -16,7 +17,9 @@ def with_shard(spans: DataFrame, window_minutes: int = 5) -> DataFrame:
 
 
 def with_promoted(spans: DataFrame) -> DataFrame:
-    """Add the attributes of ``schemas.PROMOTED`` as columns, from one parse per row."""
+    """Add the attributes of ``schemas.PROMOTED`` as columns, from one parse per row; spans that have them keep them."""
+    if set(schemas.PROMOTED_NAMES) <= set(spans.columns):
+        return spans
     wanted = {"model": "llm.model", "_messages": "llm.request.messages", "_response": "llm.response.content"}
     wanted |= {c: f"llm.usage.{c}" for c in ("prompt_tokens", "completion_tokens", "total_tokens")}
     flags = {
@@ -41,24 +44,29 @@ def write_spans(spans: DataFrame, path: str, window_minutes: int = 5) -> None:
 
 def write_spans_by_hour(spans: DataFrame, path: str) -> None:
     """Append to a lake partitioned by date and hour."""
-    dated = with_date_hour(spans).hint("rebalance", "date", "hour")
-    dated.write.partitionBy("date", "hour").mode("append").parquet(path)
+    dated = with_date_hour(with_promoted(spans)).hint("rebalance", "date", "hour")
+    dated.sortWithinPartitions("date", "hour", "rollout_id", "start_time").write.partitionBy("date", "hour").mode("append").parquet(path)
 
 
 def write_batches(batched: DataFrame, path: str) -> None:
     """Append spans that carry ``batch_idx`` to the numbered-batch lake."""
     columns = [c for c in batched.columns if c != "ordinal"]
-    batched.select(*columns).hint("rebalance", "batch_idx").write.partitionBy("batch_idx").mode("append").parquet(path)
+    with_promoted(batched.select(*columns)).hint("rebalance", "batch_idx").write.partitionBy("batch_idx").mode("append").parquet(path)
 
 
 def merge_spans(spans: DataFrame, path: str, target_files: int | None = None) -> None:
-    """Compact the shards into one folder of files of the advisory size.
+    """Compact a lake into files of the advisory size, shard by shard.
 
-    ``target_files`` asks for a number of files; 1 is for tables that fit one task.
+    Partition columns, the order inside files and the promoted columns stay as :func:`write_spans` lays them out. ``target_files``
+    asks for one folder with a number of files; 1 is for tables that fit one task.
     """
-    plain = spans.drop(*_PART_COLUMNS)
-    laid_out = plain.hint("rebalance") if target_files is None else plain.repartition(target_files)
-    laid_out.write.mode("errorifexists").parquet(path)
+    laid = [c for c in _PART_COLUMNS if c in spans.columns]
+    rows = with_promoted(spans)
+    if target_files is not None:
+        rows.drop(*laid).repartition(target_files).write.mode("errorifexists").parquet(path)
+        return
+    ordered = rows.hint("rebalance", *laid).sortWithinPartitions(*laid, "rollout_id", "start_time")
+    (ordered.write.partitionBy(*laid) if laid else ordered.write).mode("errorifexists").parquet(path)
 
 
 def write_access_log(log: DataFrame, path: str) -> None:

@@ -21,10 +21,16 @@ def read_spans(
     """The span lake, with its partition columns (``shard``, ``batch_idx``) when it has them.
 
     Sub-folders are partitions here, so numbered batches are never invisible. ``promoted`` adds the
-    attribute columns of a lake written by ``write_spans``; operators use them instead of the JSON.
+    attribute columns that every writer of the package stores; operators use them instead of the JSON. A lake without
+    them is refused (the footers tell), because they would read as null.
     ``skip_unreadable`` leaves out broken files, which ``file_stats`` lists.
     """
     schema = f"{schemas.SPAN}, {schemas.PROMOTED}" if promoted else schemas.SPAN
+    if promoted and not streaming:
+        stored = spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(path).columns
+        absent = [c for c in schemas.PROMOTED_NAMES if c not in stored]
+        if absent:
+            raise ValueError(f"the lake at {path} has no columns {absent}; write it with spanlake.sinks")
     reader = _reader(spark, streaming).schema(schema)
     return reader.option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(path)
 
@@ -48,18 +54,23 @@ def import_foreign(
     non-vectorized reader fills it as null. That reader is a session setting, so the import runs in a
     session of its own and the lake keeps vectorized reads. Broken files are skipped or fail the
     import; ``file_stats`` of the source lists them. With ``batches`` the number of the folder a file
-    lies in becomes ``batch_idx``, as :func:`read_batches` expects it.
+    lies in becomes ``batch_idx``, as :func:`read_batches` expects it. The target must not exist yet, so that a second run
+    does not double the rows.
     """
+    # The sinks import readers of this module for their exports.
+    from ..sinks import with_promoted
+
     session = spark.newSession()
     session.conf.set("spark.sql.parquet.enableVectorizedReader", "false")
     session.conf.set("spark.sql.session.timeZone", "UTC")
     reader = session.read.schema(schemas.SPAN).option("recursiveFileLookup", "true")
     files = reader.option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(source)
-    writer = files.write
     if batches:
         number = F.regexp_extract(F.col("_metadata.file_path"), "/([0-9]+)/[^/]+$", 1).try_cast("bigint")
-        writer = files.withColumn("batch_idx", number).write.partitionBy("batch_idx")
-    writer.mode("append").parquet(target)
+        writer = with_promoted(files.withColumn("batch_idx", number)).write.partitionBy("batch_idx")
+    else:
+        writer = with_promoted(files).write
+    writer.mode("errorifexists").parquet(target)
     return read_spans(spark, target)
 
 
@@ -83,10 +94,19 @@ def listed_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_shard(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the file that was modified last; of several, the one with the largest name."""
+    """Rows of the shard that was written last: all files of its partition folder, or that file of a lake without folders.
+
+    Of several files of the same time the one with the largest path tells.
+    """
     newest = listed_files(spark, path).agg(F.max(F.struct("modified", "path")).alias("top")).first()["top"]
     spans = read_spans(spark, path)
-    return spans if newest is None else spans.where(file_path(F.col("_metadata.file_path")) == newest["path"])
+    if newest is None:
+        return spans
+    at = file_path(F.col("_metadata.file_path"))
+    folder, _, name = newest["path"].rpartition("/")
+    if "=" in folder.rpartition("/")[2]:
+        return spans.where(F.regexp_replace(at, "/[^/]*$", "") == folder)
+    return spans.where(at == newest["path"])
 
 
 def read_access_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import iso_duration_ms
 from ..operators import batches
-from ..operators.store import batch_state
 from ..sinks import with_promoted, with_shard
 from ..sources import read_spans
 
@@ -100,7 +99,9 @@ def correlate_stream(
 
     Responses without an id get a key of their own, so that they do not meet in one state partition.
     """
-    asked = _timed(requests.where(F.col("request_id").isNotNull()), "asked_at", lateness).select(
+    # A request that is replayed within the watermark counts once.
+    asked = _timed(requests.where(F.col("request_id").isNotNull()), "asked_at", lateness)
+    asked = asked.dropDuplicatesWithinWatermark(["request_id", "timestamp"]).select(
         F.col("request_id").alias("asked_id"),
         "asked_at",
         F.col("timestamp").alias("request_timestamp"),
@@ -160,7 +161,7 @@ def start_batch_sink(
         spark = batch.sparkSession
         first = _rows_before(spark, path, size, epoch)
         numbered = batches.assign_batches(batch, size, first=first).drop("ordinal")
-        numbered.withColumn("epoch", F.lit(epoch)).write.partitionBy("batch_idx", "epoch").mode("overwrite").option(
+        with_promoted(numbered).withColumn("epoch", F.lit(epoch)).write.partitionBy("batch_idx", "epoch").mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).parquet(path)
         if delete:
@@ -187,8 +188,10 @@ def _rows_before(spark: SparkSession, path: str, size: int, epoch: int) -> int:
     lake = _lake_or_none(spark, path)
     if lake is None:
         return 0
-    last = batch_state(lake.where(F.col("epoch") < epoch)).first()
-    return 0 if last["batch_idx"] is None else last["batch_idx"] * size + last["rows"]
+    earlier = lake.where(F.col("epoch") < epoch)
+    # The largest folder number first, then the rows of that batch alone.
+    last = earlier.agg(F.max("batch_idx")).first()[0]
+    return 0 if last is None else last * size + earlier.where(F.col("batch_idx") == last).count()
 
 
 def expired(present: list[int], size: int, keep_rows: int) -> list[int]:
