@@ -204,7 +204,7 @@ def correlate_reused(spark, folder):
 
 @query(
     "log_open_requests_reused",
-    f"{_REUSED} SELECT request_id, timestamp, path FROM placed WHERE type = 'request' AND a_type IS DISTINCT FROM 'response'",
+    f"{_REUSED} SELECT request_id, timestamp, path FROM placed WHERE type = 'request' AND a_type IS NULL",
 )
 def open_requests_reused(spark, folder):
     return ops.open_requests(*_reused(spark, folder)).select("request_id", "timestamp", "path")

@@ -171,9 +171,9 @@ def correlate_log(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def open_requests(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Requests that no response follows before the next request with their id."""
+    """Requests that wait: nothing with their id follows. A request that another one with its id replaced waits no more."""
     events = _events(requests, responses).dropDuplicates(["request_id", "timestamp", "kind"])
     after = event_before(events, ["request_id"], _slice(), ["timestamp", "kind"], F.col("kind"), "after", after=True)
-    answered = after.where("kind = 0 AND after = 1").select("request_id", "timestamp")
-    named = requests.where(F.col("request_id").isNotNull()).join(answered, ["request_id", "timestamp"], "left_anti")
+    done = after.where("kind = 0 AND after IS NOT NULL").select("request_id", "timestamp")
+    named = requests.where(F.col("request_id").isNotNull()).join(done, ["request_id", "timestamp"], "left_anti")
     return named.select(*requests.columns).unionByName(requests.where(F.col("request_id").isNull()))

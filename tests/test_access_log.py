@@ -72,6 +72,17 @@ def test_links(spark):
     check_links(spark)
 
 
+def test_reused_ids(spark):
+    """The last request before a response counts, and only the first response after it; slices of an hour do not matter."""
+    told = [("request", "10:00:00", "/a"), ("response", "10:01:00", None), ("request", "10:05:00", "/b"), ("request", "13:00:00", "/c"),
+            ("response", "15:00:00", None), ("response", "15:00:30", None), ("request", "18:00:00", "/d")]
+    entries = log(spark, *[dict(type=k, request_id="x", timestamp=f"2024-01-01T{t}", path=p, method=None) for k, t, p in told])
+    requests, responses = ops.filter_log(entries, "request"), ops.filter_log(entries, "response")
+    linked = {r["timestamp"][11:]: (r["request_path"], r["duration_ms"]) for r in ops.correlate_log(requests, responses).collect()}
+    assert linked == {"10:01:00": ("/a", 60_000.0), "15:00:00": ("/c", 7_200_000.0), "15:00:30": (None, None)}
+    assert pairs(ops.open_requests(requests, responses).select("path")) == [("/d",)]
+
+
 def test_links_with_heavy_keys(spark, heavy):
     check_links(spark)
 
