@@ -10,8 +10,14 @@ from .plans import exports
 from .session import build_session
 
 
+def _print_all(df):
+    """Every row as a line of JSON. The driver holds one partition at a time."""
+    for row in df.toJSON().toLocalIterator():
+        print(row)
+
+
 def _stats(spark, args):
-    store.file_stats(spark, args.path).orderBy("path").show(args.limit, truncate=False)
+    _print_all(store.file_stats(spark, args.path).orderBy("path"))
     store.dataset_stats(spark, args.path).show()
 
 
@@ -32,7 +38,7 @@ def _calls(spark, args):
 def _logs(spark, args):
     log, broken = sources.split_log(sources.read_access_log(spark, args.path))
     if args.type is not None or args.status is not None:
-        access_log.filter_log(log, args.type, args.status).show(args.limit, truncate=False, vertical=True)
+        _print_all(access_log.filter_log(log, args.type, args.status))
         return
     access_log.log_summary(log).show(truncate=False, vertical=True)
     for name in ("type", "status", "path", "error_path"):
@@ -41,7 +47,7 @@ def _logs(spark, args):
         access_log.most_common(counted, key).show(truncate=False)
     if args.details:
         access_log.log_detail_view(log).show(args.limit, truncate=False, vertical=True)
-    broken.show(args.limit, truncate=False)
+    _print_all(broken)
 
 
 def _export(spark, args):

@@ -42,7 +42,7 @@ def _finish(spark, start, df, name):
     """Run to the end of the input and read the result."""
     path = scratch_path(spark, name)
     streaming.run(start, df, path, scratch_path(spark, "checkpoint"))
-    return spark.read.parquet(path)
+    return streaming.read_snapshot(spark, path) if start is streaming.start_snapshot_sink else spark.read.parquet(path)
 
 
 @query("stream_ingest", _BY_SHARD)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,13 +33,13 @@ def build_session(app: str = "spanlake", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach; also used for checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back to a
-    temporary folder, because there the driver and the executors are one process.
+    The cluster names it in ``spark.checkpoint.dir``. Only a ``local`` or ``local[n]`` session may fall back to a
+    temporary folder, because there the driver and the executors are one process (``local-cluster`` is refused).
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="spanlake-")
     if sc.getCheckpointDir() is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -37,15 +38,28 @@ def start_span_sink(
 
 
 def start_snapshot_sink(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep the current result of a streaming aggregate at ``path`` (complete mode)."""
+    """Keep the current result of a streaming aggregate below ``path`` (complete mode), for :func:`read_snapshot`.
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    A micro-batch writes a folder of its own, ``epoch=<id>``, so readers of the one before are not disturbed and a crash leaves
+    it whole. Folders before the previous one are removed.
+    """
+
+    def replace(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        if epoch > 1:
+            _delete(batch.sparkSession, f"{path}/epoch={epoch - 2}")
 
     writer = df.writeStream.outputMode("complete").foreachBatch(replace)
     return writer.option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
 
 
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest snapshot. At most two folders are there, and the names of their files tell which is newer."""
+    lake = spark.read.parquet(path)
+    newest = max(int(re.search(r"/epoch=(\d+)/", name)[1]) for name in lake.inputFiles())
+    return lake.where(F.col("epoch") == newest).drop("epoch")
+
+
 def start_append_sink(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append the rows of a stream as Parquet files."""
     writer = df.writeStream.outputMode("append").format("parquet").option("path", path)

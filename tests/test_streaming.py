@@ -117,4 +117,4 @@ def test_log_stream(spark):
     spark.createDataFrame([(line,) for line in lines], "value STRING").write.text(source)
     good, _ = sources.split_log(sources.read_access_log(spark, source, streaming=True))
     streaming.run(streaming.start_snapshot_sink, access_log.count_by_type(good), out, scratch_path(spark, "cp"))
-    assert {r["type"]: r["count"] for r in spark.read.parquet(out).collect()} == {"request": 2, "error": 1}
+    assert {r["type"]: r["count"] for r in streaming.read_snapshot(spark, out).collect()} == {"request": 2, "error": 1}
