@@ -7,9 +7,9 @@ coordinate is its signature. Where a coordinate stays empty, the bound is double
 to their weighted Jaccard similarity. With 28 bands of 6 coordinates a pair of similarity 0.8 meets in a band with probability 0.9998.
 
 In each bucket of a band the texts are compared with one centre, the member that meets the most others in all its buckets. Then links make
-components, and in each bucket one member of every component that is not yet connected to the centre stays; these are compared with 16 centres a round
-until no bucket has two left. So copies and clusters cost their size, and only unlike texts that share most of their elements cost
-more. Similarity is checked exactly on the texts. Only texts that differ are compared: copies are one node from the start.
+components, and of each component that is not connected to the centre of its bucket one member goes on to finer bands (64 of 10 coordinates), where
+each bucket compares its members with 16 centres a round until none is left. So copies and clusters cost their size, and unlike texts that share a
+passage rarely meet again. Similarity is checked exactly on the texts. Only texts that differ are compared: copies are one node from the start.
 
 Defined cases: null texts and texts without words are in classes of their own; rows of equal text share a class, whatever their id; the class id
 is the smallest ``doc_id`` of the class (null if it has none); repeated rows give repeated results; an empty
@@ -26,14 +26,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import scratch_path
 from .components import connected_components
-from .text import as_bytes, mix, slices, split_words, word_codes
+from .text import SLICE_BYTES, as_bytes, mix, slices, split_words, word_codes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 28
 ROWS = 6
-#: Centres of a bucket in a round after the first.
+#: Finer bands for what the first round leaves, and the centres of a bucket in each of its rounds.
+FINE_BANDS = 64
+FINE_ROWS = 10
 CENTRES = 16
+#: Text bytes of one numpy round with fine bands.
+FINE_BYTES = 1 << 17
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,12 +124,12 @@ def _node(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
-def _keys(weighted: bool):
+def _keys(weighted: bool, bands: int, rows: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            sig, there = signatures(*elements(as_bytes(part.column("text")), weighted), part.num_rows)
-            keys = band_keys(sig)[there]
-            bounds = np.append(0, np.cumsum(there * BANDS)).astype(np.int32)
+        for part in slices(batches, "text", limit):
+            sig, there = signatures(*elements(as_bytes(part.column("text")), weighted), part.num_rows, bands * rows)
+            keys = band_keys(sig, bands)[there]
+            bounds = np.append(0, np.cumsum(there * bands)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), lists], ["doc_id", "node", "keys"])
 
@@ -191,8 +195,13 @@ def near_links(rows: DataFrame, nodes: DataFrame, members: DataFrame, weighted:
     # What is connected to the centre by now, in whatever bucket, is done; of other components one member stays in each bucket.
     rooted = tests.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = rooted.join(roots.toDF("centre", "centre_root"), "centre", "left").where("root <> coalesce(centre_root, centre)")
-    best = F.max(F.struct("meets", "node")).alias("best")
-    still = rooted.groupBy("key", "root").agg(best).select("key", "best.node", "best.meets").checkpoint()
+    best = F.max_by("node", F.struct("meets", "node")).alias("node")
+    # Unlike texts that share a passage meet in many buckets, but in few of finer bands.
+    left = rooted.groupBy("key", "root").agg(best).select("node").distinct()
+    left = wanted.join(left, "node", "left_semi").select(F.lit(0).cast("bigint").alias("doc_id"), "node", "text")
+    fine = left.mapInArrow(_keys(weighted, FINE_BANDS, FINE_ROWS, FINE_BYTES), "doc_id bigint, node binary, keys array<bigint>")
+    still = fine.select(F.explode("keys").alias("key"), "node", F.xxhash64("node").alias("meets"))
+    still = still.join(still.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "left_semi").checkpoint()
     order = Window.partitionBy("key").orderBy(F.col("meets").desc(), "node")
     while True:
         centres = still.withColumn("place", F.row_number().over(order)).where(F.col("place") <= CENTRES)
@@ -214,7 +223,7 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("node", _node(F.coalesce("text", F.lit(""))))
     kind = rows.dtypes[0][1]
-    base = _saved(rows.mapInArrow(_keys(weighted), f"doc_id {kind}, node binary, keys array<bigint>"), "signatures")
+    base = _saved(rows.mapInArrow(_keys(weighted, BANDS, ROWS, SLICE_BYTES), f"doc_id {kind}, node binary, keys array<bigint>"), "signatures")
     worded = base.where(F.size("keys") > 0)
     nodes = worded.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     keyed = worded.groupBy("node").agg(F.first("keys").alias("keys"))
