@@ -43,7 +43,7 @@ def request_model_and_params(spark, folder):
         "call_id",
         ops.model_name().alias("model"),
         *[
-            F.to_json(F.struct(ops.request_param(p).alias("v"))).substr(6, 100).alias(f"_{p}")
+            F.to_json(F.struct(ops.request_param(p).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(ops.request_param(p).alias("v"))))).alias(f"_{p}")
             for p in ("temperature", "max_tokens", "top_p")
         ],
         ops.request_tools().alias("tools"),
@@ -196,7 +196,7 @@ def capture_attribute_keys(spark, folder):
 def capture_quarantine(spark, folder):
     turn = F.split("call_id", "-")[2].cast("int") % 8
     spoiled = (
-        F.when(turn == 1, F.substring("kwargs", 2, 1000000))
+        F.when(turn == 1, F.substring("kwargs", 2, F.length("kwargs")))
         .when(turn == 3, '{"model":"m","messages":null}')
         .when(turn == 5, '{"model":"m","messages":["text"]}')
         .otherwise(F.col("kwargs"))

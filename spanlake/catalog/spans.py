@@ -235,7 +235,7 @@ def attr_extract(spark, folder):
 )
 def all_attributes(spark, folder):
     parsed = attrs_map(F.col("props"))
-    broken = attrs_map(F.substring("props", 2, 100))
+    broken = attrs_map(F.substring("props", 2, F.length("props")))
     return fx.table(spark, folder, "events").select(
         "event_id",
         parsed["k"].alias("k"),

@@ -34,9 +34,13 @@ def _json(df, column="messages"):
     return df.withColumn(column, F.to_json(column))
 
 
-@query("sft_records", f"WITH {_SFT} SELECT * FROM sft")
+SFT_WHOLE = f"""WITH {_SFT} SELECT s.*, '{{"attempt_id":"' || c.attempt_id || '","sequence_id":' || c.sequence_id::VARCHAR || ',"trace_id":"'
+    || substr(sha256(c.call_id), 1, 32) || '"}}' AS metadata FROM sft s JOIN captured c ON c.captured_id = s.id"""
+
+
+@query("sft_records", SFT_WHOLE)
 def sft_records(spark, folder):
-    return _sft(spark, folder).drop("metadata")
+    return _sft(spark, folder)
 
 
 _PAIR = """{'role': 'user', 'content': prompt}, {'role': 'assistant', 'content': response}"""
