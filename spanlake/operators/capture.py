@@ -62,7 +62,8 @@ def parse_calls(raw: DataFrame) -> DataFrame:
 def split_malformed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls that can become spans, and the quarantine: arguments that are not a JSON object, messages
     that are not a list of objects, or a missing start time."""
-    messages = F.from_json(request_payload(F.col("kwargs")), "messages VARIANT")["messages"]
+    hook_data = F.col("hook_data") if "hook_data" in raw.columns else None
+    messages = F.from_json(request_payload(F.col("kwargs"), hook_data), "messages VARIANT")["messages"]
     objects = F.forall(F.try_variant_get(messages, "$", "ARRAY<MAP<STRING, VARIANT>>"), lambda m: m.isNotNull())
     fine = (
         F.json_object_keys("kwargs").isNotNull()

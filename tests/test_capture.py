@@ -127,6 +127,12 @@ def test_quarantine(spark):
     assert good.count() + bad.count() == len(rows)
 
 
+def test_quarantine_of_hook_data(spark):
+    rows = [(str(i), "{}", None, None, 1.0, 2.0, h) for i, h in enumerate(['{"messages": [{"role": "user"}]}', '{"messages": [1]}', '{"messages": "x"}', None])]
+    good, bad = capture.split_malformed(spark.createDataFrame(rows, f"{schemas.RAW_CALL}, hook_data STRING"))
+    assert sorted(r["call_id"] for r in good.collect()) == ["0", "3"] and sorted(r["call_id"] for r in bad.collect()) == ["1", "2"]
+
+
 def test_prefix_match(spark):
     df = spark.createDataFrame([("gemini-pro",), ("gpt-4",), ("claude",), (None,), ("",)], "model STRING")
     prefixes = spark.createDataFrame([("gemini",), ("gpt-4",), ("gpt-44",)], "prefix STRING")
