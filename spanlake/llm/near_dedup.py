@@ -247,7 +247,7 @@ def near_duplicates(
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, the one with the smallest ``doc_id``, with all columns of ``docs``.
 
-    Rows without words and rows without id stay. Of rows that repeat an id and a text one stays.
+    Rows without words and rows without id stay. Rows that repeat both id and text are one document: they stay or go together.
     """
     found = near_duplicates(docs, **options)
     extra = found.where("doc_id IS NOT NULL AND doc_id > class_id").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
