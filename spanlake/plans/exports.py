@@ -296,10 +296,14 @@ def hf_rl(rl: DataFrame) -> DataFrame:
 _SLOTS = 65_536
 
 
-def _hash_slot(keys: Sequence[str], slots: int) -> Column:
-    """A repeatable slot from the first 8 hex digits of the md5 of the key."""
+def _hash_number(keys: Sequence[str]) -> Column:
+    """A repeatable number below 2^32 from the first 8 hex digits of the md5 of the key."""
     text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % slots
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def _hash_slot(keys: Sequence[str], slots: int) -> Column:
+    return _hash_number(keys) % slots
 
 
 def train_test_split(
@@ -307,7 +311,7 @@ def train_test_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Repeatable split by a hash of the key. A single row is not split.
 
-    Without ``exact`` the test part is every key in the first ``test_size`` of 2^32 slots: no
+    Without ``exact`` the test part is every key in the first ``test_size`` of 10,000 slots, the last of them in part: no
     shuffle, fraction approximate, copies of a key stay together. With ``exact`` it has exactly
     ``ceil(rows * test_size)`` rows: whole slots up to the boundary, and numbered rows of the one slot
     that the boundary cuts.
@@ -316,7 +320,9 @@ def train_test_split(
     if len(df.select(*keys).take(2)) <= 1:
         return df, df.limit(0)
     if not exact:
-        in_test = _hash_slot(keys, 1 << 32) < round(test_size * (1 << 32))
+        number = _hash_number(keys)
+        # The slot, and the place in it as a fraction: numbers below 2^32 fill less than 429,497 places of a slot.
+        in_test = number % 10_000 + F.floor(number / 10_000) / F.lit(429_497.0) < test_size * 10_000
         return df.where(~in_test), df.where(in_test)
     slot = _hash_slot(keys, _SLOTS)
     upto = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
