@@ -7,9 +7,12 @@ coordinate is its signature. Where a coordinate stays empty, the bound is double
 to their weighted Jaccard similarity. With 28 bands of 6 coordinates a pair of similarity 0.8 meets in a band with probability 0.9998.
 
 In each bucket of a band the texts are compared with one centre, the member that meets the most others in all its buckets. Then links make
-components, and of each component that is not connected to the centre of its bucket one member goes on to finer bands (64 of 10 coordinates), where
-each bucket compares its members with 16 centres a round until none is left. So copies and clusters cost their size, and unlike texts that share a
-passage rarely meet again. Similarity is checked exactly on the texts. Only texts that differ are compared: copies are one node from the start.
+components. A bucket whose other members are of one component is done. Of all others every member, linked or not, goes on to finer bands (64 of 10
+coordinates), where a bucket takes centres from its smallest components, 16 in the first round and twice as many in each next one, and compares them with all
+members of other components, until the members that were no centre yet are of one component. So no pair that meets in a fine bucket is left out unless links join
+it already, copies and clusters cost their size, and unlike texts that share a passage rarely meet again. Sizes and a sketch of 128 bits tell
+most unlike pairs apart before their texts move: a pair of similarity 0.8 differs in 12.8 bits on average, and one of more than 36 is not compared (it is
+lost with a probability below 1e-8). Similarity is checked exactly on the texts. Only texts that differ are compared: copies are one node from the start.
 
 Defined cases: null texts and texts without words are in classes of their own; rows of equal text share a class, whatever their id; the class id
 is the smallest ``doc_id`` of the class (null if it has none); repeated rows give repeated results; an empty
@@ -19,6 +22,7 @@ table gives an empty table; other columns of the input are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +36,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 28
 ROWS = 6
-#: Finer bands for what the first round leaves, and the centres of a bucket in each of its rounds.
+#: Finer bands for what the first round leaves, and the centres of a bucket in the first of its rounds.
 FINE_BANDS = 64
 FINE_ROWS = 10
 CENTRES = 16
+#: Bits of the sketch of a text.
+SKETCH = 128
 #: Text bytes of one numpy round with fine bands.
 FINE_BYTES = 1 << 17
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -136,6 +142,35 @@ def _keys(weighted: bool, bands: int, rows: int, limit: int):
     return run
 
 
+_FINE = "node binary, size double, sketch array<bigint>, keys array<bigint>"
+
+
+def _fine_keys(weighted: bool):
+    """Keys of the fine bands, with the weight of all elements and one bit of each of ``SKETCH`` coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", FINE_BYTES):
+            text, code, weight = elements(as_bytes(part.column("text")), weighted)
+            sig, _ = signatures(text, code, weight, part.num_rows, FINE_BANDS * FINE_ROWS)
+            bits = np.packbits((sig[:, :SKETCH] >> np.uint64(40) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            size = pa.array(np.bincount(text, weight, part.num_rows))
+            lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (bits, band_keys(sig, FINE_BANDS))]
+            yield pa.RecordBatch.from_arrays([part.column("node"), size, *lists], ["node", "size", "sketch", "keys"])
+
+    return run
+
+
+def _most_bits(least: float) -> int:
+    """Differing bits that a pair of similarity ``least`` exceeds with a probability below 1e-8."""
+    share = (1 - least) / 2
+    tail, chance = 0.0, [comb(SKETCH, k) * share**k * (1 - share) ** (SKETCH - k) for k in range(SKETCH + 1)]
+    for k in range(SKETCH, 0, -1):
+        tail += chance[k]
+        if tail >= 1e-8:
+            return k
+    return 0
+
+
 def similarities(left: list[bytes], right: list[bytes], weighted: bool = False) -> np.ndarray:
     """Exact weighted Jaccard similarity of each pair of texts."""
     n = len(left)
@@ -192,28 +227,43 @@ def near_links(rows: DataFrame, nodes: DataFrame, members: DataFrame, weighted:
     tests = still.join(centres, "key").where("node <> centre").checkpoint()
     links = [_verified(tests, wanted, weighted, least)]
     roots = connected_components(links[0].toDF("a", "b")).toDF("node", "root")
-    # What is connected to the centre by now, in whatever bucket, is done; of other components one member stays in each bucket.
-    rooted = tests.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = rooted.join(roots.toDF("centre", "centre_root"), "centre", "left").where("root <> coalesce(centre_root, centre)")
-    best = F.max_by("node", F.struct("meets", "node")).alias("node")
+    # The centre has met its whole bucket. Where its other members are of several components, all of them go on.
+    rooted = tests.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    left = rooted.join(mixed, "key", "left_semi").select("node", "root").distinct()
     # Unlike texts that share a passage meet in many buckets, but in few of finer bands.
-    left = rooted.groupBy("key", "root").agg(best).select("node").distinct()
-    left = wanted.join(left, "node", "left_semi").select(F.lit(0).cast("bigint").alias("doc_id"), "node", "text")
-    fine = left.mapInArrow(_keys(weighted, FINE_BANDS, FINE_ROWS, FINE_BYTES), "doc_id bigint, node binary, keys array<bigint>")
-    still = fine.select(F.explode("keys").alias("key"), "node", F.xxhash64("node").alias("meets"))
-    still = still.join(still.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "left_semi").checkpoint()
-    order = Window.partitionBy("key").orderBy(F.col("meets").desc(), "node")
+    fine = wanted.join(left.select("node"), "node", "left_semi").mapInArrow(_fine_keys(weighted), _FINE)
+    still = fine.select(F.explode("keys").alias("key"), "node", "size", F.col("sketch")[0].alias("s0"), F.col("sketch")[1].alias("s1"))
+    still = still.join(left, "node").withColumn("turn", F.xxhash64("node"))
+    order = Window.partitionBy("key").orderBy("members", "turn", "node")
+    sized = F.least("size", "c_size") >= F.greatest("size", "c_size") * (least - 1e-9)
+    alike = F.bit_count(F.col("s0").bitwiseXOR(F.col("c_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("c_s1"))) <= _most_bits(least)
+    first, second = F.least("node", "centre"), F.greatest("node", "centre")
+    fresh = [F.when(F.col("node") < F.col("centre"), F.col(x)).otherwise(F.col(y)) for x, y in (("root", "c_root"), ("c_root", "root"))]
+    done, many = None, CENTRES
     while True:
-        centres = still.withColumn("place", F.row_number().over(order)).where(F.col("place") <= CENTRES)
-        centres = centres.select("key", F.col("node").alias("centre"), "place")
-        tests = still.join(centres.drop("place"), "key").where("node <> centre").checkpoint()
-        if tests.isEmpty():
+        groups = still.groupBy("key", "root").agg(F.count("*").alias("members"))
+        mixed = groups.groupBy("key").agg(F.count("*").alias("roots")).where("roots > 1").select("key")
+        still = still.join(groups.join(mixed, "key", "left_semi"), ["key", "root"]).checkpoint()
+        if still.isEmpty():
             return links
+        centres = still.withColumn("place", F.row_number().over(order)).where(F.col("place") <= many)
+        centres = centres.select("key", *(F.col(c).alias(f"c_{c}") for c in ("root", "size", "s0", "s1")), F.col("node").alias("centre")).checkpoint()
+        tests = still.join(centres, "key").where((F.col("root") != F.col("c_root")) & sized & alike)
+        tests = tests.select(first.alias("a"), second.alias("b"), fresh[0].alias("a_root"), fresh[1].alias("b_root")).distinct()
+        tests = tests.select(F.col("a").alias("node"), F.col("b").alias("centre"), "a_root", "b_root")
+        if done is not None:
+            tests = tests.join(done, ["node", "centre"], "left_anti")
+        tests = tests.checkpoint()
         found = _verified(tests, wanted, weighted, least)
         links.append(found)
-        gone = tests.join(found, ["node", "centre"], "left_semi").select("key", "node")
-        gone = gone.unionByName(centres.select("key", F.col("centre").alias("node"))).distinct()
-        still = still.join(gone, ["key", "node"], "left_anti").checkpoint()
+        tested = tests.select("node", "centre")
+        done = tested if done is None else done.unionByName(tested)
+        joined = tests.join(found, ["node", "centre"]).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        moved = connected_components(joined).toDF("root", "new_root")
+        still = still.drop("members").join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti")
+        still = still.join(moved, "root", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
+        many *= 2
 
 
 def near_duplicates(

@@ -96,6 +96,39 @@ def test_near_duplicates(spark):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
+def brute_classes(texts):
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: root(i) for i in range(len(texts))}
+
+
+def test_chains_of_variants(spark):
+    """Each text y is like one x only, and of nearly all buckets of both a third text is the centre."""
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(500)]
+    texts = [rnd.choices(vocab, k=104)]
+    for _ in range(40):
+        x = texts[0][:-2] + rnd.choices(vocab, k=2)
+        y = list(x)
+        for at in rnd.sample(range(5, 95, 5), 2):
+            y[at] = rnd.choice(vocab)
+        texts += [x, y]
+    texts = [" ".join(t) for t in texts]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == brute_classes(texts)
+
+
 def test_exact_similarity():
     left, right = ["a b c d e f a b c d e f", "", "x y"], ["a b c d e f", "", "y x"]
     assert near_dedup.similarities([t.encode() for t in left], [t.encode() for t in right]).tolist() == [2 / 6, 0, 0]
