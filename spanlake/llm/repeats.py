@@ -259,10 +259,12 @@ class _Merge:
                 fresh.append([])
             elif not fresh:
                 fresh.append([])
-            owner = self.first.setdefault(raw, (doc, low))
-            if owner == (doc, low):
+            owner = self.first.get(raw)
+            if owner is None:
+                self.first[raw] = (doc, low)
                 fresh[-1].append((gram, doc, low, n, raw))
-            else:
+            elif owner != (doc, low):
+                # The owner's own snippet that comes again is no repeat of itself.
                 out.append((doc, low, n))
         open_gram = self.gram
         # An anchor with one spelling and no earlier block holds no further repeats, unless its spelling repeats itself.
@@ -374,6 +376,8 @@ def remove_repeats(
     kind = pa.string() if types[id_col] == "string" else pa.int64()
     level = placed.join(held, "doc").join(_copies(rows, doc_id, text), "doc", "left")
     level = level.withColumns({"doc_id": F.col(doc_id), "text": F.col(text), "copy": F.coalesce("copy", F.lit(False))})
+    # Repeated rows are one document: of those with one key, which may come in different slices and tasks, one goes on.
+    level = level.select("doc_id", "doc", "text", "copy", "held").dropDuplicates(["doc"])
     schema = f"gram bigint, last boolean, doc_id {'string' if types[id_col] == 'string' else 'bigint'}, doc bigint, low bigint, n bigint, bytes binary"
     level = level.mapInArrow(_first_level(kind), schema).repartition(parts, "gram").sortWithinPartitions("gram", "last", "doc_id", "doc", "low")
     runs = level.mapInArrow(_second_level, "doc bigint, low bigint, n bigint")

@@ -193,6 +193,16 @@ def test_repeats(spark, seed, monkeypatch):
     assert got == brute_repeats([(i, (t or "").encode()) for i, t in enumerate(texts)])
 
 
+def test_repeated_rows_in_different_slices(spark):
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choices("abcdefghij", k=n)) for n in (2_300_000, 2_100_000, 500)]
+    rows = [(i, t) for i, t in enumerate(texts)] * 2 + [(7, texts[2] + texts[0][:300])]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).select("doc_id", "n_removed").collect()
+    assert sorted(map(tuple, got)) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 0), (2, 0), (7, 800)]
+    merge, row = repeats._Merge(), (1, 5, 0, 41, texts[0][:140].encode())
+    assert merge.block([row, row]) == merge.block([row]) == []
+
+
 def test_merge_over_blocks():
     """The windows of one anchor that come in several blocks, against one block."""
     rnd = random.Random(7)
