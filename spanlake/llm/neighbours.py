@@ -3,15 +3,15 @@
 Unit vectors are clustered into lists. A vector goes to its nearest centroid and also to others that are nearly as near (boundary
 vectors), unless a centroid chosen before is nearer to that centroid than the vector is. Queries walk a neighbour graph of the centroids and search the lists
 whose distance is at most a ratio times the nearest one's; the ratio is the least that finds ``AIM`` of the true neighbours of ``PROBES`` sample vectors
-in the sample. Lists of more than ``BLOCK_ROWS`` rows are dealt to several blocks, and a query
+in the sample. Where these lists hold fewer than ``k`` other ids, the next nearest ones are searched, too. Lists of more than ``BLOCK_ROWS`` rows are dealt to several blocks, and a query
 visits all blocks of its lists, so a hot list costs many tasks little. A block keeps the best ``k`` of each query; the final order is by
 cosine on the original vectors in double precision.
 
 The centroids are fitted on at most ``SAMPLE_ROWS`` vectors (the first by a hash of their id); every vector is indexed.
 
 Defined cases: vectors that are null, zero, of another length than most vectors of the sample, or hold null or non-finite components take no part; ties go to
-the smaller id; a query whose own id is repeated skips all rows of that id; with fewer than ``k`` other vectors it gets what its
-lists hold, and below ``EXACT_ROWS`` sample vectors there is one list, which holds all; an empty table gives an empty table.
+the smaller id; a query whose own id is repeated skips all rows of that id; with fewer than ``k`` other ids in the table it gets all of them;
+below ``EXACT_ROWS`` sample vectors there is one list, which holds all; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -141,10 +141,15 @@ def fit_ratio(index: Index, x: np.ndarray, k: int, aim: float = AIM) -> float:
     return float(np.quantile(needed, aim, method="higher")) if needed else 1.0
 
 
-def probed_lists(index: Index, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and list of every list that a query searches."""
+def probed_lists(index: Index, x: np.ndarray, ratio: float, held: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and list of every list that a query searches: those within the ratio, and the next nearest until all hold ``least`` ids.
+
+    ``held`` has the ids of each list, each id counted in one list only.
+    """
     order, distance = search_graph(index, x, len(index.centroids))
-    return np.nonzero(distance <= ratio * distance[:, :1] + 1e-12)[0], order[distance <= ratio * distance[:, :1] + 1e-12]
+    before = np.cumsum(held[order], axis=1) - held[order]
+    asked = (distance <= ratio * distance[:, :1] + 1e-12) | (before < least)
+    return np.nonzero(asked)[0], order[asked]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -223,7 +228,13 @@ def nearest(
     ratio = fit_ratio(index, sample, k) if ratio is None else ratio
     shared = spark.sparkContext.broadcast(index)
     postings = rows.mapInArrow(_spread(shared, posting_lists), schema).checkpoint()
-    queries = rows.where(is_query).mapInArrow(_spread(shared, lambda i, x: probed_lists(i, x, ratio)), schema)
+    # At most LISTS rows. Copies of a vector and repeated ids count once, so what the searched lists hold is not counted too high.
+    counted = postings.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect()
+    held = np.zeros(len(index.centroids), np.int64)
+    for row in counted:
+        held[row["list"]] = row["count"]
+    # The query itself is one of the ids.
+    queries = rows.where(is_query).mapInArrow(_spread(shared, lambda i, x: probed_lists(i, x, ratio, held, k + 1)), schema)
     sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
     # At most LISTS rows.
     sizes = F.broadcast(sizes)

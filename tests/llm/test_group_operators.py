@@ -250,6 +250,25 @@ def test_neighbours(spark):
     assert neighbours.nearest(few.where("false"), "true").count() == 0
 
 
+def test_neighbours_of_small_clusters(spark, monkeypatch):
+    """Three near vectors far from all others have a list of their own and still get five rows."""
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(size=(1500, 8)) * 0.01 + np.eye(8)[k % 4] for k in range(2)] + [rng.normal(size=(3, 8)) * 0.001 - np.eye(8)[5]])
+    lonely = neighbours._unit(np.vstack([x[:1], x[1500:1501], x[-1:]]))
+    index = neighbours.Index(lonely, np.argsort(neighbours._distances(lonely, lonely), axis=1)[:, 1:], np.arange(3))
+    monkeypatch.setattr(neighbours, "build_index", lambda sample, lists: index)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = neighbours.nearest(table, "vec_id >= 2999", ratio=1.0).collect()
+    assert collections.Counter(r.query_id for r in got) == {i: 5 for i in range(2999, 3003)}
+    unit = neighbours._unit(x)
+    score = unit @ unit[3002]
+    score[3002] = -9
+    assert [r.vec_id for r in sorted(got, key=lambda r: (r.query_id, r["rank"])) if r.query_id == 3002][:2] == np.argsort(-score)[:2].tolist()
+    index = neighbours.Index(lonely, index.graph, index.entries)
+    rows, lists = neighbours.probed_lists(index, lonely[2:], 1.0, np.array([2, 1, 3]), 6)
+    assert (rows == 0).all() and 2 in lists and len(lists) == 3
+
+
 SCHEMAS = {"f": {"x": ("integer", True), "y": ("number", False), "z": ("string", False)}, "g": {"a": ("array", False), "b": ("boolean", False), "o": ("object", False)}}
 MESSAGES = f"conv_id bigint, turn bigint, role string, content string, tool_calls array<{tool_calls.CALL}>, tool_call_id string, json string, errors int"
 
