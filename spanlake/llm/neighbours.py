@@ -10,7 +10,7 @@ cosine on the original vectors in double precision.
 The centroids are fitted on at most ``SAMPLE_ROWS`` vectors (the first by a hash of their id); every vector is indexed.
 
 Defined cases: vectors that are null, zero, of another length than most vectors of the sample, or hold null or non-finite components take no part; ties go to
-the smaller id; a query whose own id is repeated skips all rows of that id; with fewer than ``k`` other ids in the table it gets all of them;
+the smaller id; rows of one id are one vector with several places: a pair of ids has the best score of its rows, and a query skips all rows of its own id; with fewer than ``k`` other ids in the table it gets all of them;
 below ``EXACT_ROWS`` sample vectors there is one list, which holds all; an empty table gives an empty table.
 """
 
@@ -174,23 +174,33 @@ def _cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
 
 
+def _distinct(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows that differ in id or vector."""
+    if not rows["vec_id"].duplicated().any():
+        return rows
+    return rows[~pd.DataFrame({"vec_id": rows["vec_id"], "raw": [np.asarray(v, float).tobytes() for v in rows["vector"]]}).duplicated()]
+
+
 def _best_in_block(k: int):
     def run(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("vec_id")
+        rows, queries = _distinct(rows).sort_values("vec_id", kind="stable"), _distinct(queries)
         q, x = np.stack(queries["vector"]).astype(float), np.stack(rows["vector"]).astype(float)
         ids, own = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
         out = []
         unit = _unit(x).T
+        heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         for start in range(0, len(q), 512):
             part = _unit(q[start : start + 512]) @ unit
             part[own[start : start + 512, None] == ids[None, :]] = -np.inf
-            least = np.partition(part, max(0, part.shape[1] - k), axis=1)[:, max(0, part.shape[1] - k)]
+            # An id counts once, with the nearest of its vectors.
+            by_id = part if len(heads) == len(ids) else np.maximum.reduceat(part, heads, axis=1)
+            least = np.partition(by_id, max(0, by_id.shape[1] - k), axis=1)[:, max(0, by_id.shape[1] - k)]
             # Everything that rounding could put among the best; exact scores decide, ties by id.
             at, of = np.nonzero((part >= least[:, None] - 1e-9) & np.isfinite(part))
             at = at + start
             score = _cosines(q[at], x[of])
             found = pd.DataFrame({"query_id": own[at], "vec_id": ids[of], "score": score}).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-            out.append(found.groupby("query_id").head(k))
+            out.append(found.drop_duplicates(["query_id", "vec_id"]).groupby("query_id").head(k))
         return pd.concat(out)
 
     return run
@@ -248,7 +258,7 @@ def nearest(
         .applyInPandas(_guarded(_best_in_block(k)), "query_id bigint, vec_id bigint, score double")
     )
     # A query has at most k rows of each block it searched; a replicated vector comes from several lists.
-    best = found.distinct()
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(place).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

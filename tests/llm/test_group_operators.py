@@ -269,6 +269,22 @@ def test_neighbours_of_small_clusters(spark, monkeypatch):
     assert (rows == 0).all() and 2 in lists and len(lists) == 3
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Query and candidate rows given several times, and ids with several vectors."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(200, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += rows[:5] * 4 + rows[100:140] * 2 + [(150 + i % 3, v.tolist()) for i, v in enumerate(x[:20] + 0.01)] + [(0, x[77].tolist())]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    got = neighbours.nearest(table, "vec_id < 20").collect()
+    ids, unit = np.array([r[0] for r in rows]), neighbours._unit(np.array([r[1] for r in rows]))
+    score = unit @ unit.T
+    for q in range(20):
+        best = {v: score[np.ix_(ids == q, ids == v)].max() for v in set(ids.tolist()) - {q}}
+        want = sorted(best, key=lambda v: (-round(best[v], 12), v))[:5]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
 SCHEMAS = {"f": {"x": ("integer", True), "y": ("number", False), "z": ("string", False)}, "g": {"a": ("array", False), "b": ("boolean", False), "o": ("object", False)}}
 MESSAGES = f"conv_id bigint, turn bigint, role string, content string, tool_calls array<{tool_calls.CALL}>, tool_call_id string, json string, errors int"
 
