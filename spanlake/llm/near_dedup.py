@@ -220,8 +220,9 @@ def near_links(rows: DataFrame, nodes: DataFrame, members: DataFrame, weighted:
     meets = shared.groupBy("node").agg(F.sum("n").alias("meets"))
     still = shared.join(meets, "node").select("key", "node", "meets")
     # One text of each member of a shared bucket; only here do all texts move.
-    wanted = meets.select("node").join(nodes.select("node", F.col("first_id").alias("doc_id")), "node")
-    wanted = _saved(rows.join(wanted, ["node", "doc_id"]).select("node", "text"), "texts").dropDuplicates(["node"])
+    wanted = meets.select(F.col("node").alias("_node")).join(nodes.select(F.col("node").alias("_node"), "first_id"), "_node")
+    own = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    wanted = _saved(rows.join(wanted, own).select("node", "text"), "texts").dropDuplicates(["node"])
 
     centres = still.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("best")).select("key", F.col("best.node").alias("centre"))
     tests = still.join(centres, "key").where("node <> centre").checkpoint()
@@ -266,10 +267,8 @@ def near_links(rows: DataFrame, nodes: DataFrame, members: DataFrame, weighted:
         many *= 2
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False, least: float = SIMILARITY
-) -> DataFrame:
-    """``doc_id``, ``class_id`` and ``node`` (digest of the text) of every row."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, weighted: bool, least: float) -> DataFrame:
+    """``doc_id``, ``class_id``, ``node`` and ``root`` of every row; ``root`` tells classes apart and is null without words."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("node", _node(F.coalesce("text", F.lit(""))))
     kind = rows.dtypes[0][1]
@@ -280,7 +279,7 @@ def near_duplicates(
     members = keyed.select(F.explode("keys").alias("key"), "node")
     links = near_links(rows, nodes, members, weighted, least)
     if not links:
-        classes = nodes.select("node", F.col("first_id").alias("class_id"))
+        classes = nodes.select("node", F.col("first_id").alias("class_id"), F.col("node").alias("root"))
     else:
         edges = links[0]
         for more in links[1:]:
@@ -288,19 +287,36 @@ def near_duplicates(
         roots = connected_components(edges.toDF("a", "b"))
         rooted = nodes.join(roots.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         ids = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
-        classes = rooted.join(ids, "root").select("node", "class_id")
-    found = worded.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "node")
-    alone = base.where(F.size("keys") == 0).select("doc_id", F.col("doc_id").alias("class_id"), "node")
+        classes = rooted.join(ids, "root").select("node", "class_id", "root")
+    found = worded.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "node", "root")
+    alone = base.where(F.size("keys") == 0).select("doc_id", F.col("doc_id").alias("class_id"), "node", F.lit(None).cast("binary").alias("root"))
     return found.unionByName(alone)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class, the one with the smallest ``doc_id``, with all columns of ``docs``.
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False, least: float = SIMILARITY
+) -> DataFrame:
+    """``doc_id``, ``class_id`` and ``node`` (digest of the text) of every row."""
+    return _classes(docs, id_col, text_col, weighted, least).drop("root")
+
+
+def keep_one(docs: DataFrame, weighted: bool = False, least: float = SIMILARITY) -> DataFrame:
+    """One row of each class with all columns of ``docs``: the smallest ``doc_id`` (null last), then the smallest digest of the text, then of the row.
 
-    Rows without words and rows without id stay. Rows that repeat both id and text are one document: they stay or go together.
+    Rows without words stay, each is a class of its own.
     """
-    found = near_duplicates(docs, **options)
-    extra = found.where("doc_id IS NOT NULL AND doc_id > class_id").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    marked = docs.withColumn("_node", _node(F.coalesce("text", F.lit(""))))
-    kept = marked.join(extra, (marked["doc_id"] == extra["_id"]) & (marked["_node"] == extra["_node"]), "left_anti")
-    return kept.drop("_node")
+    found = _classes(docs, "doc_id", "text", weighted, least).where("root IS NOT NULL")
+    # All but the joins with the documents is narrow. A text is in one class.
+    places = found.groupBy("root", "doc_id", "node").agg(F.count("*").alias("n"))
+    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
+    best = places.groupBy("root").agg(F.min(at).alias("best"))
+    placed = places.join(best, "root").withColumn("chosen", at == F.col("best"))
+    placed = _saved(placed.where("NOT chosen OR n > 1").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "chosen"), "places")
+    marked = docs.withColumn("_text_node", _node(F.coalesce("text", F.lit(""))))
+    same = marked["doc_id"].eqNullSafe(placed["_id"]) & (marked["_text_node"] == placed["_node"])
+    single = marked.join(placed, same, "left_anti").select(*docs.columns)
+    # Of a chosen row that is given several times, one.
+    whole = F.struct(*docs.columns)
+    again = marked.join(placed.where("chosen"), same, "left_semi")
+    again = again.groupBy(F.col("doc_id").alias("_id"), "_text_node").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_row"))
+    return single.unionByName(again.select("_row.*"))

@@ -129,6 +129,16 @@ def test_chains_of_variants(spark):
     assert got == brute_classes(texts)
 
 
+def test_keep_one_of_repeated_rows(spark):
+    """Repeated rows, like texts under one id, and null ids: one row of each class; rows without words stay."""
+    like = [" ".join(f"{name}{k}" for k in range(60)) for name in "abcd"]
+    rows = [(1, like[0], "x"), (1, like[0], "y"), (1, like[0], "x"), (2, like[0], "x"), (5, like[1], "p"), (5, like[1] + " more", "p"), (9, like[1], "p")]
+    rows += [(None, like[2], "n"), (None, like[2], "n"), (None, like[2] + " more", "n"), (5, like[3], "q"), (None, None, "e"), (None, None, "e"), (3, "!!", "e"), (3, "!!", "e")]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)).collect()
+    worded = sorted((str(r.doc_id), r.text.split()[0]) for r in kept if r.source != "e")
+    assert worded == [("1", "a0"), ("5", "b0"), ("5", "d0"), ("None", "c0")] and len(kept) == 8
+
+
 def test_exact_similarity():
     left, right = ["a b c d e f a b c d e f", "", "x y"], ["a b c d e f", "", "y x"]
     assert near_dedup.similarities([t.encode() for t in left], [t.encode() for t in right]).tolist() == [2 / 6, 0, 0]
