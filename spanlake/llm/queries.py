@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, languages, licenses, near_dedup, neighbours, pieces, repeats, sharding, tool_calls, tool_traffic, toxicity
+from . import decontamination, languages, licenses, near_dedup, neighbours, pieces, quality, repeats, sharding, tool_calls, tool_traffic, toxicity
 
 QUERIES = {}
 ORACLE = {}
@@ -109,3 +109,11 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op9_tool_calls"] = tool_traffic.SQL
+
+
+@register
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents")).withColumn("broken", F.array_join("broken", ","))
+
+
+ORACLE["op11_quality_rules"] = quality.SQL
