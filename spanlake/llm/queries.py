@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, languages, licenses, near_dedup, neighbours, pieces, quality, repeats, sharding, tool_calls, tool_traffic, toxicity
+from . import decontamination, languages, licenses, near_dedup, neighbours, pieces, quality, repeats, sharding, spelling, tool_calls, tool_traffic, toxicity
 
 QUERIES = {}
 ORACLE = {}
@@ -117,3 +117,12 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_quality_rules"] = quality.SQL
+
+
+@register
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = spelling.vocabulary(spelling.damaged_words(_table(spark, sf_dir, "documents")))
+    return spelling.group_variants(vocab).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLE["op12_spelling_variants"] = spelling.SQL
