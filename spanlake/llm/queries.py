@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, languages, licenses, near_dedup, neighbours, pieces, quality, repeats, sharding, spelling, tool_calls, tool_traffic, toxicity
+from . import decontamination, languages, licenses, near_dedup, neighbours, pieces, quality, ranking, repeats, sharding, spelling, tool_calls, tool_traffic, toxicity
 
 QUERIES = {}
 ORACLE = {}
@@ -126,3 +126,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_spelling_variants"] = spelling.SQL
+
+
+@register
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_ranked_search"] = ranking.SQL
