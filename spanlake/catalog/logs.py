@@ -190,21 +190,19 @@ def _reused(spark, folder):
     return ops.filter_log(log, "request"), ops.filter_log(log, "response")
 
 
-@query(
-    "log_correlate_reused",
-    f"""{_REUSED} SELECT request_id, timestamp, CASE WHEN b_type = 'request' THEN b_method END AS request_method,
+LINKED_REUSED = f"""{_REUSED} SELECT request_id, timestamp, CASE WHEN b_type = 'request' THEN b_method END AS request_method,
     CASE WHEN b_type = 'request' THEN b_path END AS request_path, CASE WHEN b_type = 'request' THEN b_timestamp END AS request_timestamp,
     CASE WHEN b_type = 'request' THEN round(date_diff('microsecond', b_ts, ts) / 1000.0::DOUBLE, 3) END AS duration_ms
-    FROM placed WHERE type = 'response'""",
-)
+    FROM placed WHERE type = 'response'"""
+OPEN_REUSED = f"{_REUSED} SELECT request_id, timestamp, path FROM placed WHERE type = 'request' AND a_type IS NULL"
+
+
+@query("log_correlate_reused", LINKED_REUSED)
 def correlate_reused(spark, folder):
     """A response belongs to the last request with its id since the response before it."""
     return linked_columns(ops.correlate_log(*_reused(spark, folder)))
 
 
-@query(
-    "log_open_requests_reused",
-    f"{_REUSED} SELECT request_id, timestamp, path FROM placed WHERE type = 'request' AND a_type IS NULL",
-)
+@query("log_open_requests_reused", OPEN_REUSED)
 def open_requests_reused(spark, folder):
     return ops.open_requests(*_reused(spark, folder)).select("request_id", "timestamp", "path")

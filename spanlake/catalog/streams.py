@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from .. import sources, streaming
-from ..operators import access_log, capture, sessions
+from ..operators import access_log, capture, sessions, spans as spans_ops
 from ..plans import exports
 from ..session import scratch_path
 from . import fixtures as fx
 from .calls import CAPTURED, captured_columns
 from .lake import _BY_SHARD, _KEEP, _ORDINAL, _SIZE
-from .logs import LINKED, OPEN, linked_columns
+from .logs import LINKED, LINKED_REUSED, OPEN, OPEN_REUSED, linked_columns
 from .registry import registry
 from .sessions import SESSIONS
+from .spans import TOKENS
 from .training import _SFT
 
 QUERIES, ORACLE, query = registry()
@@ -38,11 +40,18 @@ def _events(spark, folder):
     return session, events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _finish(spark, start, df, name):
-    """Run to the end of the input and read the result."""
+def _finish(spark, df, name):
+    """Append to the end of the input and read the result."""
     path = scratch_path(spark, name)
-    streaming.run(start, df, path, scratch_path(spark, "checkpoint"))
-    return streaming.read_snapshot(spark, path) if start is streaming.start_snapshot_sink else spark.read.parquet(path)
+    streaming.run(streaming.start_append_sink, df, path, scratch_path(spark, "checkpoint"))
+    return spark.read.parquet(path)
+
+
+def _kept(spark, df, name, *keys):
+    """Keep the newest row of each key to the end of the input and read the result."""
+    path = scratch_path(spark, name)
+    streaming.start_upsert_sink(df, path, scratch_path(spark, "checkpoint"), list(keys)).awaitTermination()
+    return streaming.read_upserts(spark, path, list(keys))
 
 
 @query("stream_ingest", _BY_SHARD)
@@ -55,6 +64,70 @@ def stream_ingest(spark, folder):
     )
 
 
+class _Lost(Exception):
+    """A forced failure between the write of a micro-batch and its commit."""
+
+
+def _lost(epoch):
+    if epoch == 1:
+        raise _Lost(epoch)
+
+
+def _restarted_lake(spark, folder):
+    """A lake whose stream reads one file per micro-batch, fails in the second, is started again, ends, and goes on with the second half of the events."""
+    session = _session(spark)
+    source, path, checkpoint = (scratch_path(spark, n) for n in ("source", "lake", "checkpoint"))
+    events = fx.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+
+    def run(failing=None):
+        stream = streaming.stream_table(session, source, events.schema, max_files=1)
+        streaming.start_lake_sink(fx.as_event_spans(stream), path, checkpoint, 720, fan_in=4, failing=failing).awaitTermination()
+
+    for half, failing in ((F.col("event_id") <= middle, _lost), (F.col("event_id") > middle, None)):
+        events.where(half).repartitionByRange(3, "event_id").write.mode("append").parquet(source)
+        if failing is not None:
+            try:
+                run(failing)
+            except StreamingQueryException as error:
+                if "_Lost" not in str(error):
+                    raise
+        run()
+    return path
+
+
+@query("stream_restart", _BY_SHARD)
+def stream_restart(spark, folder):
+    """Exactly once over a crash and a restart."""
+    return streaming.read_lake(spark, _restarted_lake(spark, folder)).groupBy("shard").agg(
+        F.count("*").alias("spans"), F.min("start_time").alias("first_start"), F.max("span_id").alias("last_id")
+    )
+
+
+@query(
+    "stream_store_stats",
+    f"""WITH {fx.EVENT_SPANS} SELECT count(*) AS spans_added, count(*) AS spans_flushed, 6::BIGINT AS micro_batches,
+    max({fx.shard_sql('start_time', 720)}) AS current_shard, true AS compacted FROM event_spans""",
+)
+def stream_store_stats(spark, folder):
+    """Counters of the life of a store that was restarted."""
+    told = streaming.lake_stats(spark, _restarted_lake(spark, folder))
+    told["compacted"] = told.pop("folders") <= 4
+    return spark.createDataFrame([tuple(told.values())], "spans_added bigint, spans_flushed bigint, micro_batches bigint, current_shard string, compacted boolean")
+
+
+@query("stream_compacted_totals", f"WITH {fx.RAW} SELECT model, {TOKENS} FROM raw WHERE NOT failed GROUP BY model")
+def stream_compacted_totals(spark, folder):
+    """Token totals of a captured stream of many small micro-batches, whose folders were joined on the way."""
+    session = _session(spark)
+    source, path = scratch_path(spark, "raw"), scratch_path(spark, "lake")
+    fx.raw_calls(spark, folder).drop("tool_id").repartition(7).write.parquet(source)
+    raw = streaming.stream_table(session, source, spark.read.parquet(source).schema, max_files=1)
+    streaming.start_lake_sink(capture.build_spans(raw), path, scratch_path(spark, "checkpoint"), fan_in=2).awaitTermination()
+    spans = streaming.read_lake(spark, path)
+    return spans_ops.token_totals(spans.where(F.col("status") == "OK"), ["model"])
+
+
 def _shards(minutes):
     sql = f"WITH {fx.EVENT_SPANS} SELECT {fx.shard_sql('start_time', minutes)} AS shard, count(*) AS spans FROM event_spans GROUP BY 1"
 
@@ -62,35 +135,41 @@ def _shards(minutes):
     def shards(spark, folder):
         session, events = _events(spark, folder)
         counted = streaming.shard_counts(fx.as_event_spans(events), minutes)
-        return _finish(spark, streaming.start_snapshot_sink, counted, "shards")
+        return _kept(spark, counted, "shards", "shard")
 
 
 _shards(30)
 _shards(7)
 
 
-def _closed_log(spark, folder):
-    """The log as a stream that ends with entries a week later, so that the watermark passes all others.
+def _closed_events(spark, folder, days=7, times=1):
+    """The events as a stream (``times`` over) that ends with late ones, so that the watermark passes all others.
 
-    The late entries have negative numbers and are taken out of the result.
+    The late events have negative numbers and user 0, and are taken out of the results.
     """
     session, events = _events(spark, folder)
     path = scratch_path(spark, "late")
     last = fx.table(spark, folder, "events").agg(F.max("ts").cast("timestamp").alias("ts"))
     late = last.select(
         F.explode(F.array(F.lit(-10).cast("bigint"), F.lit(-20).cast("bigint"))).alias("event_id"),
-        (F.col("ts") + F.expr("interval 7 days")).alias("ts"),
+        (F.col("ts") + F.expr(f"interval {days} days")).alias("ts"),
     ).select(
         "event_id",
         "ts",
-        F.lit(0).cast("bigint").alias("user_id"),
+        F.lit(-1).cast("bigint").alias("user_id"),
         F.when(F.col("event_id") == -10, "click").otherwise("signup").alias("event_type"),
         F.lit(0.0).alias("value"),
         F.lit("{}").alias("props"),
     )
     late.write.parquet(path)
-    both = events.unionByName(streaming.stream_table(session, path, events.schema))
-    return fx.access_log(both)
+    both = events
+    for _ in range(times - 1):
+        both = both.unionByName(_stream(session, spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return both.unionByName(streaming.stream_table(session, path, events.schema))
+
+
+def _closed_log(spark, folder, **options):
+    return fx.access_log(_closed_events(spark, folder, **options))
 
 
 def _sides(log):
@@ -104,48 +183,82 @@ def _not_late(df):
 @query("stream_correlate", LINKED)
 def stream_correlate(spark, folder):
     linked = streaming.correlate_stream(*_sides(_closed_log(spark, folder)), max_wait="2 days")
-    return linked_columns(_not_late(_finish(spark, streaming.start_append_sink, linked.drop("headers"), "linked")))
+    return linked_columns(_not_late(_finish(spark, linked.drop("headers"), "linked")))
 
 
 @query("stream_open_requests", OPEN)
 def stream_open_requests(spark, folder):
     waiting = streaming.open_requests_stream(*_sides(_closed_log(spark, folder)), max_wait="2 days")
-    found = _finish(spark, streaming.start_append_sink, waiting.select("request_id", "timestamp", "path"), "open")
+    found = _finish(spark, waiting.select("request_id", "timestamp", "path"), "open")
     return _not_late(found)
 
 
-def _counter(name, sql, count, shown=lambda df: df):
+#: Ids come back after at most this time; the batch form has no such bound.
+_REUSE_DAYS = 400
+
+
+def _reused_log(spark, folder):
+    """The closed log with ids that come back, every entry given twice."""
+    log = _closed_log(spark, folder, days=2 * _REUSE_DAYS, times=2)
+    number = F.substring("request_id", 2, 20).cast("bigint")
+    again = F.concat(F.lit("r"), (number % 400).cast("string"))
+    return log.withColumn("request_id", F.when(number >= -1, again).otherwise(F.col("request_id")))
+
+
+@query("stream_correlate_reused", LINKED_REUSED)
+def stream_correlate_reused(spark, folder):
+    """Reused ids, and every entry replayed: the result of the batch form."""
+    linked = streaming.correlate_stream(*_sides(_reused_log(spark, folder)), max_wait=f"{_REUSE_DAYS} days")
+    return linked_columns(_not_late(_finish(spark, linked.drop("headers"), "linked")))
+
+
+@query("stream_open_requests_reused", OPEN_REUSED)
+def stream_open_requests_reused(spark, folder):
+    waiting = streaming.open_requests_stream(*_sides(_reused_log(spark, folder)), max_wait=f"{_REUSE_DAYS} days")
+    return _not_late(_finish(spark, waiting.select("request_id", "timestamp", "path"), "open"))
+
+
+def _counter(name, sql, entries, key):
     @query(name, sql)
     def counted(spark, folder):
         session, events = _events(spark, folder)
-        return shown(_finish(spark, streaming.start_snapshot_sink, count(fx.access_log(events)), "counts"))
+        live = streaming.live_counts(entries(fx.access_log(events)), F.expr(key).alias("key"))
+        kept = _kept(spark, live, "counts", "window_start", "key")
+        return streaming.total_counts(kept, "key").withColumnRenamed("key", name.split("_by_")[1].replace("error_", ""))
 
 
 _counter(
     "stream_count_by_type",
     f"WITH {fx.LOG} SELECT type, count(*) AS count FROM log GROUP BY type",
-    access_log.count_by_type,
+    lambda log: log,
+    "type",
 )
 _counter(
     "stream_count_by_path",
     f"WITH {fx.LOG} SELECT path, count(*) AS count FROM log WHERE type = 'request' GROUP BY path",
-    access_log.count_by_path,
+    lambda log: access_log.filter_log(log, "request"),
+    "path",
 )
 _counter(
     "stream_count_by_error_path",
     f"WITH {fx.LOG} SELECT coalesce(path, 'unknown') AS path, count(*) AS count FROM log"
     " WHERE type = 'error' OR length(error) > 0 GROUP BY 1",
-    access_log.count_by_error_path,
+    lambda log: log.where(access_log.is_error()),
+    "coalesce(path, 'unknown')",
 )
-_counter(
+
+
+@query(
     "stream_log_summary",
     f"""WITH {fx.LOG} SELECT count(*) AS entries, min(timestamp) AS start, max(timestamp) AS "end",
     count(*) FILTER (WHERE type = 'request') AS requests, count(*) FILTER (WHERE type = 'response') AS responses,
     count(*) FILTER (WHERE type = 'error' OR length(error) > 0) AS errors,
     round(avg(duration_ms), 6) AS avg_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms FROM log""",
-    access_log.log_summary,
-    lambda df: df.withColumn("avg_ms", F.round("avg_ms", 6)),
 )
+def stream_log_summary(spark, folder):
+    session, events = _events(spark, folder)
+    kept = _kept(spark, streaming.live_summary(fx.access_log(events)), "summary", "window_start")
+    return streaming.total_summary(kept).withColumn("avg_ms", F.round("avg_ms", 6))
 
 
 @query("stream_deduplicate", "SELECT 'e' || event_id::VARCHAR AS span_id, event_type FROM events")
@@ -155,7 +268,7 @@ def stream_deduplicate(spark, folder):
     twice = events.unionByName(_stream(session, spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     single = streaming.drop_duplicate_spans(fx.as_event_spans(twice))
     named = single.select("span_id", F.replace("name", F.lit("event."), F.lit("")).alias("event_type"))
-    return _finish(spark, streaming.start_append_sink, named, "single")
+    return _finish(spark, named, "single")
 
 
 @query(
@@ -188,7 +301,7 @@ def _raw_stream(spark, folder):
 def stream_capture(spark, folder):
     """Raw calls to spans as a stream."""
     spans = capture.build_spans(_raw_stream(spark, folder))
-    return captured_columns(_finish(spark, streaming.start_append_sink, spans, "spans"))
+    return captured_columns(_finish(spark, spans, "spans"))
 
 
 @query("stream_sft", f"WITH {_SFT} SELECT * FROM sft")
@@ -197,7 +310,7 @@ def stream_sft(spark, folder):
     session = _session(spark)
     spans = sources.read_spans(session, fx.captured_path(spark, folder), streaming=True, promoted=True)
     records = exports.spans_to_sft(spans).drop("metadata")
-    return _finish(spark, streaming.start_append_sink, records, "sft")
+    return _finish(spark, records, "sft")
 
 
 @query(
@@ -207,9 +320,9 @@ def stream_sft(spark, folder):
     FROM numbered GROUP BY user_id, n""",
 )
 def stream_sessions(spark, folder):
-    session, events = _events(spark, folder)
-    found = sessions.sessionize(events.withWatermark("ts", "1 hour"), "user_id", "ts")
-    done = _finish(spark, streaming.start_snapshot_sink, found, "sessions")
+    """Sessions are appended once the watermark has passed their end, and their state goes."""
+    found = sessions.sessionize(_closed_events(spark, folder).withWatermark("ts", "1 hour"), "user_id", "ts")
+    done = _finish(spark, found, "sessions").where("user_id >= 0")
     text = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("session_start", "session_end")]
     return done.select("user_id", *text, "turns")
 
@@ -224,7 +337,7 @@ def stream_windowed_rates(spark, folder):
     session, events = _events(spark, folder)
     timed = events.withWatermark("ts", "1 hour")
     found = sessions.windowed_rates(timed, "ts", "1 day", "value", F.col("event_type") == "error")
-    done = _finish(spark, streaming.start_snapshot_sink, found, "rates")
+    done = _kept(spark, found, "rates", "window_start")
     return done.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "requests",

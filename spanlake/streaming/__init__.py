@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import schemas
 from ..functions import iso_duration_ms
-from ..operators import batches
-from ..sinks import with_promoted, with_shard
+from ..operators import access_log, batches
+from ..sinks import snapshots, with_promoted, with_shard
 from ..sources import read_spans
 
 
@@ -37,27 +37,81 @@ def start_span_sink(
     return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
 
 
-def start_snapshot_sink(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep the current result of a streaming aggregate below ``path`` (complete mode), for :func:`read_snapshot`.
+def _query_id(batch: DataFrame) -> str:
+    """Id of the running query; its checkpoint keeps it over restarts."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
-    A micro-batch writes a folder of its own, ``epoch=<id>``, so readers of the one before are not disturbed and a crash leaves
-    it whole. Folders before the previous one are removed.
+
+def start_lake_sink(
+    spans: DataFrame,
+    path: str,
+    checkpoint: str,
+    window_minutes: int = 5,
+    every: str | None = None,
+    max_files: int | None = None,
+    fan_in: int = 8,
+    failing: Callable[[int], None] | None = None,
+) -> StreamingQuery:
+    """Append a span stream to a lake with a manifest, exactly once, and compact it on the way.
+
+    A micro-batch is grouped by shard and sorted as :func:`spanlake.sinks.write_spans` does, written to a folder of its own, and
+    committed with its number; a replay of a committed one is left out. Small folders are joined while readers and the stream go on. Read with :func:`read_lake`.
+    ``failing`` is called between write and commit (see :mod:`spanlake.sinks.snapshots`).
+    """
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        laid = _laid_out(with_promoted(with_shard(batch, window_minutes)))
+        snapshots.append(laid, path, _query_id(batch), epoch, ["shard"], failing)
+        compact_lake(batch.sparkSession, path, fan_in)
+
+    writer = spans.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return writer.trigger(**_trigger(every)).start()
+
+
+def _laid_out(spans: DataFrame) -> DataFrame:
+    return spans.hint("rebalance", "shard").sortWithinPartitions("shard", "rollout_id", "start_time")
+
+
+def compact_lake(spark: SparkSession, path: str, fan_in: int = 8) -> snapshots.Snapshot:
+    """Join the small folders of a lake with a manifest; readers see the state before or after."""
+    return snapshots.compact(spark, path, _laid_out, ["shard"], fan_in)
+
+
+def read_lake(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Spans of one version of such a lake, with ``shard`` and the promoted columns."""
+    return snapshots.read(spark, path, version, f"{schemas.SPAN}, {schemas.PROMOTED}, shard STRING")
+
+
+def lake_stats(spark: SparkSession, path: str) -> dict[str, int | str | None]:
+    """Counters over the whole life of a lake, whatever was restarted: spans added and flushed, micro-batches, live folders, newest shard."""
+    now = snapshots.snapshot(spark, path)
+    told = list(now.streams.values())
+    newest = read_lake(spark, path, now.version).agg(F.max("shard")).first()[0] if now.folders else None
+    return {
+        "spans_added": sum(t["rows"] for t in told),
+        "spans_flushed": sum(f.rows for f in now.folders),
+        "micro_batches": sum(t["micro_batches"] for t in told),
+        "folders": len(now.folders),
+        "current_shard": newest,
+    }
+
+
+def start_upsert_sink(df: DataFrame, path: str, checkpoint: str, keys: list[str], every: str | None = None) -> StreamingQuery:
+    """Keep the current rows of a streaming aggregate below ``path``: each micro-batch writes the keys that changed (update mode).
+
+    State that the watermark drops stays in the table. Read with :func:`read_upserts`.
     """
 
     def replace(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        if epoch > 1:
-            _delete(batch.sparkSession, f"{path}/epoch={epoch - 2}")
+        snapshots.upsert(batch, path, keys, _query_id(batch), epoch)
 
-    writer = df.writeStream.outputMode("complete").foreachBatch(replace)
+    writer = df.writeStream.outputMode("update").foreachBatch(replace)
     return writer.option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The newest snapshot. At most two folders are there, and the names of their files tell which is newer."""
-    lake = spark.read.parquet(path)
-    newest = max(int(re.search(r"/epoch=(\d+)/", name)[1]) for name in lake.inputFiles())
-    return lake.where(F.col("epoch") == newest).drop("epoch")
+def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key."""
+    return snapshots.read_upserts(spark, path, keys)
 
 
 def start_append_sink(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -78,68 +132,116 @@ def sink_stats(query: StreamingQuery) -> dict[str, int]:
 
 
 def shard_counts(spans: DataFrame, window_minutes: int = 5, lateness: str = "10 minutes") -> DataFrame:
-    """Spans per tumbling time shard.
+    """Spans per tumbling time shard, to be kept by ``shard`` (:func:`start_upsert_sink`).
 
-    A width that divides the day is also an epoch-anchored window, whose state the watermark drops;
-    other widths restart at midnight and are counted by label alone.
+    Shards restart at midnight, so each lies in one day; the window of the day (or of the shard, where the width divides the day) lets the watermark drop its state.
     """
     timed = with_shard(spans.withColumn("at", F.timestamp_seconds("start_time")), window_minutes)
-    timed = timed.withWatermark("at", lateness)
-    if 1440 % window_minutes == 0:
-        counted = timed.groupBy(F.window("at", f"{window_minutes} minutes"), "shard").count()
-    else:
-        counted = timed.groupBy("shard").count()
+    width = f"{window_minutes} minutes" if 1440 % window_minutes == 0 else "1 day"
+    counted = timed.withWatermark("at", lateness).groupBy(F.window("at", width), "shard").count()
     return counted.select("shard", F.col("count").alias("spans"))
 
 
-def _timed(log: DataFrame, name: str, lateness: str) -> DataFrame:
-    stamp = F.to_timestamp("timestamp")
-    return log.withColumn(name, stamp).withWatermark(name, lateness)
+def _log_windows(log: DataFrame, width: str, lateness: str) -> DataFrame:
+    return log.withColumn("at", F.to_timestamp("timestamp")).withWatermark("at", lateness)
+
+
+def live_counts(log: DataFrame, key: Column, width: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
+    """Entries per window and ``key`` (by its name), to be kept by both; :func:`total_counts` adds the windows up.
+
+    State is that of the windows which the watermark has not passed, however long the stream runs.
+    """
+    timed = _log_windows(log, width, lateness)
+    return timed.groupBy(F.window("at", width).alias("w"), key).count().select(F.col("w.start").alias("window_start"), F.col("*")).drop("w")
+
+
+def total_counts(kept: DataFrame, key: str) -> DataFrame:
+    return kept.groupBy(key).agg(F.sum("count").alias("count"))
+
+
+def live_summary(log: DataFrame, width: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
+    """Parts of the log summary per window, to be kept by ``window_start``; :func:`total_summary` folds them."""
+    timed = _log_windows(log, width, lateness)
+    waited = F.when(F.col("type") == "response", F.col("duration_ms"))
+    stamp = F.when(F.length("timestamp") > 0, F.col("timestamp"))
+    parts = timed.groupBy(F.window("at", width).alias("w")).agg(
+        F.count("*").alias("entries"),
+        F.min(stamp).alias("start"),
+        F.max(stamp).alias("end"),
+        F.count_if(F.col("type") == "request").alias("requests"),
+        F.count_if(F.col("type") == "response").alias("responses"),
+        F.count_if(access_log.is_error()).alias("errors"),
+        F.sum(waited).alias("sum_ms"),
+        F.count(waited).alias("timed"),
+        F.min(waited).alias("min_ms"),
+        F.max(waited).alias("max_ms"),
+    )
+    return parts.select(F.col("w.start").alias("window_start"), "*").drop("w")
+
+
+def total_summary(kept: DataFrame) -> DataFrame:
+    return kept.agg(
+        F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"),
+        F.coalesce(F.min("start"), F.lit("N/A")).alias("start"),
+        F.coalesce(F.max("end"), F.lit("N/A")).alias("end"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("requests", "responses", "errors")],
+        F.coalesce(F.sum("sum_ms") / F.sum("timed"), F.lit(0.0)).alias("avg_ms"),
+        F.min("min_ms").alias("min_ms"),
+        F.max("max_ms").alias("max_ms"),
+    )
+
 
+def _digest() -> Column:
+    return F.sha2(F.to_json(F.struct("*")), 256)
 
-def _within(start: Column, end: Column, max_wait: str) -> Column:
-    return (start <= end) & (end <= start + F.expr(f"interval {max_wait}"))
 
+def _timed(log: DataFrame, name: str, lateness: str) -> DataFrame:
+    """Entries with their time, and ``id``: the request id, or the entry's digest where it has none, so that those do not meet in one state partition."""
+    entries = log.withColumns({name: F.to_timestamp("timestamp"), "digest": _digest()})
+    return entries.withColumn("id", F.coalesce("request_id", F.concat(F.lit("\x00"), "digest"))).withWatermark(name, lateness)
 
-def _join_key() -> Column:
-    spread = F.xxhash64("timestamp", "body", F.to_json("headers")).cast("string")
-    return F.coalesce("request_id", F.concat(F.lit("\x00"), spread))
+
+def _events(requests: DataFrame, responses: DataFrame, lateness: str) -> DataFrame:
+    """All entries with an id, as ``event_id``, ``event_at`` and ``event``; in this order a request comes before a response of the same time."""
+    sides = []
+    for log, kind in ((requests, 0), (responses, 1)):
+        asked = [F.col(c) if kind == 0 else F.lit(None).cast("string").alias(c) for c in ("method", "path")]
+        told = F.struct("timestamp", F.lit(kind).alias("kind"), *asked)
+        sides.append(log.where(F.col("request_id").isNotNull()).select(F.col("request_id").alias("event_id"), F.to_timestamp("timestamp").alias("event_at"), told.alias("event")))
+    return sides[0].unionByName(sides[1]).withWatermark("event_at", lateness)
 
 
 def correlate_stream(
     requests: DataFrame, responses: DataFrame, lateness: str = "1 hour", max_wait: str = "2 hours"
 ) -> DataFrame:
-    """Every response with its request. State of both sides is dropped once the watermark passes.
+    """Every response with its request: the last event with its id within ``max_wait`` before it, if that is a request.
 
-    Responses without an id get a key of their own, so that they do not meet in one state partition.
+    A watermarked join meets each response with the events of its id, and an aggregation by response time keeps the last of them; so a request is used up by
+    the first response after it, as in :func:`spanlake.operators.access_log.correlate_log`. Equal responses of one id (replays) are one; those without an id
+    meet nobody and pass by. State of both steps is dropped once the watermark passes. An id that comes back k times within ``max_wait`` meets itself k times per response.
     """
-    # A request that is replayed within the watermark counts once.
-    asked = _timed(requests.where(F.col("request_id").isNotNull()), "asked_at", lateness)
-    asked = asked.dropDuplicatesWithinWatermark(["request_id", "timestamp"]).select(
-        F.col("request_id").alias("asked_id"),
-        "asked_at",
-        F.col("timestamp").alias("request_timestamp"),
-        F.col("method").alias("request_method"),
-        F.col("path").alias("request_path"),
-    )
-    derived = ("request_method", "request_path", "duration_ms")
-    answered = _timed(responses.drop(*derived), "answered_at", lateness)
-    answered = answered.withColumn("answer_key", _join_key())
-    matching = (F.col("answer_key") == F.col("asked_id")) & _within(F.col("asked_at"), F.col("answered_at"), max_wait)
-    joined = answered.join(asked, matching, "left")
-    elapsed = iso_duration_ms(F.col("request_timestamp"), F.col("timestamp"))
-    return joined.withColumn("duration_ms", elapsed).drop("asked_id", "asked_at", "answered_at", "answer_key")
+    bare = responses.drop("request_method", "request_path", "duration_ms")
+    answered = _timed(bare.where(F.col("request_id").isNotNull()), "answered_at", lateness)
+    before = (F.col("event_at") < F.col("answered_at")) | ((F.col("event_at") == F.col("answered_at")) & (F.col("event.kind") == 0))
+    near = (F.col("event_at") <= F.col("answered_at")) & (F.col("event_at") >= F.col("answered_at") - F.expr(f"interval {max_wait}"))
+    met = answered.join(_events(requests, responses, lateness), (F.col("id") == F.col("event_id")) & near & before, "left")
+    last = met.select("answered_at", "id", "digest", F.struct(*bare.columns).alias("response"), "event")
+    last = last.groupBy("answered_at", "id", "digest").agg(F.first("response").alias("response"), F.max("event").alias("event"))
+    asked = F.when(F.col("event.kind") == 0, F.col("event"))
+    linked = last.select("response.*", *[asked[c].alias(f"request_{c}") for c in ("method", "path", "timestamp")])
+    linked = linked.unionByName(bare.where(F.col("request_id").isNull()), allowMissingColumns=True)
+    return linked.withColumn("duration_ms", iso_duration_ms(F.col("request_timestamp"), F.col("timestamp")))
 
 
 def open_requests_stream(
     requests: DataFrame, responses: DataFrame, lateness: str = "1 hour", max_wait: str = "2 hours"
 ) -> DataFrame:
-    """Requests whose response did not come within ``max_wait``."""
-    asked = _timed(requests, "asked_at", lateness).withColumn("ask_key", _join_key())
-    answered = _timed(responses.where(F.col("request_id").isNotNull()), "answered_at", lateness).select(F.col("request_id").alias("answered_id"), "answered_at")
-    matching = (F.col("ask_key") == F.col("answered_id")) & _within(F.col("asked_at"), F.col("answered_at"), max_wait)
-    joined = asked.join(answered, matching, "left")
-    return joined.where(F.col("answered_id").isNull()).drop("answered_id", "answered_at", "asked_at", "ask_key")
+    """Requests that nothing with their id follows within ``max_wait``; equal requests (replays) are one."""
+    asked = _timed(requests, "asked_at", lateness).dropDuplicatesWithinWatermark(["digest"])
+    after = (F.col("event_at") > F.col("asked_at")) | ((F.col("event_at") == F.col("asked_at")) & (F.col("event.kind") == 1))
+    near = (F.col("event_at") >= F.col("asked_at")) & (F.col("event_at") <= F.col("asked_at") + F.expr(f"interval {max_wait}"))
+    joined = asked.join(_events(requests, responses, lateness), (F.col("id") == F.col("event_id")) & near & after, "left")
+    return joined.where(F.col("event_id").isNull()).select(*requests.columns)
 
 
 def drop_duplicate_spans(spans: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -148,12 +250,6 @@ def drop_duplicate_spans(spans: DataFrame, lateness: str = "1 hour") -> DataFram
     return timed.dropDuplicatesWithinWatermark(["span_id"]).drop("at")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def start_batch_sink(
     spans: DataFrame,
     path: str,
@@ -182,7 +278,7 @@ def start_batch_sink(
             lake = _lake_or_none(spark, path)
             present = [] if lake is None else [r[0] for r in lake.select("batch_idx").distinct().collect()]
             for index in expired(present, size, keep_rows):
-                _delete(spark, f"{path}/batch_idx={index}")
+                snapshots.delete(spark, f"{path}/batch_idx={index}")
 
     writer = spans.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return writer.trigger(**_trigger(every)).start()

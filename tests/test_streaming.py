@@ -2,10 +2,12 @@ import glob
 import json
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from spanlake import schemas, sources, streaming
-from spanlake.operators import access_log, capture, sanitize
+from spanlake import schemas, sinks, sources, streaming
+from spanlake.operators import access_log, capture, sanitize, sessions
 from spanlake.session import scratch_path
 from test_access_log import COLUMNS, log
 from test_spans import span, table
@@ -116,5 +118,108 @@ def test_log_stream(spark):
     lines = [json.dumps({"type": t}) for t in ("request", "request", "error")] + ["", "broken"]
     spark.createDataFrame([(line,) for line in lines], "value STRING").write.text(source)
     good, _ = sources.split_log(sources.read_access_log(spark, source, streaming=True))
-    streaming.run(streaming.start_snapshot_sink, access_log.count_by_type(good), out, scratch_path(spark, "cp"))
-    assert {r["type"]: r["count"] for r in streaming.read_snapshot(spark, out).collect()} == {"request": 2, "error": 1}
+    counted = streaming.live_counts(good.withColumn("timestamp", F.lit("2024-01-01T00:00:00")), F.col("type"))
+    streaming.start_upsert_sink(counted, out, scratch_path(spark, "cp"), ["window_start", "type"]).awaitTermination()
+    kept = streaming.read_upserts(spark, out, ["window_start", "type"])
+    assert {r["type"]: r["count"] for r in streaming.total_counts(kept, "type").collect()} == {"request": 2, "error": 1}
+
+
+def state(query, k=0):
+    """Rows in the state of an operator, and rows it dropped, per micro-batch."""
+    told = [p["stateOperators"] for p in query.recentProgress if p["stateOperators"]]
+    return [o[k]["numRowsTotal"] for o in told], [o[k]["numRowsRemoved"] for o in told]
+
+
+def test_state_stays_bounded(spark):
+    """Ten micro-batches, each half a day after the one before: old windows leave the state, and their results stay."""
+    source = scratch_path(spark, "src")
+    for day in range(10):
+        add(table(spark, *[span(100 * day + i, start=43200 * day + 600 * i) for i in range(70)]), source)
+    stream = streaming.stream_table(spark, source, schemas.SPAN, max_files=1)
+    for minutes, widest in ((30, 60), (7, 210)):
+        out = scratch_path(spark, "out")
+        query = streaming.start_upsert_sink(streaming.shard_counts(stream, minutes), out, scratch_path(spark, "cp"), ["shard"])
+        query.awaitTermination()
+        rows, removed = state(query)
+        assert len(rows) >= 10 and sum(removed) > 0 and max(rows[1:]) <= widest
+        kept = streaming.read_upserts(spark, out, ["shard"])
+        assert kept.agg(F.sum("spans")).first()[0] == 700
+        batch = sinks.with_shard(spark.read.parquet(source), minutes).groupBy("shard").count()
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_live_log_state(spark):
+    """Counters and sessions of a long log keep the windows of the last hours only."""
+    source = scratch_path(spark, "log")
+    entries = [[dict(type=t, request_id=f"{h}{t}", timestamp=f"2024-01-{1 + h // 24:02d}T{h % 24:02d}:00:00", path="/x", duration_ms=float(h)) for t in ("request", "response")] for h in range(0, 60, 4)]
+    for some in entries:
+        add(log(spark, *some), source)
+    stream = streaming.stream_table(spark, source, COLUMNS, max_files=1)
+    kept, summary = scratch_path(spark, "kept"), scratch_path(spark, "summary")
+    query = streaming.start_upsert_sink(streaming.live_counts(stream, F.col("type")), kept, scratch_path(spark, "cp"), ["window_start", "type"])
+    query.awaitTermination()
+    rows, removed = state(query)
+    assert sum(removed) >= 20 and max(rows) <= 6
+    counts = streaming.total_counts(streaming.read_upserts(spark, kept, ["window_start", "type"]), "type")
+    assert {r["type"]: r["count"] for r in counts.collect()} == {"request": 15, "response": 15}
+    query = streaming.start_upsert_sink(streaming.live_summary(stream), summary, scratch_path(spark, "cp"), ["window_start"])
+    query.awaitTermination()
+    want = access_log.log_summary(spark.read.schema(COLUMNS).parquet(source)).first()
+    assert streaming.total_summary(streaming.read_upserts(spark, summary, ["window_start"])).first() == want
+    sessions_of = sessions.sessionize(stream.withColumn("ts", F.to_timestamp("timestamp")).withWatermark("ts", "1 hour"), "type", "ts")
+    out = scratch_path(spark, "sessions")
+    query = streaming.start_append_sink(sessions_of, out, scratch_path(spark, "cp"))
+    query.awaitTermination()
+    rows, removed = state(query)
+    assert sum(removed) >= 20 and max(rows) <= 6 and spark.read.parquet(out).count() == sum(removed)
+
+
+def test_reused_ids(spark):
+    """A request is used up by the first response after it; replays do not count; state is dropped."""
+    source = scratch_path(spark, "src")
+    at = "2024-01-01T{:02d}:00:00".format
+    asked = [dict(type="request", request_id="a", timestamp=at(h), path=f"/{h}") for h in (1, 2, 5, 9)]
+    answered = [dict(type="response", request_id="a", timestamp=at(h)) for h in (3, 4, 5, 12)] + [dict(type="response", request_id=None, timestamp=at(6))]
+    for entry in sorted(asked + answered, key=lambda e: e["timestamp"]) + [answered[0], asked[2]]:
+        add(log(spark, entry), source)
+    add(log(spark, dict(type="request", request_id="z", timestamp="2024-02-01T00:00:00"), dict(type="response", request_id="y", timestamp="2024-02-01T00:00:00")), source)
+    add(log(spark, dict(type="request", request_id="z", timestamp="2024-03-01T00:00:00"), dict(type="response", request_id="y", timestamp="2024-03-01T00:00:00")), source)
+
+    def sides():
+        entries = streaming.stream_table(spark, source, COLUMNS, max_files=3)
+        return access_log.filter_log(entries, "request"), access_log.filter_log(entries, "response")
+
+    out, waiting = scratch_path(spark, "out"), scratch_path(spark, "open")
+    linked = streaming.correlate_stream(*sides(), lateness="12 hours", max_wait="2 hours")
+    query = streaming.start_append_sink(linked, out, scratch_path(spark, "cp"))
+    query.awaitTermination()
+    found = sorted(((r["timestamp"], r["request_path"], r["duration_ms"]) for r in spark.read.parquet(out).collect() if r["request_id"] != "y"), key=str)
+    # The request of 9 h is more than the longest wait before the response of 12 h.
+    assert found == [(at(3), "/2", 3600000.0), (at(4), None, None), (at(5), "/5", 0.0), (at(6), None, None), (at(12), None, None)]
+    assert max(sum(o["numRowsRemoved"] for o in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]) > 0
+    streaming.run(streaming.start_append_sink, streaming.open_requests_stream(*sides(), lateness="12 hours", max_wait="2 hours"), waiting, scratch_path(spark, "cp"))
+    assert [(r["request_id"], r["timestamp"]) for r in spark.read.parquet(waiting).collect() if r["request_id"] != "z"] == [("a", at(9))]
+
+
+def test_lake_sink(spark):
+    """A failure between write and commit leaves nothing to see; the files of a shard stay few; a lost checkpoint is a stream of its own."""
+    source, lake, checkpoint = (scratch_path(spark, n) for n in ("src", "lake", "cp"))
+    for i in range(9):
+        add(table(spark, *[span(10 * i + k, start=k) for k in range(10)]), source)
+    stream = streaming.stream_table(spark, source, schemas.SPAN, max_files=1)
+
+    def fail(epoch):
+        if epoch == 4:
+            raise RuntimeError("between")
+
+    with pytest.raises(StreamingQueryException):
+        streaming.start_lake_sink(stream, lake, checkpoint, fan_in=3, failing=fail).awaitTermination()
+    assert streaming.read_lake(spark, lake).count() == 40 and streaming.lake_stats(spark, lake)["spans_added"] == 40
+    before = streaming.read_lake(spark, lake)
+    streaming.start_lake_sink(stream, lake, checkpoint, fan_in=3).awaitTermination()
+    found = streaming.read_lake(spark, lake)
+    assert found.count() == found.select("span_id").distinct().count() == 90 and before.count() == 40
+    assert len(found.inputFiles()) <= 4 and found.where("is_call AND shard = '19700101_000000'").count() == 90
+    assert streaming.lake_stats(spark, lake) == {"spans_added": 90, "spans_flushed": 90, "micro_batches": 9, "folders": 1, "current_shard": "19700101_000000"}
+    streaming.start_lake_sink(stream, lake, scratch_path(spark, "cp"), fan_in=3).awaitTermination()
+    assert streaming.lake_stats(spark, lake)["spans_added"] == 180
