@@ -42,6 +42,8 @@ FINE_ROWS = 10
 CENTRES = 16
 #: Bits of the sketch of a text.
 SKETCH = 128
+#: Rows of ids and digests (some 40 bytes each) that are sent to all tasks.
+SMALL = 100_000
 #: Text bytes of one numpy round with fine bands.
 FINE_BYTES = 1 << 17
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -133,11 +135,13 @@ def _node(text: Column) -> Column:
 def _keys(weighted: bool, bands: int, rows: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", limit):
-            sig, there = signatures(*elements(as_bytes(part.column("text")), weighted), part.num_rows, bands * rows)
+            text, code, weight = elements(as_bytes(part.column("text")), weighted)
+            sig, there = signatures(text, code, weight, part.num_rows, bands * rows)
             keys = band_keys(sig, bands)[there]
             bounds = np.append(0, np.cumsum(there * bands)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), lists], ["doc_id", "node", "keys"])
+            size = pa.array(np.bincount(text, weight, part.num_rows).astype(float))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), size, lists], ["doc_id", "node", "size", "keys"])
 
     return run
 
@@ -188,7 +192,7 @@ def similarities(left: list[bytes], right: list[bytes], weighted: bool = False)
 def _similar(weighted: bool, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(iter([batch]), "left", 1 << 20):
+            for part in slices(iter([batch]), "left", 1 << 20, "right"):
                 like = similarities(as_bytes(part.column("left")), as_bytes(part.column("right")), weighted) >= least
                 yield part.filter(pa.array(like)).select(["node", "centre"])
 
@@ -211,22 +215,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, weighted: bool, least: float)
 
 
 def near_links(rows: DataFrame, nodes: DataFrame, members: DataFrame, weighted: bool = False, least: float = SIMILARITY) -> list[DataFrame]:
-    """Verified links (node, centre) of the buckets in ``members`` (key, node).
+    """Verified links (node, centre) of the buckets in ``members`` (key, node, size).
 
     ``rows`` has doc_id, node and text; ``nodes`` has the ``first_id`` of each node.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = _saved(members.join(sizes, "key"), "buckets")
     meets = shared.groupBy("node").agg(F.sum("n").alias("meets"))
-    still = shared.join(meets, "node").select("key", "node", "meets")
+    still = shared.join(meets, "node").select("key", "node", "size", "meets")
     # One text of each member of a shared bucket; only here do all texts move.
     wanted = meets.select(F.col("node").alias("_node")).join(nodes.select(F.col("node").alias("_node"), "first_id"), "_node")
     own = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     wanted = _saved(rows.join(wanted, own).select("node", "text"), "texts").dropDuplicates(["node"])
 
-    centres = still.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("best")).select("key", F.col("best.node").alias("centre"))
+    sized = F.least("size", "c_size") >= F.greatest("size", "c_size") * (least - 1e-9)
+    centres = still.groupBy("key").agg(F.max(F.struct("meets", "node", "size")).alias("best"))
+    centres = centres.select("key", F.col("best.node").alias("centre"), F.col("best.size").alias("c_size"))
     tests = still.join(centres, "key").where("node <> centre").checkpoint()
-    links = [_verified(tests, wanted, weighted, least)]
+    links = [_verified(tests.where(sized), wanted, weighted, least)]
     roots = connected_components(links[0].toDF("a", "b")).toDF("node", "root")
     # The centre has met its whole bucket. Where its other members are of several components, all of them go on.
     rooted = tests.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -237,7 +243,6 @@ def near_links(rows: DataFrame, nodes: DataFrame, members: DataFrame, weighted:
     still = fine.select(F.explode("keys").alias("key"), "node", "size", F.col("sketch")[0].alias("s0"), F.col("sketch")[1].alias("s1"))
     still = still.join(left, "node").withColumn("turn", F.xxhash64("node"))
     order = Window.partitionBy("key").orderBy("members", "turn", "node")
-    sized = F.least("size", "c_size") >= F.greatest("size", "c_size") * (least - 1e-9)
     alike = F.bit_count(F.col("s0").bitwiseXOR(F.col("c_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("c_s1"))) <= _most_bits(least)
     first, second = F.least("node", "centre"), F.greatest("node", "centre")
     fresh = [F.when(F.col("node") < F.col("centre"), F.col(x)).otherwise(F.col(y)) for x, y in (("root", "c_root"), ("c_root", "root"))]
@@ -272,11 +277,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, weighted: bool, least:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("node", _node(F.coalesce("text", F.lit(""))))
     kind = rows.dtypes[0][1]
-    base = _saved(rows.mapInArrow(_keys(weighted, BANDS, ROWS, SLICE_BYTES), f"doc_id {kind}, node binary, keys array<bigint>"), "signatures")
+    base = _saved(rows.mapInArrow(_keys(weighted, BANDS, ROWS, SLICE_BYTES), f"doc_id {kind}, node binary, size double, keys array<bigint>"), "signatures")
     worded = base.where(F.size("keys") > 0)
     nodes = worded.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    keyed = worded.groupBy("node").agg(F.first("keys").alias("keys"))
-    members = keyed.select(F.explode("keys").alias("key"), "node")
+    keyed = worded.groupBy("node").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
+    members = keyed.select(F.explode("keys").alias("key"), "node", "size")
     links = near_links(rows, nodes, members, weighted, least)
     if not links:
         classes = nodes.select("node", F.col("first_id").alias("class_id"), F.col("node").alias("root"))
@@ -303,7 +308,7 @@ def near_duplicates(
 def keep_one(docs: DataFrame, weighted: bool = False, least: float = SIMILARITY) -> DataFrame:
     """One row of each class with all columns of ``docs``: the smallest ``doc_id`` (null last), then the smallest digest of the text, then of the row.
 
-    Rows without words stay, each is a class of its own.
+    Rows without words stay, each is a class of its own. Names of other columns do not matter.
     """
     found = _classes(docs, "doc_id", "text", weighted, least).where("root IS NOT NULL")
     # All but the joins with the documents is narrow. A text is in one class.
@@ -312,11 +317,18 @@ def keep_one(docs: DataFrame, weighted: bool = False, least: float = SIMILARITY)
     best = places.groupBy("root").agg(F.min(at).alias("best"))
     placed = places.join(best, "root").withColumn("chosen", at == F.col("best"))
     placed = _saved(placed.where("NOT chosen OR n > 1").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "chosen"), "places")
-    marked = docs.withColumn("_text_node", _node(F.coalesce("text", F.lit(""))))
-    same = marked["doc_id"].eqNullSafe(placed["_id"]) & (marked["_text_node"] == placed["_node"])
-    single = marked.join(placed, same, "left_anti").select(*docs.columns)
-    # Of a chosen row that is given several times, one.
-    whole = F.struct(*docs.columns)
-    again = marked.join(placed.where("chosen"), same, "left_semi")
-    again = again.groupBy(F.col("doc_id").alias("_id"), "_text_node").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_row"))
-    return single.unionByName(again.select("_row.*"))
+    # Columns by their places, so that no name matters. The texts move once, and only if the rows to go are too many to be sent to all tasks.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own_id, own_text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    marked = docs.toDF(*names).withColumn("_own_node", _node(F.coalesce(own_text, F.lit(""))))
+    same = own_id.eqNullSafe(F.col("_id")) & (F.col("_own_node") == F.col("_node"))
+    kept = marked.join(placed, same, "left_anti").select(*names)
+    again = placed.where("chosen")
+    n = again.count()
+    if n:
+        # Of a chosen row that is given several times, one.
+        again = F.broadcast(again) if n <= SMALL else again
+        whole = F.struct(*names)
+        again = marked.join(again, same, "left_semi").groupBy(own_id.alias("_id"), "_own_node").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_row"))
+        kept = kept.unionByName(again.select("_row.*"))
+    return kept.toDF(*docs.columns)

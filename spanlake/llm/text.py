@@ -29,10 +29,10 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows with at most ``limit`` bytes of text, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, *more: str) -> Iterator[pa.RecordBatch]:
+    """Cut batches into runs of rows with at most ``limit`` bytes of text (of all columns named), or one row."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (column, *more))
         ends, at, done = np.cumsum(sizes), 0, 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))

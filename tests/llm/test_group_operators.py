@@ -359,6 +359,14 @@ def test_odd_rows(spark, odd):
         assert empty(odd.where("false")).count() == 0
 
 
+def test_keep_one_with_names_of_its_own(spark):
+    """Columns that are called as the operator's own, or hold a dot, come back as they are."""
+    rows = [(i, "w1 w2 w3 w4 w5 w6 w7 w8 w9", f"mark{i}", "x", "dot") for i in (3, 1, 2, 1)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, _text_node string, _id string, `a.b` string")
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [rows[1]]
+
+
 def test_pipeline(spark, tmp_path, odd):
     """Every stage on odd rows; what it keeps is what the operators alone say."""
     passage = " ".join(f"w{k}" for k in range(40))
