@@ -252,19 +252,29 @@ def match_model_prefix(spark, folder):
     return sanitize.match_model_prefix(fx.calls(spark, folder), listed).select("conv_id", "turn", "model", "matched")
 
 
-@query(
-    "match_model_prefix_long_list",
-    """WITH p AS (SELECT DISTINCT 'model_' || (conv_id % 1000)::VARCHAR AS prefix FROM conversations WHERE conv_id % 2 = 1)
+_PREFIXES = """WITH p AS (SELECT DISTINCT 'model_' || conv_id::VARCHAR AS prefix FROM conversations WHERE conv_id % 2 = 1)
     SELECT conv_id, turn, EXISTS (SELECT 1 FROM p WHERE starts_with('model_' || c.conv_id::VARCHAR || '-chat', p.prefix)) AS matched
-    FROM conversations c""",
-)
-def match_model_prefix_long_list(spark, folder):
-    """A model name per conversation against up to 500 prefixes of several lengths."""
+    FROM conversations c"""
+
+
+def _prefixed(spark, folder, **options):
+    """A model name per conversation against a prefix of every second one; the list grows with the table."""
     told = fx.table(spark, folder, "conversations")
     number = lambda n: F.concat(F.lit("model_"), n.cast("string"))
-    prefixes = told.where("conv_id % 2 = 1").select(number(F.col("conv_id") % 1000).alias("prefix"))
+    prefixes = told.where("conv_id % 2 = 1").select(number(F.col("conv_id")).alias("prefix"))
     named = told.select("conv_id", "turn", F.concat(number(F.col("conv_id")), F.lit("-chat")).alias("model"))
-    return sanitize.match_model_prefix(named, prefixes).select("conv_id", "turn", "matched")
+    return sanitize.match_model_prefix(named, prefixes, **options).select("conv_id", "turn", "matched")
+
+
+@query("match_model_prefix_long_list", _PREFIXES)
+def match_model_prefix_long_list(spark, folder):
+    return _prefixed(spark, folder)
+
+
+@query("match_model_prefix_joined", _PREFIXES)
+def match_model_prefix_joined(spark, folder):
+    """The same by joins, as a list takes them that is too long for the plan."""
+    return _prefixed(spark, folder, in_plan=3)
 
 
 @query(

@@ -72,6 +72,18 @@ def lake_rollout_lookup(spark, folder):
     return spans_ops.query_spans(spans, "ro-000000000011").select("span_id", "sequence_id", "start_time")
 
 
+@query(
+    "lake_span_lookup",
+    f"""WITH {fx.RAW} SELECT captured_id AS span_id, model, start_time FROM raw WHERE captured_id IN (SELECT captured_id FROM raw ORDER BY conv_id, turn LIMIT 3)""",
+)
+def lake_span_lookup(spark, folder):
+    """Spans by their ids, whose order says nothing about files; bloom filters leave out row groups."""
+    spans = sources.read_spans(spark, fx.captured_path(spark, folder), promoted=True)
+    first = fx.calls(spark, folder).orderBy("conv_id", "turn").limit(3)
+    ids = [r[0] for r in first.select(F.substring(F.sha2(F.concat_ws("-", F.lit("call"), "conv_id", "turn"), 256), 33, 16)).collect()]
+    return spans.where(F.col("span_id").isin(ids)).select("span_id", "model", "start_time")
+
+
 @query(
     "lake_by_hour",
     f"""WITH {fx.SPANS}, timed AS (SELECT make_timestamp((start_time * 1000000)::BIGINT) AS ts FROM spans)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import to_epoch, with_attrs
 from ..operators import sessions as ops
+from ..session import scratch_path
 from . import fixtures as fx
 from .registry import registry
 
@@ -89,3 +90,25 @@ def windowed_rates(spark, folder):
 )
 def span_children(spark, folder):
     return ops.span_children(fx.event_spans(spark, folder))
+
+
+@query(
+    "latency_percentiles_rollup",
+    """SELECT event_type, strftime(date_trunc('month', ts), '%Y-%m-%d') AS month, count(*) AS requests, true AS p50_close, true AS p95_close, true AS p99_close
+    FROM events GROUP BY 1, 2""",
+)
+def latency_percentiles_rollup(spark, folder):
+    """Hourly sketches, stored and merged to months: each percentile has a rank within 2 % of its own among the exact latencies."""
+    path = scratch_path(spark, "sketches")
+    events = fx.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ops.latency_sketches(events, "ts", "1 hour", "value", ["event_type"]).write.parquet(path)
+    found = ops.latency_percentiles(spark.read.parquet(path), "month", keys=["event_type"])
+    keyed = events.select("event_type", F.date_trunc("month", "ts").alias("window_start"), "value")
+    ranked = keyed.join(found, ["event_type", "window_start"]).groupBy("event_type", "window_start", "requests")
+
+    def close(name: str, rank: float):
+        below, upto = (F.count_if(test) / F.count("*") for test in (F.col("value") < F.col(name), F.col("value") <= F.col(name)))
+        return ((below <= rank + 0.02) & (upto >= rank - 0.02)).alias(f"{name}_close")
+
+    checked = ranked.agg(*[close(f"p{round(100 * r)}", r) for r in (0.5, 0.95, 0.99)])
+    return checked.select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("month"), "requests", "p50_close", "p95_close", "p99_close")

@@ -9,6 +9,7 @@ from .. import sources, streaming
 from ..operators import access_log, capture, sessions, spans as spans_ops
 from ..plans import exports
 from ..session import scratch_path
+from ..sinks import snapshots, with_promoted
 from . import fixtures as fx
 from .calls import CAPTURED, captured_columns
 from .lake import _BY_SHARD, _KEEP, _ORDINAL, _SIZE
@@ -261,6 +262,45 @@ def stream_log_summary(spark, folder):
     return streaming.total_summary(kept).withColumn("avg_ms", F.round("avg_ms", 6))
 
 
+def _broken_lines(spark, rows, number):
+    """Rows as text files of JSON lines, of which every tenth is cut off and every hundredth is blank as well."""
+    path = scratch_path(spark, "lines")
+    line = F.to_json(F.struct(*[c for c in rows.columns if c != number]))
+    cut = F.when(F.col(number) % 10 == 0, F.substring(line, 1, 20)).otherwise(line)
+    blank = F.when(F.col(number) % 100 == 0, F.array(cut, F.lit(" "))).otherwise(F.array(cut))
+    rows.repartition(3).select(F.explode(blank).alias("value")).write.text(path)
+    return path
+
+
+def _split(spark, lines, transform=None):
+    path, quarantine = scratch_path(spark, "good"), scratch_path(spark, "quarantine")
+    streaming.start_split_sink(lines, path, quarantine, scratch_path(spark, "checkpoint"), transform).awaitTermination()
+    return snapshots.read(spark, path), snapshots.read(spark, quarantine)
+
+
+@query(
+    "stream_access_log_quarantine",
+    f"""WITH {fx.LOG}, numbered AS (SELECT CASE WHEN event_id % 10 = 0 THEN 'broken' ELSE CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'response'
+    WHEN 'signup' THEN 'response' ELSE 'request' END END AS kind FROM events) SELECT kind, count(*) AS entries FROM numbered GROUP BY kind""",
+)
+def stream_access_log_quarantine(spark, folder):
+    """A log of JSON lines with broken ones: entries by type, and the lines in quarantine."""
+    events = fx.table(spark, folder, "events")
+    path = _broken_lines(spark, events.select("event_id", *fx.log_columns()), "event_id")
+    good, bad = _split(spark, sources.read_access_log(_session(spark), path, streaming=True))
+    return good.select(F.col("type").alias("kind")).unionByName(bad.select(F.lit("broken").alias("kind"))).groupBy("kind").agg(F.count("*").alias("entries"))
+
+
+@query("stream_raw_calls_json", f"WITH {fx.RAW} SELECT model, {TOKENS} FROM raw WHERE NOT failed AND conv_id % 10 <> 0 GROUP BY model")
+def stream_raw_calls_json(spark, folder):
+    """Raw calls as JSON lines, some broken, captured as spans: token totals of the readable ones."""
+    raw = fx.raw_calls(spark, folder).drop("tool_id")
+    path = _broken_lines(spark, raw.withColumn("conv", F.regexp_extract("call_id", "([0-9]+)", 1).cast("bigint")), "conv")
+    lines = sources.read_raw_calls(_session(spark), path, streaming=True, keep_broken=True)
+    spans, _ = _split(spark, lines, lambda good: with_promoted(capture.build_spans(good)))
+    return spans_ops.token_totals(spans.where(F.col("status") == "OK"), ["model"])
+
+
 @query("stream_deduplicate", "SELECT 'e' || event_id::VARCHAR AS span_id, event_type FROM events")
 def stream_deduplicate(spark, folder):
     """Every event arrives twice."""

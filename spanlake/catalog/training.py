@@ -336,8 +336,22 @@ def rebuild_conversation_long(spark, folder):
 
 @query(
     "multi_turn_sft_long",
-    f"""{_LONG} SELECT conv_id, (place // 7)::BIGINT AS part, to_json(list({{'role': role, 'content': text}} ORDER BY turn))::VARCHAR AS messages,
-    count(*) AS n_turns FROM placed GROUP BY 1, 2""",
+    f"""{_LONG}, ends AS (SELECT conv_id, place // 7 AS part, max(place) AS last, count(*) AS n_turns FROM placed GROUP BY 1, 2)
+    SELECT e.conv_id, e.part::BIGINT AS part, to_json(list({{'role': role, 'content': text}} ORDER BY place))::VARCHAR AS messages, any_value(n_turns) AS n_turns
+    FROM ends e JOIN placed p ON p.conv_id = e.conv_id AND p.place <= e.last GROUP BY 1, 2""",
 )
 def multi_turn_sft_long(spark, folder):
+    """The messages of a part are all of the conversation up to its end."""
     return _json(turns.multi_turn_sft(chained(spark, folder), part_turns=7))
+
+
+@query(
+    "multi_turn_sft_whole",
+    f"""{_LONG} SELECT conv_id, to_json(list({{'role': role, 'content': text}} ORDER BY turn))::VARCHAR AS messages, count(*) AS n_turns
+    FROM chained GROUP BY conv_id""",
+)
+def multi_turn_sft_whole(spark, folder):
+    """The last part of each conversation holds all of it, whatever the size of parts."""
+    parts = turns.multi_turn_sft(chained(spark, folder), part_turns=7)
+    last = parts.groupBy("conv_id").agg(F.max_by("messages", "part").alias("messages"), F.sum("n_turns").alias("n_turns"))
+    return _json(last)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .skew import join_unique
+
 # The request parameters to remove.
 SANITIZED_PARAMS = ("tool_choice", "tools", "tool_use", "parallel_tool_calls")
 
-# A configuration with more prefixes than this is refused: they all go into the plan.
-MAX_PREFIXES = 100_000
+# Prefixes of a longer list do not go into the plan but are joined.
+PLAN_PREFIXES = 10_000
 
 
 def sanitize_model_set(models: DataFrame) -> DataFrame:
@@ -20,22 +22,26 @@ def sanitize_model_set(models: DataFrame) -> DataFrame:
     return models.where(gemini & (target.contains("openai/") | drop)).select(name.alias("prefix")).distinct()
 
 
-def match_model_prefix(df: DataFrame, prefixes: DataFrame, model: str = "model", name: str = "matched") -> DataFrame:
+def match_model_prefix(
+    df: DataFrame, prefixes: DataFrame, model: str = "model", name: str = "matched", in_plan: int = PLAN_PREFIXES
+) -> DataFrame:
     """Flag rows whose model starts with a listed prefix; an empty list means every model.
 
-    ``prefixes`` comes from the model configuration, which is small. Prefixes of one length are one hash set of literals, so
-    a row costs one look-up per length, whatever the size of the list; no shuffle, and no action on ``df``, which may be a stream.
+    Up to ``in_plan`` prefixes, as a model configuration has them, become one hash set of literals per length: a row costs one look-up per length,
+    with no shuffle and no action on ``df``. A longer list stays a table: the leading substrings of the distinct models, of the lengths that
+    occur, are joined to it by equality, and the models found are joined back. The result is the same. A stream takes the list into its plan at any length.
     """
-    listed = [row[0] for row in prefixes.select("prefix").where("prefix IS NOT NULL").distinct().limit(MAX_PREFIXES + 1).collect()]
-    if len(listed) > MAX_PREFIXES:
-        raise ValueError(f"more than {MAX_PREFIXES} model prefixes")
-    if not listed:
+    listed = prefixes.select("prefix").where("prefix IS NOT NULL").distinct()
+    known = [row[0] for row in (listed if df.isStreaming else listed.limit(in_plan + 1)).collect()]
+    if not known:
         return df.withColumn(name, F.lit(True))
+    value = F.coalesce(F.col(model), F.lit(""))
+    if len(known) > in_plan and not df.isStreaming:
+        return _joined_prefixes(df, listed, value, name)
     by_length: dict[int, list[str]] = {}
-    for prefix in sorted(listed):
+    for prefix in sorted(known):
         # Characters as the engine counts them: code points.
         by_length.setdefault(len(prefix), []).append(prefix)
-    value = F.coalesce(F.col(model), F.lit(""))
     hits = [F.substring(value, 1, n).isin(found) if n else F.lit(True) for n, found in sorted(by_length.items())]
     hit = hits[0]
     for more in hits[1:]:
@@ -43,6 +49,21 @@ def match_model_prefix(df: DataFrame, prefixes: DataFrame, model: str = "model",
     return df.withColumn(name, hit)
 
 
+def _joined_prefixes(df: DataFrame, listed: DataFrame, value: Column, name: str) -> DataFrame:
+    """The match by joins alone. Rows of very frequent models meet a broadcast of theirs (:func:`join_unique`)."""
+    # One number per length of a prefix.
+    lengths = sorted(row[0] for row in listed.select(F.char_length("prefix")).distinct().collect())
+    keyed = df.withColumn("_prefix_model", value)
+    models = keyed.select("_prefix_model").distinct()
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.char_length("_prefix_model"))
+    heads = models.select("_prefix_model", F.explode(fitting).alias("_length"))
+    heads = heads.select("_prefix_model", F.expr("substring(_prefix_model, 1, _length)").alias("prefix"))
+    found = heads.join(listed, "prefix", "left_semi").select("_prefix_model").distinct().withColumn("_hit", F.lit(True))
+    joined = join_unique(keyed, found, ["_prefix_model"])
+    columns = df.columns if name in df.columns else [*df.columns, name]
+    return joined.withColumn(name, F.coalesce("_hit", F.lit(False))).select(*columns)
+
+
 def request_model(kwargs: Column) -> Column:
     own = F.get_json_object(kwargs, "$.model")
     inner = F.get_json_object(kwargs, "$.litellm_params.model")

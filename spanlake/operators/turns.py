@@ -33,11 +33,17 @@ def _co_located(turns: DataFrame, part_turns: int) -> DataFrame:
 
 
 def _earlier(parts: DataFrame, item: Column, name: str) -> DataFrame:
-    """Per part after the first: the items of all rows of the earlier parts, in order."""
+    """Per part after the first: the items of all rows of the earlier parts, in order.
+
+    The list of a part is sent to each later part, so that these are built by as many tasks as there are parts, however long one conversation is.
+    """
     placed = F.when(item.isNotNull(), F.struct("place", item.alias("item")))
     listed = parts.groupBy(*_KEYS).agg(F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["item"]).alias("items"))
-    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return listed.select(*_KEYS, F.flatten(F.collect_list("items").over(before)).alias(name)).where(F.col("part") > 0)
+    last = parts.groupBy("conv_id").agg(F.max("part").alias("last"))
+    sent = listed.join(last, "conv_id").where("part < last")
+    sent = sent.select("conv_id", F.explode(F.sequence(F.col("part") + 1, F.col("last"))).alias("to"), F.struct("part", "items").alias("sent"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list("sent")), lambda x: x["items"]))
+    return sent.groupBy("conv_id", F.col("to").alias("part")).agg(whole.alias(name))
 
 
 def _long(parts: DataFrame) -> DataFrame:
@@ -69,9 +75,16 @@ def rebuild_conversation(turns: DataFrame, part_turns: int = PART_TURNS) -> Data
 
 
 def multi_turn_sft(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """Rebuilt conversations as ``messages`` (role, content)."""
+    """Conversations as ``messages`` (role, content), complete up to the end of the part; ``n_turns`` are the part's own.
+
+    So each part is an example that begins with the conversation, and the last one is all of it.
+    """
     messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
-    return rebuild_conversation(turns, part_turns).select("conv_id", "part", messages.alias("messages"), "n_turns")
+    own = rebuild_conversation(turns, part_turns).select(*_KEYS, messages.alias("messages"), "n_turns")
+    before = _earlier(_long(with_part(turns, part_turns)), F.struct("role", F.col("text").alias("content")), "_earlier")
+    whole = own.join(before, _KEYS, "left")
+    carried = F.when(F.col("_earlier").isNull(), F.col("messages")).otherwise(F.concat("_earlier", "messages"))
+    return whole.select(*_KEYS, carried.alias("messages"), "n_turns")
 
 
 def _is(role: str) -> Column:

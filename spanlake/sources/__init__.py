@@ -109,15 +109,20 @@ def latest_shard(spark: SparkSession, path: str) -> DataFrame:
     return spans.where(at == newest["path"])
 
 
-def read_access_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Access log lines; blank lines are dropped, broken lines keep their text in ``_corrupt_record``.
+def _json_lines(spark: SparkSession, path: str, schema: str, streaming: bool) -> DataFrame:
+    """JSON lines; blank ones are dropped, broken ones keep their text in ``_corrupt_record``.
 
     The lines are read as text and parsed by an expression, because the JSON source refuses queries
     that need the broken lines only.
     """
     lines = _reader(spark, streaming).text(path).where(F.trim("value") != "")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    return lines.select(F.from_json("value", schemas.LOG, options).alias("entry")).select("entry.*")
+    return lines.select(F.from_json("value", schema, options).alias("entry")).select("entry.*")
+
+
+def read_access_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """Access log lines; broken lines keep their text in ``_corrupt_record``."""
+    return _json_lines(spark, path, schemas.LOG, streaming)
 
 
 def split_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,8 +139,10 @@ def read_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items() if c in df.columns})
 
 
-def read_raw_calls(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Raw calls; request and response stay JSON text."""
+def read_raw_calls(spark: SparkSession, path: str, streaming: bool = False, keep_broken: bool = False) -> DataFrame:
+    """Raw calls; request and response stay JSON text. ``keep_broken`` adds ``_corrupt_record`` with the text of broken lines, for :func:`split_log`."""
+    if keep_broken:
+        return _json_lines(spark, path, f"{schemas.RAW_CALL}, _corrupt_record STRING", streaming)
     return _reader(spark, streaming).schema(schemas.RAW_CALL).json(path)
 
 

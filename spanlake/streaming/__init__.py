@@ -11,7 +11,7 @@ from .. import schemas
 from ..functions import iso_duration_ms
 from ..operators import access_log, batches
 from ..sinks import snapshots, with_promoted, with_shard
-from ..sources import read_spans
+from ..sources import read_spans, split_log
 
 
 def stream_table(
@@ -120,6 +120,28 @@ def start_append_sink(df: DataFrame, path: str, checkpoint: str, every: str | No
     return writer.option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
 
 
+def start_split_sink(
+    lines: DataFrame, path: str, quarantine: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, every: str | None = None
+) -> StreamingQuery:
+    """Readable rows of ``lines`` to one table and the text of broken lines to another, in one query and exactly once.
+
+    ``lines`` has ``_corrupt_record`` (see :func:`spanlake.sources.read_access_log`). Both tables have a manifest (:mod:`spanlake.sinks.snapshots`): a micro-batch that failed between
+    its two commits is written again, and the table that has it already leaves it out. ``transform`` is applied to the readable rows.
+    """
+
+    def split(batch: DataFrame, epoch: int) -> None:
+        query = _query_id(batch)
+        good, bad = split_log(batch.persist())
+        try:
+            snapshots.append(transform(good) if transform else good, path, query, epoch)
+            snapshots.append(bad, quarantine, query, epoch)
+        finally:
+            batch.unpersist()
+
+    writer = lines.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+    return writer.trigger(**_trigger(every)).start()
+
+
 def run(start: Callable[..., StreamingQuery], df: DataFrame, path: str, checkpoint: str) -> None:
     """Process what is available and wait for the end."""
     start(df, path, checkpoint).awaitTermination()

@@ -144,6 +144,17 @@ def test_prefix_match(spark):
     assert all(r["matched"] for r in blank.collect())
 
 
+def test_prefix_join(spark, heavy):
+    """The list as a table against the list in the plan, with heavy, null and odd models."""
+    models = ["gemini-pro"] * 15 + ["gpt-4", "claude", None, "", "g", "é-1", "gemini"] + [f"m{i}-x" for i in range(30)]
+    df = spark.createDataFrame([(m, i) for i, m in enumerate(models)], "model STRING, _length INT")
+    prefixes = spark.createDataFrame([(p,) for p in ["gemini", "gpt-4", "gpt-44", "é", None, "gpt-4"] + [f"m{i}" for i in range(0, 30, 3)]], "prefix STRING")
+    for more in ([], [("",)]):
+        listed = prefixes.union(spark.createDataFrame(more, "prefix STRING"))
+        want = sanitize.match_model_prefix(df, listed).collect()
+        assert sorted(sanitize.match_model_prefix(df, listed, in_plan=3).collect(), key=str) == sorted(want, key=str) and len(want) == len(models)
+
+
 def test_sanitize(spark):
     models = spark.createDataFrame(
         [("gem", ("openai/gemini-x", None, None)), ("Gemini-2", ("other/y", None, True)), ("gpt", ("openai/gpt", None, True)),

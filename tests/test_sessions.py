@@ -43,3 +43,15 @@ def test_tree(spark):
 
 def test_tree_with_heavy_parents(spark, heavy):
     check_tree(spark)
+
+
+def test_percentiles_from_sketches(spark):
+    """Sketches of hours give the percentiles of a day within their bound, and exactly for few values."""
+    df = spark.range(48_000).select(F.timestamp_seconds(F.col("id") % 86_400).alias("ts"), (F.col("id") * 7919 % 48_000).cast("double").alias("ms"), (F.col("id") % 2).alias("k"))
+    hours = sessions.latency_sketches(df, "ts", "1 hour", "ms", ["k"])
+    assert hours.count() == 28 and hours.agg(F.max(F.length("sketch"))).first()[0] < 20_000
+    for r in sessions.latency_percentiles(hours, "day", keys=["k"]).collect():
+        assert r["requests"] == 24_000 and all(abs(r[f"p{p}"] - 480 * p) < 960 for p in (50, 95, 99))
+    few = df.where("ms < 100")
+    found = sessions.latency_percentiles(sessions.latency_sketches(few, "ts", "1 hour", "ms"), "day", (0.5, 1.0)).first()
+    assert (found["requests"], found["p50"], found["p100"]) == (100, 49.0, 99.0)

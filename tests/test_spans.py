@@ -185,3 +185,22 @@ def test_preview_and_union(spark):
     assert len(store.preview(spans, 1).first()["attributes"]) == 100
     both = ops.union_spans(spans, spans.drop("end_time").withColumn("extra", F.lit(1)))
     assert both.count() == 2 and "extra" in both.columns
+
+
+def test_bloom_filters_skip_row_groups(spark):
+    """An id that is not there, but between the smallest and the largest of each file, reads no row."""
+
+
+    path = scratch_path(spark, "lake")
+    sinks.write_spans(table(spark, *[span(2 * i, f"r{2 * i:05d}", start=900 * (i % 4)) for i in range(2000)]), path)
+    lake = sources.read_spans(spark, path)
+
+    def read(condition):
+        found = lake.where(condition)
+        rows = found.count(), found.collect()
+        plan = found._jdf.queryExecution().executedPlan()
+        return len(rows[1]), plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    assert read("span_id = 's1001'") == (0, 0) and read("rollout_id = 'r01001'") == (0, 0)
+    found, touched = read("span_id = 's1000'")
+    assert found == 1 and touched < 2000

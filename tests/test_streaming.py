@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spanlake import schemas, sinks, sources, streaming
 from spanlake.operators import access_log, capture, sanitize, sessions
 from spanlake.session import scratch_path
+from spanlake.sinks import snapshots
 from test_access_log import COLUMNS, log
 from test_spans import span, table
 
@@ -223,3 +224,35 @@ def test_lake_sink(spark):
     assert streaming.lake_stats(spark, lake) == {"spans_added": 90, "spans_flushed": 90, "micro_batches": 9, "folders": 1, "current_shard": "19700101_000000"}
     streaming.start_lake_sink(stream, lake, scratch_path(spark, "cp"), fan_in=3).awaitTermination()
     assert streaming.lake_stats(spark, lake)["spans_added"] == 180
+
+
+def test_quarantine_in_one_query(spark):
+    """Broken lines go to a table of their own; a crash between the two commits doubles nothing."""
+    source, good, bad, checkpoint = (scratch_path(spark, n) for n in ("log", "good", "bad", "cp"))
+    lines = [json.dumps({"type": t, "request_id": str(i)}) for i, t in enumerate(("request", "response", "error"))] + ["", "  ", "{oops", '{"type": 5', "[1]"]
+    for some in (lines[:4], lines[4:]):
+        spark.createDataFrame([(line,) for line in some], "value STRING").coalesce(1).write.mode("append").text(source)
+    entries = sources.read_access_log(spark, source, streaming=True)
+    append, calls = snapshots.append, []
+
+    def crash(rows, path, *args):
+        calls.append(path)
+        if len(calls) == 2:
+            raise RuntimeError("between the commits")
+        return append(rows, path, *args)
+
+    snapshots.append = crash
+    try:
+        with pytest.raises(StreamingQueryException):
+            streaming.start_split_sink(entries, good, bad, checkpoint).awaitTermination()
+    finally:
+        snapshots.append = append
+    streaming.start_split_sink(entries, good, bad, checkpoint).awaitTermination()
+    assert sorted(r["type"] for r in snapshots.read(spark, good).collect() if r["type"]) == ["error", "request", "response"]
+    broken = sorted(r[0] for r in snapshots.read(spark, bad).collect())
+    want = sources.split_log(sources.read_access_log(spark, source))[1]
+    assert broken == sorted(r[0] for r in want.collect()) and {"{oops", '{"type": 5'} <= set(broken)
+    raw = scratch_path(spark, "raw")
+    spark.createDataFrame([('{"call_id": "a", "kwargs": "{}"}',), ("{no",)], "value STRING").write.text(raw)
+    readable, rest = sources.split_log(sources.read_raw_calls(spark, raw, keep_broken=True))
+    assert [r["call_id"] for r in readable.collect()] == ["a"] and [r[0] for r in rest.collect()] == ["{no"]

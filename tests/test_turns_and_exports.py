@@ -37,6 +37,25 @@ def test_long_conversations(spark):
     assert [(m["role"], m["content"]) for m in messages] == [x[2:] for x in conversation(2, 4)]
 
 
+def test_complete_examples(spark):
+    """Each part begins with its conversation, and the last one is all of it, at any size of parts."""
+    rows = conversation(1, 23) + conversation(2, 4) + [(3, i, "user", None if i % 4 else f"t{i}") for i in range(12)]
+    told = spark.createDataFrame(rows, TURNS)
+    for size in (1, 5, 7, 1024):
+        found = turns.multi_turn_sft(told, size).collect()
+        assert sum(r["n_turns"] for r in found) == len(rows)
+        for r in found:
+            own = [x[2:] for x in rows if x[0] == r["conv_id"]]
+            assert [(m["role"], m["content"]) for m in r["messages"]] == own[: r["part"] * size + r["n_turns"]]
+    # The conversation that holds most turns is built by more than one task.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = turns.multi_turn_sft(spark.createDataFrame(conversation(9, 200), TURNS), 5)
+        assert len({r[0] for r in hot.select(F.spark_partition_id()).collect()}) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_copied_turns(spark, heavy):
     """A conversation of which one turn is there 40 times is cut into bounded parts, and keeps every row."""
     rows = conversation(1, 6) + [(2, 0, "user", "again")] * 40 + conversation(2, 3)[1:]
