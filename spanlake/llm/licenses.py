@@ -1,5 +1,5 @@
 """License scans: an Aho-Corasick automaton over the words of each text finds notice phrases and identifier tags; a
-shunting-yard parser evaluates the expressions behind the tags.
+shunting-yard parser evaluates the expressions behind the tags. An expression ends at the first token that cannot go on with it.
 
 Defined cases: a null text is empty; a text without words has no match and score 0; overlapping phrases all count;
 rows are independent, so repeated rows give repeated results; an empty table gives an empty table; other columns of
@@ -9,8 +9,10 @@ the input are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -19,8 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 from .text import FOLD, as_bytes, slices
 
 # Phrases as words, and their labels.
-BASE = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 NOTICES = {
+    "mit license": "mit",
     "gnu general public license version 2": "gpl-2",
     "gnu general public license version 3": "gpl-3",
     "gnu lesser general public license": "lgpl",
@@ -132,19 +135,41 @@ def _automaton(phrases: tuple[tuple[str, str, str], ...]):
     return found
 
 
+def leading(text: str) -> str:
+    """The expression that a line begins with: it ends where a complete one is followed by anything but an operator, or by a mark."""
+    depth, operand_next = 0, True
+    for found in _TOKEN.finditer(text):
+        token = found[0]
+        if token in "()":
+            depth += 1 if token == "(" else -1
+            operand_next = token == "("
+        elif token.lower() in _BINDS:
+            operand_next = True
+        elif not operand_next and depth <= 0:
+            return text[: found.start()].strip()
+        else:
+            operand_next = False
+            bare = token.rstrip(".,;:")
+            if bare and bare != token and depth <= 0:
+                return text[: found.start() + len(bare)].strip()
+    return text.strip()
+
+
 def _scan(text: bytes, automaton) -> dict:
     words = text.translate(FOLD).split()
     line = f" {b' '.join(words).decode('latin-1')} "
-    matches, tagged = [], False
+    matches, tagged, begins = [], False, None
     for end, entries in automaton.iter(line):
         for length, label, kind in entries:
             if kind == "tag":
                 tagged = True
             else:
-                matches.append({"word": line.count(" ", 0, end - length + 1), "label": label, "base": kind == "base"})
+                # Where each word begins, made once for a text with matches.
+                begins = begins or [0, *accumulate(len(w) + 1 for w in words)]
+                matches.append({"word": bisect_left(begins, end - length + 1), "label": label, "base": kind == "base"})
     tags = []
     for found in _TAG.findall(text.decode("utf-8", "replace")) if tagged else ():
-        expression = re.sub(r"\s*(-->|\*/).*", "", found).strip()
+        expression = leading(found.partition("-->")[0])
         rpn = postfix(expression)
         free, labels = evaluate(rpn) if rpn else (False, [])
         tags.append({"expression": expression, "postfix": " ".join(rpn or ()), "valid": bool(rpn), "permissive": free, "labels": labels})
