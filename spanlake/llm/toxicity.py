@@ -78,13 +78,15 @@ def held_out(id_col: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` labels with their texts, fixed by a checkpoint."""
+    """At most ``rows`` labelled texts, fixed by a checkpoint; repeated rows count once."""
     shared_dir(docs.sparkSession)
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     texts = docs.select("doc_id", "text")
-    # At most ``rows`` rows are broadcast.
-    return texts.join(F.broadcast(known), "doc_id").select("label", "text").repartition(TABLES).checkpoint()
+    # At most ``rows`` rows are broadcast. An id may have several texts, so the bound is applied to these as well.
+    found = texts.join(F.broadcast(known), "doc_id").distinct()
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("text"), "text").limit(rows)
+    return found.select("label", "text").repartition(TABLES).checkpoint()
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +99,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[y] += np.bincount(pair[label[pair // _DIM] == y] % _DIM, minlength=_DIM)
         rows += np.bincount(label, minlength=2)
     if rows.sum():
-        table = [zlib.compress(c.astype(np.uint16).tobytes(), 1) for c in counts]
+        table = [zlib.compress(c.astype(np.uint32).tobytes(), 1) for c in counts]
         yield pa.RecordBatch.from_pydict({"n0": [rows[0]], "n1": [rows[1]], "c0": [table[0]], "c1": [table[1]]})
 
 
@@ -106,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     n, df = np.zeros(2), np.zeros((2, _DIM))
     for row in sample.mapInArrow(_frequencies, "n0 bigint, n1 bigint, c0 binary, c1 binary").collect():
         n += (row.n0, row.n1)
-        df += [np.frombuffer(zlib.decompress(c), np.uint16) for c in (row.c0, row.c1)]
+        df += [np.frombuffer(zlib.decompress(c), np.uint32) for c in (row.c0, row.c1)]
     prior = (n[1] + 0.1) / (n.sum() + 2)
     empty = Model(np.full(_DIM, -1, np.int16), np.zeros(FEATURES), float(np.log(prior / (1 - prior))))
     if not n.all():
