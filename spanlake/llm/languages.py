@@ -38,11 +38,11 @@ def _folded(text: str) -> bytes:
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> tuple[tuple[str, bytes], ...]:
     """Language and dictionary of each ``lang`` of ``docs``.
 
-    Every language gives the rows with the smallest hashes, in a share that makes about ``rows`` of them (all, if it has fewer); of each, a part as
+    Every language gives the rows with the smallest hashes of id and text, in a share that makes about ``rows`` of its different ones (all, if it has fewer); of each, a part as
     long as its share of the dictionary, from a place that the hash gives.
     """
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("hash"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text", F.lit(7)).alias("hash"))
+    sizes = {r["lang"]: max(1, r["n"]) for r in known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()}
     if not sizes:
         return ()
     shares = {lang: min(1 << 30, (rows << 30) // n) for lang, n in sizes.items()}
@@ -51,6 +51,8 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIO
     spare = F.greatest(F.length("text") - part, F.lit(0))
     picked = known.where(F.pmod("hash", F.lit(1 << 30)) < limit)
     picked = picked.select("lang", "hash", F.expr("text").substr((F.pmod(F.shiftright("hash", 30), spare + 1) + 1).cast("int"), F.lit(part)).alias("text"))
+    # Rows that are given several times have one hash, and count once.
+    picked = picked.dropDuplicates(["lang", "hash"])
     texts: dict[str, list[bytes]] = {lang: [] for lang in sizes}
     for r in picked.orderBy("hash", "text").collect():
         texts[r["lang"]].append(_folded(r["text"]))
