@@ -19,6 +19,7 @@ row for each; an empty table gives an empty table; other columns of the input ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -42,6 +43,12 @@ def canonical(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
+def quoted(text: Column) -> Column:
+    """A text as a JSON string, whatever characters it holds."""
+    held = F.to_json(F.struct(text.alias("v")))
+    return F.substring(held, F.lit(6), F.length(held) - 6)
+
+
 def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
     """Array of errors of one call: ``unknown_tool``, ``malformed``, ``missing:x``, ``type:x``, ``unknown:x``."""
     value = F.try_parse_json(arguments)
@@ -50,7 +57,10 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
     for tool, fields in schemas.items():
         found = []
         for field, (kind, required) in fields.items():
-            held = F.try_variant_get(value, f"$.{field}", "variant")
+            if re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", field):
+                held = F.try_variant_get(value, f"$.{field}", "variant")
+            else:  # a name that would say something else in a path
+                held = F.try_variant_get(value, "$", "map<string, variant>")[field]
             there = F.array_contains(keys, field)
             wrong = there & ~F.coalesce(F.schema_of_variant(held), F.lit("VOID")).rlike(_KINDS[kind])
             found.append(F.when(wrong, F.lit(f"type:{field}")))
@@ -129,7 +139,6 @@ def link_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
         "conv_id", "turn", F.lit(-1).alias("call"), F.lit(0).alias("step"), none("bigint").alias("result_turn"), F.lit("message").alias("kind"),
         none("string").alias("call_id"), none("boolean").alias("linked"), empty.alias("errors"), F.lit(False).alias("cyclic"), text.alias("json"),
     )
-    quoted = lambda c: F.regexp_extract(F.to_json(F.named_struct(F.lit("v"), c)), r"^\{\"v\":(.*)\}$", 1)
     spelled = F.coalesce(canonical(F.col("arguments")), quoted(F.coalesce("arguments", F.lit(""))))
     call_json = F.concat(
         F.lit('{"arguments":'), spelled, F.lit(',"id":'), quoted(F.coalesce("call_id", F.lit(""))), F.lit(',"name":'), quoted(F.coalesce("name", F.lit(""))), F.lit("}")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .tool_calls import quoted
+
 SCHEMAS = {
     "measure": {"text": ("string", True), "length": ("integer", True), "ratio": ("number", False)},
     "look_up": {"query": ("string", True), "exact": ("boolean", False), "tags": ("array", False)},
@@ -17,11 +19,10 @@ SCHEMAS = {
 
 def derive_messages(conversations: DataFrame) -> DataFrame:
     turns = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    quote = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"^\{\"v\":(.*)\}$", 1)
     size = F.length("text")
     wrong = F.when(F.col("turn") % 5 == 3, F.concat(F.lit('"'), size.cast("string"), F.lit('"'))).otherwise(size.cast("string"))
-    first = F.concat(F.lit('{ "text": '), quote(F.col("text")), F.when(F.col("turn") % 7 != 5, F.concat(F.lit(', "length": '), wrong)).otherwise(""), F.lit(', "ratio": 1.50 }'))
-    second = F.concat(F.lit('{"query":'), quote(F.lower("text")), F.lit(', "exact": true, "tags": ["b", "a"]'), F.when(size % 4 == 0, F.lit(', "limit": 3')).otherwise(""), F.lit("}"))
+    first = F.concat(F.lit('{ "text": '), quoted(F.col("text")), F.when(F.col("turn") % 7 != 5, F.concat(F.lit(', "length": '), wrong)).otherwise(""), F.lit(', "ratio": 1.50 }'))
+    second = F.concat(F.lit('{"query":'), quoted(F.lower("text")), F.lit(', "exact": true, "tags": ["b", "a"]'), F.when(size % 4 == 0, F.lit(', "limit": 3')).otherwise(""), F.lit("}"))
     m, q = F.format_string("m%d", "turn"), F.format_string("q%d", "turn")
     call = lambda i, n, a, d: F.struct(i.alias("id"), n.alias("name"), a.alias("arguments"), d.alias("depends_on"))
     none = F.array().cast("array<string>")
