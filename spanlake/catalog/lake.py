@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sinks, sources
+from ..functions import variant_attr
 from ..operators import batches, spans as spans_ops, store
 from ..operators.sessions import with_date_hour
 from ..session import scratch_path
@@ -72,6 +73,31 @@ def lake_rollout_lookup(spark, folder):
     return spans_ops.query_spans(spans, "ro-000000000011").select("span_id", "sequence_id", "start_time")
 
 
+def _variant_lake(spark, folder):
+    path = scratch_path(spark, "variant")
+    sinks.write_spans(fx.captured(spark, folder), path, 720, variant=True)
+    return sources.read_spans(spark, path, variant=True)
+
+
+@query(
+    "attr_variant_filter",
+    f"""WITH {fx.RAW} SELECT captured_id AS span_id, model, 0.5::DOUBLE AS temperature, CASE WHEN conv_id % 2 = 0 THEN 256::BIGINT END AS max_tokens
+    FROM captured WHERE NOT failed AND turn % 2 = 1""",
+)
+def attr_variant_filter(spark, folder):
+    """A filter on an attribute that is no column of its own: read from the shredded VARIANT, no text is parsed."""
+    spans = _variant_lake(spark, folder).where("status = 'OK'")
+    wanted = {"temperature": ("llm.request.temperature", "double"), "max_tokens": ("llm.request.max_tokens", "bigint"), "model": ("llm.model", "string")}
+    read = spans.select("span_id", *[variant_attr(F.col("attrs"), key, kind).alias(name) for name, (key, kind) in wanted.items()])
+    return read.where("temperature = 0.5")
+
+
+@query("attr_variant_totals", f"WITH {fx.RAW} SELECT model, {TOKENS} FROM raw WHERE NOT failed GROUP BY model")
+def attr_variant_totals(spark, folder):
+    """Token totals over the VARIANT: the operator takes its keys from there."""
+    return spans_ops.token_totals(_variant_lake(spark, folder).where("status = 'OK'"), ["model"])
+
+
 @query(
     "lake_span_lookup",
     f"""WITH {fx.RAW} SELECT captured_id AS span_id, model, start_time FROM raw WHERE captured_id IN (SELECT captured_id FROM raw ORDER BY conv_id, turn LIMIT 3)""",

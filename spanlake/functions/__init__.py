@@ -1,6 +1,6 @@
 """Column-level building blocks."""
 
-from .attributes import ATTRIBUTE_TYPES, attr, attrs_map, attrs_struct, with_attrs
+from .attributes import ATTRIBUTE_TYPES, attr, attrs_map, attrs_struct, attrs_variant, variant_attr, with_attrs
 from .ids import call_ids, with_default_ids
 from .texts import content_text, flatten_content, last_content, parse_messages, truncate_text
 from .times import duration, iso_duration_ms, normalize_ts, shard_label, to_epoch
@@ -10,6 +10,7 @@ __all__ = [
     "attr",
     "attrs_map",
     "attrs_struct",
+    "attrs_variant",
     "call_ids",
     "content_text",
     "duration",
@@ -21,6 +22,7 @@ __all__ = [
     "shard_label",
     "to_epoch",
     "truncate_text",
+    "variant_attr",
     "with_attrs",
     "with_default_ids",
 ]

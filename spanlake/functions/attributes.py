@@ -46,12 +46,28 @@ def attrs_struct(attributes: Column, *keys: str) -> Column:
     return F.from_json(attributes, ddl)
 
 
+def attrs_variant(attributes: Column) -> Column:
+    """All attributes as one VARIANT value; text that is not JSON gives an empty object.
+
+    Parquet stores it shredded: keys that most rows of a file have, with one type, become columns of their own, lists included.
+    """
+    return F.coalesce(F.try_parse_json(attributes), F.parse_json(F.lit("{}")))
+
+
+def variant_attr(attrs: Column, key: str, type_: str = "string") -> Column:
+    """One attribute of a VARIANT column, typed (``array<string>`` for a list). From a shredded file only this key is read."""
+    path = f'$["{key}"]' if "'" in key else f"$['{key}']"
+    return F.try_variant_get(attrs, path, type_)
+
+
 def with_attrs(df: DataFrame, **wanted: str) -> DataFrame:
     """Promote attributes to columns: ``with_attrs(df, model="llm.model")``. One parse per row, and none
-    for columns that the frame already has."""
+    for columns that the frame already has, or where it has the attributes as VARIANT (``attrs``)."""
     missing = {name: key for name, key in wanted.items() if name not in df.columns}
     if not missing:
         return df
+    if dict(df.dtypes).get("attrs") == "variant":
+        return df.withColumns({name: variant_attr(F.col("attrs"), key, ATTRIBUTE_TYPES[key]) for name, key in missing.items()})
     parsed = df.withColumn("_attrs", attrs_struct(F.col("attributes"), *dict.fromkeys(missing.values())))
     columns = {name: F.col("_attrs").getField(key) for name, key in missing.items()}
     return parsed.withColumns(columns).drop("_attrs")

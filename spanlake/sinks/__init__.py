@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, DataFrameWriter, functions as F
 
 from .. import schemas
-from ..functions import shard_label, with_attrs
+from ..functions import attrs_variant, shard_label, with_attrs
 from ..operators.sessions import with_date_hour
 
 _PART_COLUMNS = ("shard", "date", "hour", "batch_idx")
@@ -37,14 +37,16 @@ def lake_writer(spans: DataFrame) -> DataFrameWriter:
     return writer
 
 
-def write_spans(spans: DataFrame, path: str, window_minutes: int = 5) -> None:
+def write_spans(spans: DataFrame, path: str, window_minutes: int = 5, variant: bool = False) -> None:
     """Append to the time-sharded lake.
 
     New files are added, nothing is read back. The rebalance hint groups rows by shard into files of
     the advisory size: small shards share a task, a shard with very many rows is split. Rows are
     sorted by rollout inside a file, so that a rollout filter skips row groups. Model, token counters
-    and the call flag become columns.
+    and the call flag become columns. With ``variant`` all attributes are stored once more as a shredded VARIANT column ``attrs``, so
+    that readers of any other key need not parse the text.
     """
+    spans = spans.withColumn("attrs", attrs_variant(F.col("attributes"))) if variant else spans
     sharded = with_promoted(with_shard(spans, window_minutes)).hint("rebalance", "shard")
     ordered = sharded.sortWithinPartitions("shard", "rollout_id", "start_time")
     lake_writer(ordered).partitionBy("shard").mode("append").parquet(path)

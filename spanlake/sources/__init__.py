@@ -16,16 +16,18 @@ def _reader(spark: SparkSession, streaming: bool):
 
 
 def read_spans(
-    spark: SparkSession, path: str, streaming: bool = False, promoted: bool = False, skip_unreadable: bool = False
+    spark: SparkSession, path: str, streaming: bool = False, promoted: bool = False, skip_unreadable: bool = False, variant: bool = False
 ) -> DataFrame:
     """The span lake, with its partition columns (``shard``, ``batch_idx``) when it has them.
 
     Sub-folders are partitions here, so numbered batches are never invisible. ``promoted`` adds the
     attribute columns that every writer of the package stores; operators use them instead of the JSON. A lake without
     them is refused (the footers tell), because they would read as null.
-    ``skip_unreadable`` leaves out broken files, which ``file_stats`` lists.
+    ``skip_unreadable`` leaves out broken files, which ``file_stats`` lists. ``variant`` adds the attributes as ``attrs``, where they
+    were written so; operators then read single keys of it instead of the text.
     """
     schema = f"{schemas.SPAN}, {schemas.PROMOTED}" if promoted else schemas.SPAN
+    schema = f"{schema}, attrs VARIANT" if variant else schema
     if promoted and not streaming:
         stored = spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(path).columns
         absent = [c for c in schemas.PROMOTED_NAMES if c not in stored]

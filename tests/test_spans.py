@@ -204,3 +204,33 @@ def test_bloom_filters_skip_row_groups(spark):
     assert read("span_id = 's1001'") == (0, 0) and read("rollout_id = 'r01001'") == (0, 0)
     found, touched = read("span_id = 's1000'")
     assert found == 1 and touched < 2000
+
+
+def test_variant_attributes(spark):
+    """Typed attributes, lists and odd texts from the shredded column, without any parse of the text."""
+    from spanlake.functions import variant_attr
+
+    path = scratch_path(spark, "lake")
+    texts = [json.dumps({"llm.model": f"m{i % 3}", "n": i, "tags": ["a", f"b{i}"], "it's": True, "nested": {"k": [1, 2]}}) for i in range(60)]
+    texts += [json.dumps({"llm.model": 5, "n": "x", "tags": "none"}), "{oops", "[1]", None, "{}"]
+    sinks.write_spans(table(spark, *[span(i, attributes=t) for i, t in enumerate(texts)]), path, variant=True)
+    lake = sources.read_spans(spark, path, variant=True)
+    attrs = F.col("attrs")
+    found = lake.select(
+        "span_id",
+        variant_attr(attrs, "llm.model").alias("model"),
+        variant_attr(attrs, "n", "bigint").alias("n"),
+        variant_attr(attrs, "tags", "array<string>").alias("tags"),
+        variant_attr(attrs, "it's", "boolean").alias("its"),
+        variant_attr(attrs, "nested", "struct<k: array<int>>").alias("nested"),
+    )
+    rows = {r["span_id"]: tuple(r)[1:] for r in found.collect()}
+    assert len(rows) == 65 and rows["s0007"] == ("m1", 7, ["a", "b7"], True, ([1, 2],))
+    assert rows["s0060"] == ("5", None, None, None, None)
+    assert all(rows[f"s{i:04d}"] == (None,) * 5 for i in range(61, 65))
+    narrow = found.where("n = 7")
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert narrow.count() == 1 and "get_json_object" not in plan and "from_json" not in plan and "attributes#" not in plan
+    totals = ops.token_totals(lake, ["model"])
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert totals.count() >= 3 and "from_json" not in plan and "attributes#" not in plan
