@@ -193,6 +193,19 @@ def file_stats_per_file(spark, folder):
     return store.file_stats(spark, _lake(spark, folder))
 
 
+@query(
+    "file_stats_by_shard",
+    f"""WITH {fx.EVENT_SPANS} SELECT {fx.shard_sql('start_time', 720)} AS shard, count(*)::BIGINT AS rows, true AS all_read, true AS has_size
+    FROM event_spans GROUP BY 1""",
+)
+def file_stats_by_shard(spark, folder):
+    """Rows per file, put together by the shard folder that a file lies in."""
+    stats = store.file_stats(spark, _lake(spark, folder)).withColumn("shard", F.regexp_extract("path", "/shard=([^/]+)/", 1))
+    return stats.groupBy("shard").agg(
+        F.sum("rows").cast("bigint").alias("rows"), F.bool_and(F.col("state") == "ok").alias("all_read"), (F.min("bytes") > 0).alias("has_size")
+    )
+
+
 @query("dataset_stats", "SELECT count(*) AS rows, true AS has_files, true AS has_size FROM events")
 def dataset_stats(spark, folder):
     stats = store.dataset_stats(spark, _lake(spark, folder))

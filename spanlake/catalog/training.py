@@ -289,6 +289,44 @@ def export_hf_rl(spark, folder):
     return _with_span_ids(spark.read.parquet(target))
 
 
+def _exported(spark, records, **options):
+    """Records written, exported from the files, and the training set read back."""
+    source, target = scratch_path(spark, "records"), scratch_path(spark, "exported")
+    export_parquet(records, source)
+    ops.export(spark, source, target, **options)
+    return target
+
+
+@query("export_trl_rl", ORACLE["trl_rl"])
+def export_trl_rl(spark, folder):
+    return spark.read.parquet(_exported(spark, _rl(spark, folder), type="rl"))
+
+
+@query("export_hf_sft", ORACLE["hf_sft"])
+def export_hf_sft(spark, folder):
+    return spark.read.parquet(_exported(spark, _sft(spark, folder), format="hf"))
+
+
+@query("export_trl_thoughts", ORACLE["sft_with_reasoning"])
+def export_trl_thoughts(spark, folder):
+    return _json(spark.read.parquet(_exported(spark, _sft(spark, folder), include_thoughts=True)))
+
+
+@query("export_trl_text", ORACLE["trl_text"])
+def export_trl_text(spark, folder):
+    return spark.read.parquet(_exported(spark, _sft(spark, folder), sft_format="text"))
+
+
+@query(
+    "export_hf_split",
+    f"""WITH {_SFT} SELECT CASE WHEN {_slot('id', 10000)} < 2500 THEN 'test' ELSE 'train' END AS side, id, prompt, response FROM sft""",
+)
+def export_hf_split(spark, folder):
+    target = _exported(spark, _sft(spark, folder), format="hf", split_train_test=True, test_size=0.25)
+    sides = [spark.read.parquet(f"{target}/{side}").withColumn("side", F.lit(side)) for side in ("train", "test")]
+    return sides[0].unionByName(sides[1]).select("side", "id", "prompt", "response")
+
+
 @query(
     "export_splits",
     f"""WITH {_SFT} SELECT CASE WHEN {_slot('id', 10000)} < 2000 THEN 'test' ELSE 'train' END AS side, count(*) AS records,
