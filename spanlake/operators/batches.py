@@ -10,14 +10,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .ordinals import global_ordinal
+from .ordinals import counted_ordinal, global_ordinal
 
 ARRIVAL = ("start_time", "span_id")
 
 
 def assign_batches(df: DataFrame, size: int, order: Sequence[str] = ARRIVAL, first: int = 0) -> DataFrame:
     """Add ``ordinal`` (from ``first``) and ``batch_idx``."""
-    numbered = global_ordinal(df, order)
+    numbered = counted_ordinal(df, order)
     ordinal = F.col("ordinal") + first
     return numbered.withColumn("batch_idx", F.floor(ordinal / size).cast("bigint")).withColumn("ordinal", ordinal)
 

@@ -8,15 +8,20 @@ the ordinal. A checkpoint fixes the partitioning before it is counted, and cuts
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import NumericType, TimestampNTZType, TimestampType
 
 from ..session import shared_dir
-from .skew import heavy_keys, split_heavy
+from .skew import HEAVY_ROWS, HEAVY_ROWS_CONF, heavy_keys, split_heavy
 
 _TIE, _POS, _PART = "_tie", "_pos", "_part"
 # monotonically_increasing_id keeps the partition in the upper bits and the row in the lower 33.
 _ROW_BITS = 33
+#: Most slices that the first order column is cut into.
+SLICES = 1 << 18
 
 
 def _range_positions(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -51,6 +56,52 @@ def global_ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal") -
     )
 
 
+def _slice_of(order: Column, low: float, width: float) -> Column:
+    """Number of the slice, which never falls while ``order`` rises: nulls, then what is below ``low``, the slices, and last infinity and NaN."""
+    inside = F.floor(F.least((order - low) / width, F.lit(SLICES - 1.0))) + 1
+    far = F.isnan(order) | (order == float("inf"))
+    return F.when(order.isNull(), -1).when(far, SLICES + 1).when(order < low, 0).otherwise(inside).cast("bigint")
+
+
+def counted_ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataFrame:
+    """Add the 0-based place of each row in the whole table, as :func:`global_ordinal` does, and move each row once.
+
+    The range of the first order column (a number or a time) is cut into :data:`SLICES` slices. Two passes over that column alone give the range and
+    the rows per slice; their running sum, at most ``SLICES + 3`` numbers, is where each slice starts, and a window numbers the rows inside.
+    Only the rows of slices that hold at least ``spanlake.skew.heavyRows`` of them (equal times, or a range that a few outliers stretch) are range-partitioned.
+    """
+    order = list(order)
+    if not isinstance(df.schema[order[0]].dataType, (NumericType, TimestampType, TimestampNTZType)):
+        return global_ordinal(df, order, name)
+    first = F.col(order[0])
+    if isinstance(df.schema[order[0]].dataType, TimestampNTZType):
+        first = first.cast("timestamp")
+    first = first.cast("double")
+    finite = F.when(F.abs(first) < float("inf"), first)
+    low, high = df.agg(F.min(finite), F.max(finite)).first()
+    low, high = (0.0, 0.0) if low is None else (low, high)
+    # Halves first, as the range itself may be infinite.
+    width = max((high / 2 - low / 2) / SLICES * 2, 5e-324)
+    rows = df.withColumn("_slice", _slice_of(first, low, width))
+    # At most SLICES + 3 rows.
+    counts = sorted(rows.groupBy("_slice").count().collect())
+    least = int(df.sparkSession.conf.get(HEAVY_ROWS_CONF, str(HEAVY_ROWS)))
+    hot = [n if n >= least else 0 for _, n in counts]
+    starts = list(accumulate((n for _, n in counts), initial=0))[:-1]
+    hot_starts = list(accumulate(hot, initial=0))[:-1]
+    table = {"_slice": [s for s, _ in counts], "_from": starts, "_hot": [h > 0 for h in hot], "_before": hot_starts}
+    kinds = [("_slice", pa.int64()), ("_from", pa.int64()), ("_hot", pa.bool_()), ("_before", pa.int64())]
+    table = F.broadcast(df.sparkSession.createDataFrame(pa.table(table, pa.schema(kinds))))
+    rows = rows.join(table, "_slice")
+    inside = Window.partitionBy("_slice").orderBy(*order)
+    plain = (rows.where("NOT _hot") if any(hot) else rows).withColumn("_place", F.row_number().over(inside) - 1)
+    if any(hot):
+        # The place among the rows of all hot slices, less the rows of the hot slices before.
+        far = global_ordinal(rows.where("_hot"), order, "_place").withColumn("_place", F.col("_place") - F.col("_before"))
+        plain = plain.unionByName(far)
+    return plain.withColumn(name, (F.col("_from") + F.col("_place")).cast("bigint")).select(*df.columns, name)
+
+
 def group_ordinal(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, heavy: list[int] | None = None
 ) -> DataFrame:

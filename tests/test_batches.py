@@ -1,10 +1,11 @@
 import random
+from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from spanlake.operators import batches
-from spanlake.operators.ordinals import global_ordinal
+from spanlake.operators.ordinals import counted_ordinal, global_ordinal
 
 
 def simulated(rows, size, keep_rows):
@@ -59,7 +60,61 @@ def test_copies_are_spread(spark):
     assert placed.orderBy("ordinal").select("k").collect() == rows.orderBy("k").collect()
 
 
+ODD = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1.7e308, -1.7e308, 5e-324, 1.0, 1.0 + 2**-52]
+
+
+def places(spark, times, kind="DOUBLE"):
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate(times)], f"t {kind}, i INT").repartition(5)
+    window = Window.orderBy("t", "i")
+    want = rows.select("t", "i", (F.row_number().over(window) - 1).alias("ordinal"))
+    got = counted_ordinal(rows, ["t", "i"])
+    assert got.columns == ["t", "i", "ordinal"]
+    return sorted(got.select("i", "ordinal").collect()), sorted(want.select("i", "ordinal").collect())
+
+
+def odd_times(seed):
+    rng = random.Random(seed)
+    return [rng.choice(ODD + [rng.gauss(1.7e9, 1e5), rng.uniform(-5, 5)]) for _ in range(300)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_counted_places(spark, seed):
+    got, want = places(spark, odd_times(seed))
+    assert got == want
+    near = [1.7e9 + random.Random(seed).random() for _ in range(50)] * 3
+    got, want = places(spark, near)
+    assert got == want
+
+
+def test_counted_places_of_hot_slices(spark, heavy):
+    got, want = places(spark, odd_times(4))
+    assert got == want
+    # One far time puts all others into one slice.
+    got, want = places(spark, [1e15] + [float(i % 7) for i in range(200)])
+    assert got == want
+
+
+def test_counted_places_of_other_types(spark):
+    whole = [None, 2**62, 2**62 + 1, 2**62 - 1, -(2**62), 0, 0]
+    got, want = places(spark, whole * 3, "BIGINT")
+    assert got == want
+    got, want = places(spark, ["b", "a", None, "c", "a"], "STRING")
+    assert got == want
+    times = [datetime(2024, 1, 1), None, datetime(1969, 5, 1), datetime(2024, 1, 1, 0, 0, 0, 1), datetime(2024, 1, 1)]
+    for kind in ("TIMESTAMP", "TIMESTAMP_NTZ"):
+        got, want = places(spark, times, kind)
+        assert got == want
+
+
+def test_wide_rows_move_once(spark):
+    rows = spark.range(1000).select(F.col("id").cast("double").alias("start_time"), F.col("id").cast("string").alias("span_id"), F.lit("x").alias("wide"))
+    plan = batches.assign_batches(rows, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_slice") == 1
+    assert "rangepartitioning" not in plan and "Exchange SinglePartition" not in plan
+
+
 def test_empty(spark):
+    assert counted_ordinal(spark.createDataFrame([], "t DOUBLE"), ["t"]).count() == 0
     assert global_ordinal(spark.range(0), ["id"]).count() == 0
     none = spark.createDataFrame([], "start_time DOUBLE, span_id STRING")
     assert batches.retain_batches(none, 2, 2).count() == 0
