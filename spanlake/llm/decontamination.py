@@ -5,8 +5,9 @@ words. ``shift`` says, for the hashed block that ends a text window, how many wo
 at the earliest; where it is 0, the suffix block selects a bucket of patterns, the prefix block thins it out, word codes
 are compared, and the bytes decide. All lanes of a batch (64 window starts of one text each) move in step.
 
-The items are a query set: they are broadcast in blocks of at most ``block_bytes`` and ``block_items``, and the table passes
-through one narrow step per block, without a shuffle.
+The items are a query set: they are broadcast in blocks of about ``block_bytes`` and ``block_items``, and the table passes
+through one narrow step per block, without a shuffle. The blocks come one after the other: what a block has found is checkpointed
+before the next one is read, so the driver and the executors hold one block, however many there are.
 
 Defined cases: null texts and texts without words have no hit; items that are null in id or text, or have no words, take
 no part; an item id that is given several times counts once; an empty item table gives no hits; rows are independent;
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import shared_dir
 from .text import FOLD, Words, as_bytes, slices, split_words, word_codes
 
 WINDOW = 13
@@ -145,14 +147,14 @@ def _tables(items: tuple[tuple[str, bytes], ...], window: int) -> list[Patterns]
     return build_patterns(list(items), window)
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int, block_items: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items on the driver, one bounded block after the other."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int, block_items: int) -> list[DataFrame]:
+    """The items in blocks of about this size (at least one block), as columns ``item`` and ``text``."""
     rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(-(-n // block_items), -(-size // block_bytes), 1)
-    for part in range(parts):
-        block = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else rows
-        yield [(r.item, r.text.encode()) for r in block.collect()]
+    if parts == 1:
+        return [rows]
+    return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) for part in range(parts)]
 
 
 def find_items(
@@ -172,14 +174,20 @@ def find_items(
         raise ValueError(f"columns {clash} are results of this operator")
     carried = names if text_col in names else [*names, text_col]
     types = dict(docs.dtypes)
-    blocks = list(item_blocks(items, "item_id", "text", block_bytes, block_items))
+    shared_dir(docs.sparkSession)
+    blocks = item_blocks(items, "item_id", "text", block_bytes, block_items)
     df = docs.select(*carried)
     for k, block in enumerate(blocks):
         last = k + 1 == len(blocks)
         out = [*(names if last else carried), *own]
-        shared = df.sparkSession.sparkContext.broadcast((tuple(block), window))
+        # Repeated rows of an item are one; the block is bounded.
+        known = tuple(sorted((r.item, r.text.encode()) for r in block.distinct().collect()))
+        shared = df.sparkSession.sparkContext.broadcast((known, window))
         schema = ", ".join(f"`{c}` {own.get(c) or types[c]}" for c in out)
         df = df.mapInArrow(_step(shared, names if last else carried, text_col, k > 0), schema)
+        if not last:
+            df = df.checkpoint()
+            shared.unpersist()
     return df
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from pyspark.sql import DataFrame, functions as F
 from .text import slices
 
 SPACE = "▁"
-#: Distinct words that a task remembers before it starts anew.
-MEMORY = 200_000
+#: Bytes of distinct words and their ids that a task remembers before it starts anew.
+MEMORY = 64 << 20
+#: Bytes that a remembered word takes beside its own: an entry of the table, a number and a bound.
+_ENTRY = 160
 #: Characters of a word beyond which merging looks at neighbourhoods, not at the whole word.
 LONG = 400
 _WORD = re.compile(" *[^ \n]+|\n| +")
@@ -325,12 +328,13 @@ class Encoder:
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.memory = 0
         self.ids = np.zeros(0, np.int32)
         self.bounds = np.zeros(1, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the bounds of each text's ids."""
-        if len(self.number) > MEMORY:
+        if self.memory > MEMORY:
             self._clear()
         words = [_WORD.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         known = self.number
@@ -341,6 +345,7 @@ class Encoder:
             known.update((w, base + k) for k, w in enumerate(new))
             self.bounds = np.concatenate((self.bounds, self.bounds[-1] + bounds[1:]))
             self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+            self.memory += sum(map(getsizeof, new)) + _ENTRY * len(new) + 4 * len(ids)
         number = np.fromiter((known[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
         begin = self.bounds[number]
         size = self.bounds[number + 1] - begin

@@ -114,6 +114,37 @@ def test_pieces_match_the_library(spark):
         assert got[k].decoded_sha256 == hashlib.sha256(model.decode(ids).encode()).hexdigest()
 
 
+def test_items_are_held_block_by_block(spark, monkeypatch):
+    """Each block is on the driver alone, and what earlier blocks found is kept."""
+    held = []
+    build = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: held.append(len(value[0])) or build(value))
+    items = spark.createDataFrame([(str(k), f"w{k} x{k}") for k in range(40)] * 2, "item_id string, text string")
+    texts = [f"a w{k} x{k} b w{k + 1} x{k + 1}" for k in range(38)] + [None, "", "w1"]
+    many = decontamination.find_items(frame(spark, texts), items, block_items=20).collect()
+    assert len(held) == 4 and sum(held) == 40
+    one = decontamination.find_items(frame(spark, texts), items).collect()
+    assert held[4:] == [40] and sorted(many) == sorted(one)
+    assert sum(len(r["items"]) for r in one) == 76
+
+
+def test_pieces_forget_words_by_bytes(monkeypatch):
+    """Long words without blanks fill the memory soon, and the ids stay the library's."""
+    monkeypatch.setattr(pieces, "MEMORY", 200_000)
+    rnd = random.Random(5)
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    encoder = pieces.Encoder(pieces.Vocabulary(MODEL))
+    most = 0
+    for _ in range(30):
+        texts = ["".join(rnd.choices("漢字仮名交文abc", k=300)) for _ in range(40)]
+        flat, bounds = encoder.encode(texts)
+        assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == model.encode(texts)
+        most = max(most, encoder.memory)
+    # At most one batch beyond the bound.
+    assert most < 400_000
+    assert sum(map(len, encoder.number)) * 2 + 4 * len(encoder.ids) < encoder.memory < 400_000
+
+
 def test_pieces_of_a_very_long_word():
     rnd = random.Random(3)
     text = "".join(rnd.choices("abcdefghijklmnop", k=20_000))
