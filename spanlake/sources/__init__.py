@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -15,6 +16,22 @@ def _reader(spark: SparkSession, streaming: bool):
     return spark.readStream if streaming else spark.read
 
 
+#: Tasks per core of a listing.
+_LISTING = 4
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """A lake has a folder per shard, and Spark lists each in a task of its own up to a fixed number of them; here the number follows the cores."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), _LISTING * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_spans(
     spark: SparkSession, path: str, streaming: bool = False, promoted: bool = False, skip_unreadable: bool = False, variant: bool = False
 ) -> DataFrame:
@@ -28,13 +45,23 @@ def read_spans(
     """
     schema = f"{schemas.SPAN}, {schemas.PROMOTED}" if promoted else schemas.SPAN
     schema = f"{schema}, attrs VARIANT" if variant else schema
-    if promoted and not streaming:
-        stored = spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(path).columns
-        absent = [c for c in schemas.PROMOTED_NAMES if c not in stored]
-        if absent:
-            raise ValueError(f"the lake at {path} has no columns {absent}; write it with spanlake.sinks")
-    reader = _reader(spark, streaming).schema(schema)
-    return reader.option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(path)
+    reader = _reader(spark, streaming).option("ignoreCorruptFiles", str(skip_unreadable).lower())
+    if streaming:
+        return reader.schema(schema).parquet(path)
+    with few_listing_tasks(spark):
+        if promoted:
+            found = reader.parquet(path)
+            absent = [c for c in schemas.PROMOTED_NAMES if c not in found.columns]
+            if absent:
+                raise ValueError(f"the lake at {path} has no columns {absent}; write it with spanlake.sinks")
+            wanted = spark.createDataFrame([], schema).dtypes
+            # The files are listed once where they have the schema already. All other columns must be folders, or the fixed schema leaves them out.
+            names = [c for c, _ in wanted]
+            folders = [c for c in found.columns if c not in (*names, "attrs")]
+            first = found.select(F.col("_metadata.file_path")).first() if set(wanted) <= set(found.dtypes) else None
+            if first is not None and all(f"/{c}=" in first[0] for c in folders):
+                return found.select(*names, *folders)
+        return reader.schema(schema).parquet(path)
 
 
 def in_file_order(df: DataFrame) -> DataFrame:

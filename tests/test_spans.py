@@ -187,6 +187,30 @@ def test_preview_and_union(spark):
     assert both.count() == 2 and "extra" in both.columns
 
 
+def test_one_listing_of_few_tasks(spark, monkeypatch):
+    """The files of a lake are listed once, by a number of tasks that follows the cores; other columns of the files are left out."""
+    path, key = scratch_path(spark, "lake"), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    lake = sinks.with_promoted(sinks.with_shard(table(spark, *[span(i, start=900 * i) for i in range(40)])))
+    lake.write.partitionBy("shard").parquet(path)
+    listed, before = [], spark.conf.get(key)
+    reader = type(spark.read)
+    plain = reader.parquet
+    monkeypatch.setattr(reader, "parquet", lambda self, *paths, **more: listed.append(int(spark.conf.get(key))) or plain(self, *paths, **more))
+    found = sources.read_spans(spark, path, promoted=True)
+    assert listed == [min(int(before), 4 * spark.sparkContext.defaultParallelism)] and spark.conf.get(key) == before
+    assert found.columns == [*NAMES, *schemas.PROMOTED_NAMES, "shard"] and found.count() == 40
+    wider = scratch_path(spark, "wider")
+    lake.withColumn("more", F.lit(1)).write.partitionBy("shard").parquet(wider)
+    assert sources.read_spans(spark, wider, promoted=True).columns == found.columns
+
+
+def test_small_bloom_filters(spark):
+    """The files of a small shard are small."""
+    path = scratch_path(spark, "lake")
+    sinks.write_spans(table(spark, *[span(i, f"r{i}") for i in range(40)]), path, 60)
+    assert store.file_stats(spark, path).agg(F.max("bytes")).first()[0] < 16_000
+
+
 def test_bloom_filters_skip_row_groups(spark):
     """An id that is not there, but between the smallest and the largest of each file, reads no row."""
 
