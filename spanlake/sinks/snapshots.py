@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from ..sources import few_listing_tasks
+
 VERSION = "_version"
 
 
@@ -27,6 +29,8 @@ class Folder:
     name: str
     rows: int
     level: int = 0
+    #: Whether its files lie in it without folders of their own; manifests of earlier releases do not tell.
+    flat: bool = False
 
 
 @dataclass(frozen=True)
@@ -115,7 +119,7 @@ def _write(rows: DataFrame, path: str, partition: Sequence[str]) -> Folder:
     observed = rows.observe(count, F.count(F.lit(1)).alias("rows"))
     writer = lake_writer(observed) if {"span_id", "rollout_id"} <= set(rows.columns) else observed.write
     (writer.partitionBy(*partition) if partition else writer).parquet(f"{path}/data/part={name}")
-    return Folder(name, count.get["rows"])
+    return Folder(name, count.get["rows"], flat=not partition)
 
 
 def append(rows: DataFrame, path: str, stream: str | None = None, epoch: int = 0, partition: Sequence[str] = (), failing: Callable[[int], None] | None = None) -> Snapshot:
@@ -158,7 +162,11 @@ def read_folders(spark: SparkSession, path: str, folders: Sequence[Folder], sche
         return spark.createDataFrame([], schema)
     reader = spark.read.option("basePath", f"{path}/data")
     reader = reader.schema(schema) if schema else reader
-    return reader.parquet(*[f"{path}/data/part={f.name}" for f in folders]).drop("part")
+    # Spark refuses to read folders with and without partitions together.
+    kinds = [[f for f in folders if f.flat == flat] for flat in (True, False)]
+    with few_listing_tasks(spark):
+        read = [reader.parquet(*[f"{path}/data/part={f.name}" for f in kind]).drop("part") for kind in kinds if kind]
+    return read[0] if len(read) == 1 else read[0].unionByName(read[1])
 
 
 def compact(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame], partition: Sequence[str] = (), fan_in: int = 8) -> Snapshot:
@@ -173,7 +181,7 @@ def compact(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFra
             return now
         taken = tuple(f for f in now.folders if f.level == full[0])
         made = _write(merge(read_folders(spark, path, taken)), path, partition)
-        made = Folder(made.name, made.rows, full[0] + 1)
+        made = Folder(made.name, made.rows, full[0] + 1, made.flat)
 
         def change(then: Snapshot) -> Snapshot | None:
             if not set(taken) <= set(then.folders):

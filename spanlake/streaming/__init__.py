@@ -51,18 +51,23 @@ def start_lake_sink(
     max_files: int | None = None,
     fan_in: int = 8,
     failing: Callable[[int], None] | None = None,
+    keep_versions: int | None = None,
 ) -> StreamingQuery:
     """Append a span stream to a lake with a manifest, exactly once, and compact it on the way.
 
     A micro-batch is grouped by shard and sorted as :func:`spanlake.sinks.write_spans` does, written to a folder of its own, and
     committed with its number; a replay of a committed one is left out. Small folders are joined while readers and the stream go on. Read with :func:`read_lake`.
-    ``failing`` is called between write and commit (see :mod:`spanlake.sinks.snapshots`).
+    ``shard`` is a column that the files are sorted by, so that a filter on it skips row groups: a micro-batch has files of the advisory size, however many shards
+    it meets. ``failing`` is called between write and commit (see :mod:`spanlake.sinks.snapshots`). With ``keep_versions`` the folders that
+    only older versions name are deleted; without it they stay for readers of these.
     """
 
     def add(batch: DataFrame, epoch: int) -> None:
         laid = _laid_out(with_promoted(with_shard(batch, window_minutes)))
-        snapshots.append(laid, path, _query_id(batch), epoch, ["shard"], failing)
+        snapshots.append(laid, path, _query_id(batch), epoch, failing=failing)
         compact_lake(batch.sparkSession, path, fan_in)
+        if keep_versions is not None:
+            snapshots.vacuum(batch.sparkSession, path, keep_versions)
 
     writer = spans.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return writer.trigger(**_trigger(every)).start()
@@ -74,7 +79,7 @@ def _laid_out(spans: DataFrame) -> DataFrame:
 
 def compact_lake(spark: SparkSession, path: str, fan_in: int = 8) -> snapshots.Snapshot:
     """Join the small folders of a lake with a manifest; readers see the state before or after."""
-    return snapshots.compact(spark, path, _laid_out, ["shard"], fan_in)
+    return snapshots.compact(spark, path, _laid_out, fan_in=fan_in)
 
 
 def read_lake(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:

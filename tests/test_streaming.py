@@ -202,6 +202,20 @@ def test_reused_ids(spark):
     assert [(r["request_id"], r["timestamp"]) for r in spark.read.parquet(waiting).collect() if r["request_id"] != "z"] == [("a", at(9))]
 
 
+def test_lake_sink_of_many_shards(spark):
+    """The files of a lake follow its bytes, not its shards; folders that no kept version names go; folders of the earlier layout are read and joined with new ones."""
+    source, lake = scratch_path(spark, "src"), scratch_path(spark, "lake")
+    old = sinks.with_promoted(sinks.with_shard(table(spark, *[span(200 + i, start=900 * i) for i in range(3)])))
+    snapshots.append(old, lake, partition=["shard"])
+    for first in (0, 40):
+        add(table(spark, *[span(i, start=900 * i) for i in range(first, first + 40)]), source)
+    stream = streaming.stream_table(spark, source, schemas.SPAN, max_files=1)
+    streaming.start_lake_sink(stream, lake, scratch_path(spark, "cp"), 15, fan_in=3, keep_versions=1).awaitTermination()
+    rows = {(r["span_id"], r["shard"]) for r in streaming.read_lake(spark, lake).collect()}
+    assert len(rows) == 83 and len({s for _, s in rows}) == 80
+    assert len(glob.glob(f"{lake}/data/part=*")) == 1 and len(glob.glob(f"{lake}/data/**/*.parquet", recursive=True)) <= 8
+
+
 def test_lake_sink(spark):
     """A failure between write and commit leaves nothing to see; the files of a shard stay few; a lost checkpoint is a stream of its own."""
     source, lake, checkpoint = (scratch_path(spark, n) for n in ("src", "lake", "cp"))
