@@ -260,15 +260,50 @@ def correlate_stream(
     return linked.withColumn("duration_ms", iso_duration_ms(F.col("request_timestamp"), F.col("timestamp")))
 
 
+#: Steps that ``max_wait`` is cut into.
+_STEPS = 32
+
+
+def _seconds(spark: SparkSession, interval: str) -> float:
+    return spark.sql(f"SELECT CAST(timestamp_seconds(0) + interval {interval} AS DOUBLE)").first()[0]
+
+
 def open_requests_stream(
     requests: DataFrame, responses: DataFrame, lateness: str = "1 hour", max_wait: str = "2 hours"
 ) -> DataFrame:
-    """Requests that nothing with their id follows within ``max_wait``; equal requests (replays) are one."""
-    asked = _timed(requests, "asked_at", lateness).dropDuplicatesWithinWatermark(["digest"])
-    after = (F.col("event_at") > F.col("asked_at")) | ((F.col("event_at") == F.col("asked_at")) & (F.col("event.kind") == 1))
-    near = (F.col("event_at") >= F.col("asked_at")) & (F.col("event_at") <= F.col("asked_at") + F.expr(f"interval {max_wait}"))
-    joined = asked.join(_events(requests, responses, lateness), (F.col("id") == F.col("event_id")) & near & after, "left")
-    return joined.where(F.col("event_id").isNull()).select(*requests.columns)
+    """Requests that nothing with their id follows within ``max_wait``; equal requests (replays) are one.
+
+    Time is cut into steps of 1/32 of ``max_wait``. Of an id's events in a step only the last ones may be left open, and only the first matters to earlier steps; so an id that comes
+    back k times meets itself at most 33 times per step, not k times per request. A request is told once the watermark is ``max_wait`` and two steps past it.
+    """
+    spark = requests.sparkSession
+    step = max(1, int(_seconds(spark, max_wait) // _STEPS))
+    maps = [c for c, t in requests.dtypes if t.startswith("map<")]
+    # Sets cannot hold maps.
+    row = F.struct(*[F.map_entries(c).alias(c) if c in maps else F.col(c) for c in requests.columns])
+    sides = []
+    for log, kind in ((requests, 0), (responses.where(F.col("request_id").isNotNull()), 1)):
+        own = F.coalesce("request_id", F.concat(F.lit("\x00"), _digest())) if kind == 0 else F.col("request_id")
+        sides.append((log, F.to_timestamp("timestamp").alias("at"), own.alias("id"), F.lit(kind).alias("kind")))
+
+    def window() -> Column:
+        return F.window("at", f"{step} seconds").alias("step")
+
+    def entries(carried: bool) -> DataFrame:
+        rows = [log.select(*told, *([row.alias("row") if k == 0 else F.lit(None).alias("row")] if carried else [])) for k, (log, *told) in enumerate(sides)]
+        return rows[0].unionByName(rows[1]).withWatermark("at", lateness)
+
+    # Requests of one id and time, and whether a response came at that time.
+    same = entries(True).groupBy("at", "id").agg(F.max("kind").alias("kind"), F.collect_set("row").alias("rows"))
+    last = same.groupBy(window(), "id").agg(F.max("at").alias("asked_at"), F.max_by(F.struct("kind", "rows"), "at").alias("end")).where("end.kind = 0")
+    last = last.select(F.window_time("step").alias("until"), "id", "asked_at", F.col("end.rows").alias("rows"))
+    first = entries(False).groupBy(window(), "id").agg(F.min("at").alias("event_at"))
+    first = first.select(F.window_time("step").alias("event_until"), F.col("id").alias("event_id"), "event_at")
+    wait = F.expr(f"interval {max_wait}")
+    later = (F.col("event_until") > F.col("until")) & (F.col("event_until") <= F.col("until") + wait + F.expr(f"interval {step} seconds"))
+    joined = last.join(first, (F.col("id") == F.col("event_id")) & later & (F.col("event_at") <= F.col("asked_at") + wait), "left")
+    left = joined.where(F.col("event_id").isNull()).select(F.explode("rows").alias("row"))
+    return left.select(*[F.map_from_entries(f"row.{c}").alias(c) if c in maps else F.col(f"row.{c}").alias(c) for c in requests.columns])
 
 
 def drop_duplicate_spans(spans: DataFrame, lateness: str = "1 hour") -> DataFrame:

@@ -202,6 +202,32 @@ def test_reused_ids(spark):
     assert [(r["request_id"], r["timestamp"]) for r in spark.read.parquet(waiting).collect() if r["request_id"] != "z"] == [("a", at(9))]
 
 
+def test_open_requests_of_a_busy_id(spark):
+    """An id that comes back does not meet itself once per request: the join holds a few rows for each step of time."""
+    source, out = scratch_path(spark, "src"), scratch_path(spark, "open")
+
+    def at(second):
+        return f"2024-01-01T{second // 3600:02d}:{second // 60 % 60:02d}:{second % 60:02d}"
+
+    # Every 10 seconds for an hour, given twice; a response at the very time of the last one of id b; three requests without an id, two of them equal.
+    entries = [dict(type="request", request_id=i, timestamp=at(10 * k), path=f"/{k}") for k in range(361) for i in "ab"] * 2
+    entries += [dict(type="response", request_id="b", timestamp=at(3600))]
+    entries += [dict(type="request", request_id=None, timestamp=at(50), path=p) for p in ("/n", "/n", "/m")]
+    # The other one of the same time is left open as well.
+    entries += [dict(type="request", request_id="a", timestamp=at(3600), path="/same"), dict(type="request", request_id="a", timestamp=at(3600 + 7201), path="/far")]
+    add(log(spark, *entries), source)
+    late = "2024-02-01T00:00:00"
+    add(log(spark, dict(type="request", request_id="z", timestamp=late), dict(type="response", request_id="y", timestamp=late)), source)
+    stream = streaming.stream_table(spark, source, COLUMNS)
+    left = streaming.open_requests_stream(access_log.filter_log(stream, "request"), access_log.filter_log(stream, "response"))
+    query = streaming.start_append_sink(left, out, scratch_path(spark, "cp"))
+    query.awaitTermination()
+    found = sorted((str(r["request_id"]), r["path"]) for r in spark.read.parquet(out).collect() if r["request_id"] != "z")
+    assert found == [("None", "/m"), ("None", "/n"), ("a", "/360"), ("a", "/far"), ("a", "/same")]
+    joins = [o for p in query.recentProgress for o in p["stateOperators"] if o["operatorName"] == "symmetricHashJoin"]
+    assert 0 < sum(o["numRowsUpdated"] for o in joins) < 150
+
+
 def test_lake_sink_of_many_shards(spark):
     """The files of a lake follow its bytes, not its shards; folders that no kept version names go; folders of the earlier layout are read and joined with new ones."""
     source, lake = scratch_path(spark, "src"), scratch_path(spark, "lake")
