@@ -326,14 +326,19 @@ def start_batch_sink(
     A micro-batch goes to ``batch_idx=<b>/epoch=<id>`` and replaces only its own folders, so a replay
     after a failure gives the same files. Counting goes on from the rows of earlier epochs, which is
     all that a restart needs. Expired batches are left to readers (:func:`retained`) unless ``delete``
-    is on; then their folders are removed after the write.
+    is on; then their folders are removed after the write, and those that a micro-batch both fills and expires are not written.
     """
 
     def append(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         first = _rows_before(spark, path, size, epoch)
         numbered = batches.assign_batches(batch, size, first=first).drop("ordinal")
-        with_promoted(numbered).withColumn("epoch", F.lit(epoch)).write.partitionBy("batch_idx", "epoch").mode("overwrite").option(
+        if delete:
+            # Batches that this very micro-batch fills and expires are not put down first.
+            current = (first + batch.count() - 1) // size
+            numbered = numbered.where(F.col("batch_idx") >= batches.expired_batches(current, size, keep_rows))
+        laid = with_promoted(numbered).hint("rebalance", "batch_idx")
+        laid.withColumn("epoch", F.lit(epoch)).write.partitionBy("batch_idx", "epoch").mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).parquet(path)
         if delete:

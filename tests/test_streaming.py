@@ -51,6 +51,18 @@ def test_batch_sink(spark):
     assert streaming.expired([], 2, 6) == []
 
 
+def test_batch_sink_expired_at_once(spark, monkeypatch):
+    """Batches that one micro-batch both fills and expires are never written, and a kept one has one file."""
+    source, lake, gone = scratch_path(spark, "src"), scratch_path(spark, "lake"), []
+    add(table(spark, *[span(i) for i in range(200)]), source)
+    monkeypatch.setattr(snapshots, "delete", lambda spark, path: gone.append(path))
+    stream = streaming.stream_table(spark, source, schemas.SPAN)
+    streaming.start_batch_sink(stream, lake, scratch_path(spark, "cp"), 10, 20, delete=True).awaitTermination()
+    assert gone == [] and len(glob.glob(f"{lake}/batch_idx=*/epoch=0/*.parquet")) == 3
+    kept = sorted((r["span_id"], r["batch_idx"]) for r in streaming.retained(spark, lake, 10, 20).collect())
+    assert kept == [(f"s{i:04d}", i // 10) for i in range(170, 200)]
+
+
 def test_batch_sink_replay(spark):
     """A micro-batch that is written again replaces its own rows only."""
     source, lake = scratch_path(spark, "src"), scratch_path(spark, "lake")
