@@ -30,6 +30,8 @@ DIM_BITS = 20
 FEATURES = 1 << 14
 THRESHOLD = 0.3
 TABLES = 8
+#: Text bytes of one numpy round: an n-gram of each size begins at every byte, and each takes some 60 bytes on the way.
+GRAM_BYTES = 1 << 19
 _DIM = 1 << DIM_BITS
 
 
@@ -91,7 +93,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, rows = np.zeros((2, _DIM), np.int64), np.zeros(2, np.int64)
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", GRAM_BYTES):
         label = part.column("label").to_numpy()
         text, slot = _grams(as_bytes(part.column("text")))
         pair = np.unique(text * _DIM + slot)
@@ -127,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", GRAM_BYTES):
             text, feature = shared.value.features(as_bytes(part.column("text")))
             bounds = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(feature.astype(np.int32)))
@@ -170,7 +172,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: tup
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
+        for part in slices(batches, text_col, GRAM_BYTES):
             score = shared.value.score(as_bytes(part.column(text_col)))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(score)], [*names, "score"])
 

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -175,6 +177,18 @@ def test_toxicity_on_held_out_rows(spark, labelled):
     assert len(scored) > 200 and right / len(scored) > 0.95
 
 
+def test_toxicity_rounds_are_small():
+    """A numpy round holds n-grams of half a megabyte of text, so that a task needs little memory."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(300)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"label": pa.array([i % 2 for i in range(1500)], pa.int32()), "text": texts})
+    tracemalloc.start()
+    found = list(toxicity._frequencies(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1 and peak < 180 << 20, peak >> 20
+
+
 def test_toxicity_without_labels(spark, odd):
     none = spark.createDataFrame([(1, None), (None, 1), (2, 5)], "doc_id bigint, toxic int")
     model = toxicity.fit(odd, none)
