@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import scratch_path
 from .components import connected_components
-from .text import SLICE_BYTES, as_bytes, mix, slices, split_words, word_codes
+from .text import as_bytes, mix, slices, split_words, word_codes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -44,6 +44,8 @@ CENTRES = 16
 SKETCH = 128
 #: Rows of ids and digests (some 40 bytes each) that are sent to all tasks.
 SMALL = 100_000
+#: Text bytes of one numpy round.
+KEY_BYTES = 1 << 19
 #: Text bytes of one numpy round with fine bands.
 FINE_BYTES = 1 << 17
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -277,7 +279,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, weighted: bool, least:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("node", _node(F.coalesce("text", F.lit(""))))
     kind = rows.dtypes[0][1]
-    base = _saved(rows.mapInArrow(_keys(weighted, BANDS, ROWS, SLICE_BYTES), f"doc_id {kind}, node binary, size double, keys array<bigint>"), "signatures")
+    base = _saved(rows.mapInArrow(_keys(weighted, BANDS, ROWS, KEY_BYTES), f"doc_id {kind}, node binary, size double, keys array<bigint>"), "signatures")
     worded = base.where(F.size("keys") > 0)
     nodes = worded.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     keyed = worded.groupBy("node").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))

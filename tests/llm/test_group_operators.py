@@ -3,8 +3,10 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +19,19 @@ from .conftest import ODD_TEXTS
 from .test_text_operators import frame, words
 
 
+def test_near_duplicate_rounds_are_small():
+    """A numpy round holds the darts of half a megabyte of text, so that a task needs little memory."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(300)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1500)), "node": pa.array([b"n"] * 1500, pa.binary()), "text": texts})
+    tracemalloc.start()
+    keyed = near_dedup._keys(False, near_dedup.BANDS, near_dedup.ROWS, near_dedup.KEY_BYTES)
+    rows = sum(part.num_rows for part in keyed(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1500 and peak < 100 << 20
+
+
 def test_schedule_is_least_loaded_first():
     rnd = random.Random(0)
     sizes = [rnd.randint(9, 2000) for _ in range(300)]
