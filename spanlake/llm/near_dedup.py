@@ -10,9 +10,11 @@ In each bucket of a band the texts are compared with one centre, the member that
 components. A bucket whose other members are of one component is done. Of all others every member, linked or not, goes on to finer bands (64 of 10
 coordinates), where a bucket takes centres from its smallest components, 16 in the first round and twice as many in each next one, and compares them with all
 members of other components, until the members that were no centre yet are of one component. So no pair that meets in a fine bucket is left out unless links join
-it already, copies and clusters cost their size, and unlike texts that share a passage rarely meet again. Sizes and a sketch of 128 bits tell
-most unlike pairs apart before their texts move: a pair of similarity 0.8 differs in 12.8 bits on average, and one of more than 36 is not compared (it is
-lost with a probability below 1e-8). Similarity is checked exactly on the texts. Only texts that differ are compared: copies are one node from the start.
+it already, copies and clusters cost their size, and unlike texts that share a passage rarely meet again. Sizes and two bits of each of the 640 fine coordinates tell
+unlike pairs apart before their texts move: a pair of similarity 0.8 is seen to differ in 96 coordinates on average, and one of more than 150 (a similarity of about 0.69) is not
+compared (a pair of 0.8 is lost with a probability below 1e-8). A pair that meets in several fine buckets is compared in the one of the first band; bands are told equal by 20 bits of their
+keys, so a pair of similarity 0.8 is lost to an equal looking band before its first with a probability of about 1e-5.
+Similarity is checked exactly on the texts. Only texts that differ are compared: copies are one node from the start.
 
 Defined cases: null texts and texts without words are in classes of their own; rows of equal text share a class, whatever their id; the class id
 is the smallest ``doc_id`` of the class (null if it has none); repeated rows give repeated results; an empty
@@ -22,6 +24,7 @@ table gives an empty table; other columns of the input are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -40,8 +43,9 @@ ROWS = 6
 FINE_BANDS = 64
 FINE_ROWS = 10
 CENTRES = 16
-#: Bits of the sketch of a text.
-SKETCH = 128
+#: Bits kept of each fine coordinate, and of the key of each fine band.
+COORDINATE_BITS = 2
+BAND_BITS = 20
 #: Rows of ids and digests (some 40 bytes each) that are sent to all tasks.
 SMALL = 100_000
 #: Text bytes of one numpy round.
@@ -148,29 +152,44 @@ def _keys(weighted: bool, bands: int, rows: int, limit: int):
     return run
 
 
-_FINE = "node binary, size double, sketch array<bigint>, keys array<bigint>"
+_FINE = "node binary, size double, marks array<bigint>, bands array<bigint>, keys array<bigint>"
+
+
+def _planes(values: np.ndarray, n: int) -> list[np.ndarray]:
+    """One number for each of ``n`` low bits of the 64 values of each row: bit ``b`` is that of value ``b``."""
+    at = [(values >> np.uint64(k) & np.uint64(1)).astype(np.uint8) for k in range(n)]
+    return [np.packbits(x, axis=1, bitorder="little").view(np.int64) for x in at]
 
 
 def _fine_keys(weighted: bool):
-    """Keys of the fine bands, with the weight of all elements and one bit of each of ``SKETCH`` coordinates."""
+    """Keys of the fine bands, with the weight of all elements and some bits of each coordinate (one by one) and of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", FINE_BYTES):
             text, code, weight = elements(as_bytes(part.column("text")), weighted)
             sig, _ = signatures(text, code, weight, part.num_rows, FINE_BANDS * FINE_ROWS)
-            bits = np.packbits((sig[:, :SKETCH] >> np.uint64(40) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            keys = band_keys(sig, FINE_BANDS)
+            marks = [x for i in range(FINE_ROWS) for x in _planes(sig[:, i::FINE_ROWS] >> np.uint64(40), COORDINATE_BITS)]
+            lists = [np.hstack(marks), np.hstack(_planes(keys.view(np.uint64), BAND_BITS)), keys]
             size = pa.array(np.bincount(text, weight, part.num_rows))
-            lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (bits, band_keys(sig, FINE_BANDS))]
-            yield pa.RecordBatch.from_arrays([part.column("node"), size, *lists], ["node", "size", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), size, *(pa.array(list(x), pa.list_(pa.int64())) for x in lists)], ["node", "size", "marks", "bands", "keys"])
 
     return run
 
 
-def _most_bits(least: float) -> int:
-    """Differing bits that a pair of similarity ``least`` exceeds with a probability below 1e-8."""
-    share = (1 - least) / 2
-    tail, chance = 0.0, [comb(SKETCH, k) * share**k * (1 - share) ** (SKETCH - k) for k in range(SKETCH + 1)]
-    for k in range(SKETCH, 0, -1):
+def _differing() -> tuple[Column, Column]:
+    """In how many fine coordinates the bits of two texts differ, and the bits of the bands whose keys differ."""
+    apart = lambda name, k: F.get(name, F.lit(k)).bitwiseXOR(F.get(f"c_{name}", F.lit(k)))
+    either = lambda cols: reduce(lambda x, y: x.bitwiseOR(y), cols)
+    counts = [F.bit_count(either([apart("marks", i * COORDINATE_BITS + k) for k in range(COORDINATE_BITS)])) for i in range(FINE_ROWS)]
+    return reduce(lambda x, y: x + y, counts), either([apart("bands", k) for k in range(BAND_BITS)])
+
+
+def _most_differing(least: float) -> int:
+    """Coordinates seen to differ that a pair of similarity ``least`` exceeds with a probability below 1e-8."""
+    n, share = FINE_BANDS * FINE_ROWS, (1 - least) * (1 - 0.5**COORDINATE_BITS)
+    tail, chance = 0.0, [comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(n + 1)]
+    for k in range(n, 0, -1):
         tail += chance[k]
         if tail >= 1e-8:
             return k
@@ -211,6 +230,9 @@ def _saved(df: DataFrame, name: str) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, weighted: bool, least: float) -> DataFrame:
     """The pairs (node, centre) whose texts are similar."""
     pairs = pairs.select("node", "centre").distinct()
+    # If few texts are met, only these move.
+    met = pairs.select(F.explode(F.array("node", "centre")).alias("node")).distinct().checkpoint()
+    texts = texts.join(F.broadcast(met), "node", "left_semi") if met.count() <= SMALL else texts
     pairs = pairs.join(texts.select("node", F.col("text").alias("left")), "node")
     pairs = pairs.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("right")), "centre")
     return pairs.select("node", "centre", "left", "right").mapInArrow(_similar(weighted, least), "node binary, centre binary").checkpoint()
@@ -228,7 +250,7 @@ def near_links(rows: DataFrame, nodes: DataFrame, members: DataFrame, weighted:
     # One text of each member of a shared bucket; only here do all texts move.
     wanted = meets.select(F.col("node").alias("_node")).join(nodes.select(F.col("node").alias("_node"), "first_id"), "_node")
     own = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    wanted = _saved(rows.join(wanted, own).select("node", "text"), "texts").dropDuplicates(["node"])
+    wanted = _saved(rows.join(wanted, own).select("node", "text").dropDuplicates(["node"]), "texts")
 
     sized = F.least("size", "c_size") >= F.greatest("size", "c_size") * (least - 1e-9)
     centres = still.groupBy("key").agg(F.max(F.struct("meets", "node", "size")).alias("best"))
@@ -241,35 +263,32 @@ def near_links(rows: DataFrame, nodes: DataFrame, members: DataFrame, weighted:
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     left = rooted.join(mixed, "key", "left_semi").select("node", "root").distinct()
     # Unlike texts that share a passage meet in many buckets, but in few of finer bands.
-    fine = wanted.join(left.select("node"), "node", "left_semi").mapInArrow(_fine_keys(weighted), _FINE)
-    still = fine.select(F.explode("keys").alias("key"), "node", "size", F.col("sketch")[0].alias("s0"), F.col("sketch")[1].alias("s1"))
-    still = still.join(left, "node").withColumn("turn", F.xxhash64("node"))
-    order = Window.partitionBy("key").orderBy("members", "turn", "node")
-    alike = F.bit_count(F.col("s0").bitwiseXOR(F.col("c_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("c_s1"))) <= _most_bits(least)
-    first, second = F.least("node", "centre"), F.greatest("node", "centre")
-    fresh = [F.when(F.col("node") < F.col("centre"), F.col(x)).otherwise(F.col(y)) for x, y in (("root", "c_root"), ("c_root", "root"))]
-    done, many = None, CENTRES
+    fine = _saved(wanted.join(left.select("node"), "node", "left_semi").mapInArrow(_fine_keys(weighted), _FINE), "fine")
+    told = fine.select("node", "size", "marks", "bands")
+    still = fine.select("node", "keys").join(left, "node").select(F.posexplode("keys").alias("band", "key"), "node", "root", F.xxhash64("node").alias("turn"))
+    order = ["members", "turn", "node"]
+    first = Window.partitionBy("key").orderBy(*order)
+    differing, other_bands = _differing()
+    alike = differing <= _most_differing(least)
+    # A pair is tested in the first band where it meets: it stays there, of different components, until one of the two is a centre.
+    earlier = F.expr("~shiftleft(-1L, band)")
+    once = (other_bands.bitwiseAND(earlier) == earlier) & (F.struct(*order) > F.struct(*(F.col(c).alias(x) for c, x in zip(("c_members", "c_turn", "centre"), order))))
+    many = CENTRES
     while True:
         groups = still.groupBy("key", "root").agg(F.count("*").alias("members"))
         mixed = groups.groupBy("key").agg(F.count("*").alias("roots")).where("roots > 1").select("key")
         still = still.join(groups.join(mixed, "key", "left_semi"), ["key", "root"]).checkpoint()
         if still.isEmpty():
             return links
-        centres = still.withColumn("place", F.row_number().over(order)).where(F.col("place") <= many)
-        centres = centres.select("key", *(F.col(c).alias(f"c_{c}") for c in ("root", "size", "s0", "s1")), F.col("node").alias("centre")).checkpoint()
-        tests = still.join(centres, "key").where((F.col("root") != F.col("c_root")) & sized & alike)
-        tests = tests.select(first.alias("a"), second.alias("b"), fresh[0].alias("a_root"), fresh[1].alias("b_root")).distinct()
-        tests = tests.select(F.col("a").alias("node"), F.col("b").alias("centre"), "a_root", "b_root")
-        if done is not None:
-            tests = tests.join(done, ["node", "centre"], "left_anti")
-        tests = tests.checkpoint()
+        centres = still.withColumn("place", F.row_number().over(first)).where(F.col("place") <= many).drop("place", "band").checkpoint()
+        facing = centres.join(told, "node").withColumnsRenamed({"node": "centre", **{c: f"c_{c}" for c in ("root", "turn", "members", "size", "marks", "bands")}})
+        tests = still.join(told, "node").join(facing, "key").where((F.col("root") != F.col("c_root")) & sized & once & alike)
+        tests = tests.select("node", "centre", "root", "c_root").checkpoint()
         found = _verified(tests, wanted, weighted, least)
         links.append(found)
-        tested = tests.select("node", "centre")
-        done = tested if done is None else done.unionByName(tested)
-        joined = tests.join(found, ["node", "centre"]).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        joined = tests.join(found, ["node", "centre"]).select(F.col("root").alias("a"), F.col("c_root").alias("b"))
         moved = connected_components(joined).toDF("root", "new_root")
-        still = still.drop("members").join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti")
+        still = still.drop("members").join(centres.select("key", "node"), ["key", "node"], "left_anti")
         still = still.join(moved, "root", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
         many *= 2
 

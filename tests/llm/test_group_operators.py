@@ -144,6 +144,50 @@ def test_chains_of_variants(spark):
     assert got == brute_classes(texts)
 
 
+def test_unlike_texts_of_a_family_are_not_compared(spark, monkeypatch):
+    """Variants of one text with similarities of about 0.6: they meet in many fine buckets, but few pairs reach the exact check; links are found."""
+    rnd = random.Random(12)
+    vocab = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(4000)]
+    hub, texts = rnd.choices(vocab, k=300), []
+    for _ in range(60):
+        x = list(hub)
+        for at in rnd.sample(range(2, 298, 6), 8):
+            x[at] = rnd.choice(vocab)
+        texts.append(x)
+        if rnd.random() < 0.3:
+            texts.append([*x[:150], rnd.choice(vocab), *x[151:]])
+    texts = [" ".join(t) for t in texts]
+    tested, check = [], near_dedup._verified
+
+    def verified(pairs, *rest):
+        tested.append(pairs.count())
+        return check(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_verified", verified)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == brute_classes(texts) and 1 < len(set(got.values())) < len(texts)
+    assert len(tested) > 1 and sum(tested[1:]) < len(texts)
+
+
+def test_two_bits_of_a_coordinate_tell_pairs_apart():
+    """A pair of similarity 0.8 passes, one of 0.6 hardly ever; the bits of a band are equal where its keys are."""
+    rng = np.random.default_rng(4)
+    sig = rng.integers(1, 1 << 63, (2000, 640), dtype=np.uint64)
+    for like, most, least in ((0.8, 0, 0), (0.6, 2000, 1980)):
+        other = np.where(rng.random(sig.shape) < like, sig, rng.integers(1, 1 << 63, sig.shape, dtype=np.uint64))
+        apart = 0
+        for i in range(near_dedup.FINE_ROWS):
+            planes = [near_dedup._planes(x[:, i :: near_dedup.FINE_ROWS] >> np.uint64(40), near_dedup.COORDINATE_BITS) for x in (sig, other)]
+            seen = np.bitwise_or.reduce([a ^ b for a, b in zip(*planes)])
+            apart = apart + np.bitwise_count(seen.view(np.uint64))[:, 0].astype(int)
+        assert least <= (apart > near_dedup._most_differing(0.8)).sum() <= most
+    keys = [near_dedup.band_keys(x, near_dedup.FINE_BANDS) for x in (sig, other)]
+    bands = [near_dedup._planes(k.view(np.uint64), near_dedup.BAND_BITS) for k in keys]
+    differ = np.bitwise_or.reduce([a ^ b for a, b in zip(*bands)]).view(np.uint64)
+    bits = (differ >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    assert not bits[keys[0] == keys[1]].any() and (bits == 0).sum() <= (keys[0] == keys[1]).sum() + 3
+
+
 def test_keep_one_of_repeated_rows(spark):
     """Repeated rows, like texts under one id, and null ids: one row of each class; rows without words stay."""
     like = [" ".join(f"{name}{k}" for k in range(60)) for name in "abcd"]
@@ -164,7 +208,11 @@ def test_components(spark):
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(60) if i % 20 != 19] + [(100, 100 + k) for k in range(1, 40)] + [(rnd.randint(200, 260), rnd.randint(200, 260)) for _ in range(40)]
     edges += [(5, 5), (None, 3)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+    found = connected_components(table)
+    got = {r.node: r.root for r in found.collect()}
+    assert got == {r.node: r.root for r in connected_components(table, 0).collect()}
+    assert found.rdd.getNumPartitions() == 1
     near = collections.defaultdict(set)
     for a, b in edges:
         if a is not None and a != b:
