@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -222,20 +223,34 @@ def _digest() -> Column:
     return F.sha2(F.to_json(F.struct("*")), 256)
 
 
-def _timed(log: DataFrame, name: str, lateness: str) -> DataFrame:
-    """Entries with their time, and ``id``: the request id, or the entry's digest where it has none, so that those do not meet in one state partition."""
-    entries = log.withColumns({name: F.to_timestamp("timestamp"), "digest": _digest()})
-    return entries.withColumn("id", F.coalesce("request_id", F.concat(F.lit("\x00"), "digest"))).withWatermark(name, lateness)
+def _packed(log: DataFrame) -> Column:
+    """A whole entry that sets and sorts can hold; they cannot hold maps."""
+    return F.struct(*[F.map_entries(c).alias(c) if t.startswith("map<") else F.col(c) for c, t in log.dtypes]).alias("row")
 
 
-def _events(requests: DataFrame, responses: DataFrame, lateness: str) -> DataFrame:
-    """All entries with an id, as ``event_id``, ``event_at`` and ``event``; in this order a request comes before a response of the same time."""
+def _unpacked(log: DataFrame) -> list[Column]:
+    """The columns of ``log`` from its packed ``row``."""
+    return [(F.map_from_entries(f"row.{c}") if t.startswith("map<") else F.col(f"row.{c}")).alias(c) for c, t in log.dtypes]
+
+
+def _events(requests: DataFrame, responses: DataFrame, lateness: str, carried: bool = False) -> DataFrame:
+    """All entries with an id, as ``id``, ``at`` and ``event``; responses are ``carried`` as ``row``."""
     sides = []
     for log, kind in ((requests, 0), (responses, 1)):
         asked = [F.col(c) if kind == 0 else F.lit(None).cast("string").alias(c) for c in ("method", "path")]
-        told = F.struct("timestamp", F.lit(kind).alias("kind"), *asked)
-        sides.append(log.where(F.col("request_id").isNotNull()).select(F.col("request_id").alias("event_id"), F.to_timestamp("timestamp").alias("event_at"), told.alias("event")))
-    return sides[0].unionByName(sides[1]).withWatermark("event_at", lateness)
+        told = F.struct("timestamp", F.lit(kind).alias("kind"), *asked).alias("event")
+        row = [_packed(log) if kind == 1 else F.lit(None).alias("row")] if carried else []
+        sides.append(log.where(F.col("request_id").isNotNull()).select(F.col("request_id").alias("id"), F.to_timestamp("timestamp").alias("at"), told, *row))
+    return sides[0].unionByName(sides[1]).withWatermark("at", lateness)
+
+
+def _with_earlier(entries: str, first: Column, earlier: Column) -> Column:
+    """One row per element of the sorted array ``entries`` with what ``earlier`` holds of the element before it; ``first`` is before them all."""
+    return F.explode(F.arrays_zip(entries, F.slice(F.concat(F.array(first), earlier), 1, F.size(entries)).alias("earlier"))).alias("pair")
+
+
+#: Steps that ``max_wait`` is cut into to link responses.
+_LINK_STEPS = 256
 
 
 def correlate_stream(
@@ -243,24 +258,47 @@ def correlate_stream(
 ) -> DataFrame:
     """Every response with its request: the last event with its id within ``max_wait`` before it, if that is a request.
 
-    A watermarked join meets each response with the events of its id, and an aggregation by response time keeps the last of them; so a request is used up by
-    the first response after it, as in :func:`spanlake.operators.access_log.correlate_log`. Equal responses of one id (replays) are one; those without an id
-    meet nobody and pass by. State of both steps is dropped once the watermark passes. An id that comes back k times within ``max_wait`` meets itself k times per response.
+    At one time a request comes before a response; so a request is used up by the first response after it, as in :func:`spanlake.operators.access_log.correlate_log`. Equal responses of
+    one id (replays) are one; those without an id meet nobody and pass by.
+
+    No event is joined. Time is cut into steps of 1/256 of ``max_wait``: the events of an id in a step are put in order, and the last event before a step is found among those that end the
+    id's steps, at most 514 of them. So an id that comes back k times costs k rows. A response is told at the end of the span of ``max_wait`` that it lies in, once the watermark passes it.
     """
     bare = responses.drop("request_method", "request_path", "duration_ms")
-    answered = _timed(bare.where(F.col("request_id").isNotNull()), "answered_at", lateness)
-    before = (F.col("event_at") < F.col("answered_at")) | ((F.col("event_at") == F.col("answered_at")) & (F.col("event.kind") == 0))
-    near = (F.col("event_at") <= F.col("answered_at")) & (F.col("event_at") >= F.col("answered_at") - F.expr(f"interval {max_wait}"))
-    met = answered.join(_events(requests, responses, lateness), (F.col("id") == F.col("event_id")) & near & before, "left")
-    last = met.select("answered_at", "id", "digest", F.struct(*bare.columns).alias("response"), "event")
-    last = last.groupBy("answered_at", "id", "digest").agg(F.first("response").alias("response"), F.max("event").alias("event"))
+    wait = _seconds(requests.sparkSession, max_wait)
+    step = max(1, math.ceil(wait / _LINK_STEPS))
+    # Spans are whole steps, and no shorter than the wait.
+    span = step * max(1, math.ceil(wait / step))
+
+    def step_of(at: str) -> Column:
+        second = F.unix_seconds(at)
+        return (second - F.pmod(second, F.lit(step))).alias("step")
+
+    # Events of one id and time: the request among them, the last one, and the distinct responses.
     asked = F.when(F.col("event.kind") == 0, F.col("event"))
-    linked = last.select("response.*", *[asked[c].alias(f"request_{c}") for c in ("method", "path", "timestamp")])
+    same = _events(requests, bare, lateness, carried=True).groupBy("at", "id").agg(F.max(asked).alias("asked"), F.max("event").alias("event"), F.collect_set("row").alias("rows"))
+    entries = same.select(F.window("at", f"{span} seconds").alias("span"), "id", step_of("at"), F.struct("at", "event", "asked", "rows").alias("entry"))
+    entries = entries.select(F.window_time("span").alias("until"), "id", "step", "entry", F.lit(None).alias("before"))
+
+    # The last event of each step, and the one before it, in a span or the span before.
+    ends = _events(requests, bare, lateness).groupBy(F.window("at", f"{step} seconds").alias("step"), "id").agg(F.max(F.struct("at", "event")).alias("end"))
+    ends = ends.select(F.window_time("step").alias("step_end"), "id", "end")
+    ends = ends.groupBy(F.window("step_end", f"{2 * span} seconds", f"{span} seconds").alias("spans"), "id").agg(F.sort_array(F.collect_list("end")).alias("ends"))
+    ends = ends.select(F.window_time("spans").alias("until"), F.col("spans.end").alias("end"), "id", _with_earlier("ends", F.lit(None), F.col("ends")))
+    own = F.col("pair.ends.at") >= F.col("end") - F.expr(f"interval {span} seconds")
+    before = ends.where(own & F.col("pair.earlier").isNotNull()).select("until", "id", step_of("pair.ends.at"), F.lit(None).alias("entry"), F.col("pair.earlier").alias("before"))
+
+    met = entries.unionByName(before).groupBy("until", "id", "step").agg(F.sort_array(F.collect_list("entry")).alias("entries"), F.max("before").alias("before"))
+    ended = F.transform("entries", lambda entry: F.struct(entry["at"].alias("at"), entry["event"].alias("event")))
+    met = met.select(_with_earlier("entries", F.col("before"), ended)).select("pair.entries.*", "pair.earlier")
+    near = F.col("earlier.at") >= F.col("at") - F.expr(f"interval {max_wait}")
+    met = met.select(F.explode("rows").alias("row"), F.coalesce("asked", F.when(near, F.col("earlier.event"))).alias("event"))
+    linked = met.select(*_unpacked(bare), *[asked[c].alias(f"request_{c}") for c in ("method", "path", "timestamp")])
     linked = linked.unionByName(bare.where(F.col("request_id").isNull()), allowMissingColumns=True)
     return linked.withColumn("duration_ms", iso_duration_ms(F.col("request_timestamp"), F.col("timestamp")))
 
 
-#: Steps that ``max_wait`` is cut into.
+#: Steps that ``max_wait`` is cut into to find open requests.
 _STEPS = 32
 
 
@@ -278,9 +316,6 @@ def open_requests_stream(
     """
     spark = requests.sparkSession
     step = max(1, int(_seconds(spark, max_wait) // _STEPS))
-    maps = [c for c, t in requests.dtypes if t.startswith("map<")]
-    # Sets cannot hold maps.
-    row = F.struct(*[F.map_entries(c).alias(c) if c in maps else F.col(c) for c in requests.columns])
     sides = []
     for log, kind in ((requests, 0), (responses.where(F.col("request_id").isNotNull()), 1)):
         own = F.coalesce("request_id", F.concat(F.lit("\x00"), _digest())) if kind == 0 else F.col("request_id")
@@ -290,7 +325,7 @@ def open_requests_stream(
         return F.window("at", f"{step} seconds").alias("step")
 
     def entries(carried: bool) -> DataFrame:
-        rows = [log.select(*told, *([row.alias("row") if k == 0 else F.lit(None).alias("row")] if carried else [])) for k, (log, *told) in enumerate(sides)]
+        rows = [log.select(*told, *([_packed(requests) if k == 0 else F.lit(None).alias("row")] if carried else [])) for k, (log, *told) in enumerate(sides)]
         return rows[0].unionByName(rows[1]).withWatermark("at", lateness)
 
     # Requests of one id and time, and whether a response came at that time.
@@ -303,7 +338,7 @@ def open_requests_stream(
     later = (F.col("event_until") > F.col("until")) & (F.col("event_until") <= F.col("until") + wait + F.expr(f"interval {step} seconds"))
     joined = last.join(first, (F.col("id") == F.col("event_id")) & later & (F.col("event_at") <= F.col("asked_at") + wait), "left")
     left = joined.where(F.col("event_id").isNull()).select(F.explode("rows").alias("row"))
-    return left.select(*[F.map_from_entries(f"row.{c}").alias(c) if c in maps else F.col(f"row.{c}").alias(c) for c in requests.columns])
+    return left.select(*_unpacked(requests))
 
 
 def drop_duplicate_spans(spans: DataFrame, lateness: str = "1 hour") -> DataFrame:

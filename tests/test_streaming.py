@@ -240,6 +240,45 @@ def test_open_requests_of_a_busy_id(spark):
     assert 0 < sum(o["numRowsUpdated"] for o in joins) < 150
 
 
+def test_links_of_a_busy_id(spark):
+    """An id that comes back is put in order step by step, not joined with itself; the last event is found in the same step, in an earlier one, and in the span before."""
+    source, out = scratch_path(spark, "src"), scratch_path(spark, "linked")
+
+    def at(second):
+        return f"2024-01-01T{second // 3600:02d}:{second // 60 % 60:02d}:{second % 60:02d}"
+
+    # Id a every 9 seconds for four hours, b rarely, c with responses one wait, and a little more, after its requests.
+    told = {("a", 9 * k, k * k % 7 > 2, "") for k in range(1600)} | {("b", 1700 * k, k % 3 == 1, "") for k in range(9)}
+    told |= {("c", 100, False, ""), ("c", 7300, True, ""), ("c", 8000, False, ""), ("c", 15201, True, "")}
+    # At one time: a request before the response, two requests, two responses that differ.
+    told |= {("d", 30, False, ""), ("d", 30, True, ""), ("d", 50, False, "/x"), ("d", 50, False, "/y"), ("d", 60, True, "x"), ("d", 60, True, "y"), ("d", 61, True, "")}
+    entries = [
+        dict(type="response" if answer else "request", request_id=i, timestamp=at(second), path=None if answer else what or f"/{second}", body=what if answer else None)
+        for i, second, answer, what in sorted(told)
+    ]
+    none = dict(type="response", request_id=None, timestamp=at(50))
+    for some in (entries[::2], entries[1::2] + [none, none], entries[::5]):
+        add(log(spark, *some), source)
+    late = "2024-02-01T00:00:00"
+    add(log(spark, dict(type="request", request_id="z", timestamp=late), dict(type="response", request_id="y", timestamp=late)), source)
+    stream = streaming.stream_table(spark, source, COLUMNS)
+    linked = streaming.correlate_stream(access_log.filter_log(stream, "request"), access_log.filter_log(stream, "response"))
+    query = streaming.start_append_sink(linked, out, scratch_path(spark, "cp"))
+    query.awaitTermination()
+    want = [("None", at(50), "None", "None", "None")] * 2
+    for i, second, answer, what in told:
+        if answer:
+            before = [e for e in told if e[0] == i and second - 7200 <= e[1] <= second and (e[1] < second or not e[2])]
+            last = max(before, key=lambda e: (e[1], e[2], e[3]), default=None)
+            path, elapsed = (None, None) if last is None or last[2] else (last[3] or f"/{last[1]}", 1000.0 * (second - last[1]))
+            want.append((i, at(second), what, str(path), str(elapsed)))
+    found = [tuple(str(r[c]) for c in ("request_id", "timestamp", "body", "request_path", "duration_ms")) for r in spark.read.parquet(out).collect() if r["request_id"] != "y"]
+    assert sorted(found) == sorted(want)
+    used = [o for p in query.recentProgress for o in p["stateOperators"]]
+    assert used and all(o["operatorName"] != "symmetricHashJoin" for o in used)
+    assert sum(o["numRowsUpdated"] for o in used) < 4 * len(told)
+
+
 def test_lake_sink_of_many_shards(spark):
     """The files of a lake follow its bytes, not its shards; folders that no kept version names go; folders of the earlier layout are read and joined with new ones."""
     source, lake = scratch_path(spark, "src"), scratch_path(spark, "lake")
