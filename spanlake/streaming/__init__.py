@@ -233,20 +233,20 @@ def _unpacked(log: DataFrame) -> list[Column]:
     return [(F.map_from_entries(f"row.{c}") if t.startswith("map<") else F.col(f"row.{c}")).alias(c) for c, t in log.dtypes]
 
 
-def _events(requests: DataFrame, responses: DataFrame, lateness: str, carried: bool = False) -> DataFrame:
-    """All entries with an id, as ``id``, ``at`` and ``event``; responses are ``carried`` as ``row``."""
+def _events(requests: DataFrame, responses: DataFrame, lateness: str, *carried: Column) -> DataFrame:
+    """All entries with an id, as ``id``, ``at``, ``kind`` (0: request) and ``asked``, what a response is told of its request; responses with what is ``carried``."""
     sides = []
     for log, kind in ((requests, 0), (responses, 1)):
-        asked = [F.col(c) if kind == 0 else F.lit(None).cast("string").alias(c) for c in ("method", "path")]
-        told = F.struct("timestamp", F.lit(kind).alias("kind"), *asked).alias("event")
-        row = [_packed(log) if kind == 1 else F.lit(None).alias("row")] if carried else []
-        sides.append(log.where(F.col("request_id").isNotNull()).select(F.col("request_id").alias("id"), F.to_timestamp("timestamp").alias("at"), told, *row))
+        told = F.struct("timestamp", "method", "path") if kind == 0 else F.lit(None)
+        rows = [c if kind == 1 else F.lit(None).alias("row") for c in carried]
+        named = log.where(F.col("request_id").isNotNull())
+        sides.append(named.select(F.col("request_id").alias("id"), F.to_timestamp("timestamp").alias("at"), F.lit(kind).alias("kind"), told.alias("asked"), *rows))
     return sides[0].unionByName(sides[1]).withWatermark("at", lateness)
 
 
-def _with_earlier(entries: str, first: Column, earlier: Column) -> Column:
-    """One row per element of the sorted array ``entries`` with what ``earlier`` holds of the element before it; ``first`` is before them all."""
-    return F.explode(F.arrays_zip(entries, F.slice(F.concat(F.array(first), earlier), 1, F.size(entries)).alias("earlier"))).alias("pair")
+def _answer(entries: str, place: Column) -> Column:
+    """Whether there is a response at this place."""
+    return F.coalesce(F.get(entries, place)["kind"] == 1, F.lit(False))
 
 
 #: Steps that ``max_wait`` is cut into to link responses.
@@ -262,7 +262,7 @@ def correlate_stream(
     one id (replays) are one; those without an id meet nobody and pass by.
 
     No event is joined. Time is cut into steps of 1/256 of ``max_wait``: the events of an id in a step are put in order, and the last event before a step is found among those that end the
-    id's steps, at most 514 of them. So an id that comes back k times costs k rows. A response is told at the end of the span of ``max_wait`` that it lies in, once the watermark passes it.
+    id's steps, at most 512 of them. So an id that comes back k times costs k rows. A response is told at the end of the span of ``max_wait`` that it lies in, once the watermark passes it.
     """
     bare = responses.drop("request_method", "request_path", "duration_ms")
     wait = _seconds(requests.sparkSession, max_wait)
@@ -274,26 +274,39 @@ def correlate_stream(
         second = F.unix_seconds(at)
         return (second - F.pmod(second, F.lit(step))).alias("step")
 
-    # Events of one id and time: the request among them, the last one, and the distinct responses.
-    asked = F.when(F.col("event.kind") == 0, F.col("event"))
-    same = _events(requests, bare, lateness, carried=True).groupBy("at", "id").agg(F.max(asked).alias("asked"), F.max("event").alias("event"), F.collect_set("row").alias("rows"))
-    entries = same.select(F.window("at", f"{span} seconds").alias("span"), "id", step_of("at"), F.struct("at", "event", "asked", "rows").alias("entry"))
+    entry = F.struct("at", "kind", "asked", "row").alias("entry")
+    entries = _events(requests, bare, lateness, _packed(bare)).select(F.window("at", f"{span} seconds").alias("span"), "id", step_of("at"), entry)
     entries = entries.select(F.window_time("span").alias("until"), "id", "step", "entry", F.lit(None).alias("before"))
 
-    # The last event of each step, and the one before it, in a span or the span before.
-    ends = _events(requests, bare, lateness).groupBy(F.window("at", f"{step} seconds").alias("step"), "id").agg(F.max(F.struct("at", "event")).alias("end"))
+    # The last event of each step, and the one before it, in the same span or the one before.
+    end = F.struct("at", "kind", "asked")
+    ends = _events(requests, bare, lateness).groupBy(F.window("at", f"{step} seconds").alias("step"), "id").agg(F.max(end).alias("end"))
     ends = ends.select(F.window_time("step").alias("step_end"), "id", "end")
     ends = ends.groupBy(F.window("step_end", f"{2 * span} seconds", f"{span} seconds").alias("spans"), "id").agg(F.sort_array(F.collect_list("end")).alias("ends"))
-    ends = ends.select(F.window_time("spans").alias("until"), F.col("spans.end").alias("end"), "id", _with_earlier("ends", F.lit(None), F.col("ends")))
-    own = F.col("pair.ends.at") >= F.col("end") - F.expr(f"interval {span} seconds")
-    before = ends.where(own & F.col("pair.earlier").isNotNull()).select("until", "id", step_of("pair.ends.at"), F.lit(None).alias("entry"), F.col("pair.earlier").alias("before"))
-
-    met = entries.unionByName(before).groupBy("until", "id", "step").agg(F.sort_array(F.collect_list("entry")).alias("entries"), F.max("before").alias("before"))
-    ended = F.transform("entries", lambda entry: F.struct(entry["at"].alias("at"), entry["event"].alias("event")))
-    met = met.select(_with_earlier("entries", F.col("before"), ended)).select("pair.entries.*", "pair.earlier")
-    near = F.col("earlier.at") >= F.col("at") - F.expr(f"interval {max_wait}")
-    met = met.select(F.explode("rows").alias("row"), F.coalesce("asked", F.when(near, F.col("earlier.event"))).alias("event"))
-    linked = met.select(*_unpacked(bare), *[asked[c].alias(f"request_{c}") for c in ("method", "path", "timestamp")])
+    follows = F.explode(F.arrays_zip("ends", F.concat(F.array(F.lit(None)), "ends").alias("before"))).alias("end")
+    ends = ends.select(F.window_time("spans").alias("until"), F.col("spans.end").alias("spans_end"), "id", follows).select("until", "spans_end", "id", "end.*")
+    own = F.col("ends.at") >= F.col("spans_end") - F.expr(f"interval {span} seconds")
+    before = ends.where(own & F.col("before").isNotNull()).select("until", "id", step_of("ends.at"), F.lit(None).alias("entry"), "before")
+
+    met = entries.unionByName(before).groupBy("until", "id", "step").agg(F.sort_array(F.collect_set("entry")).alias("entries"), F.max("before").alias("before"))
+    # Responses of one time stand together, and the same event is before them all.
+    first = F.filter(
+        F.sequence(F.lit(0), F.size("entries") - 1),
+        lambda i: _answer("entries", i) & ~(_answer("entries", i - 1) & (F.get("entries", i - 1)["at"] == F.get("entries", i)["at"])),
+    )
+    met = met.where(F.size("entries") > 0).select("entries", "before", first.alias("first"))
+    after = F.concat(F.slice("first", 2, F.size("first")), F.array(F.size("entries"))).alias("after")
+
+    def run(place: Column) -> Column:
+        here = F.filter(F.slice("entries", place["first"] + 1, place["after"] - place["first"]), lambda entry: entry["kind"] == 1)
+        last = F.get("entries", place["first"] - 1)
+        last = F.when(place["first"] > 0, F.struct(*[last[c].alias(c) for c in ("at", "kind", "asked")])).otherwise(F.col("before"))
+        return F.struct(F.get("entries", place["first"])["at"].alias("at"), here["row"].alias("rows"), last.alias("last"))
+
+    met = met.select("entries", "before", F.arrays_zip("first", after).alias("places")).select(F.explode(F.transform("places", run)).alias("run")).select("run.*")
+    asked = F.when(F.col("last.at") >= F.col("at") - F.expr(f"interval {max_wait}"), F.col("last.asked"))
+    linked = met.select(F.explode("rows").alias("row"), asked.alias("asked"))
+    linked = linked.select(*_unpacked(bare), *[F.col(f"asked.{c}").alias(f"request_{c}") for c in ("method", "path", "timestamp")])
     linked = linked.unionByName(bare.where(F.col("request_id").isNull()), allowMissingColumns=True)
     return linked.withColumn("duration_ms", iso_duration_ms(F.col("request_timestamp"), F.col("timestamp")))
 
