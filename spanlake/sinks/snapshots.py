@@ -87,16 +87,24 @@ def _create(spark: SparkSession, path: str, text: str) -> bool:
     out = files.create(draft, False)
     out.write(bytearray(text.encode()))
     out.close()
-    context = hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
-    # Without options, a rename onto a file that is there fails.
-    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    local = files.getUri().getScheme() == "file"
     try:
-        context.rename(files.makeQualified(draft), files.makeQualified(target), options)
+        if local:
+            # There a rename looks first and moves then, so that two writers may both win; a link is made in one step.
+            nio = spark._jvm.java.nio.file
+            nio.Files.createLink(*[nio.Paths.get(files.makeQualified(p).toUri()) for p in (target, draft)])
+        else:
+            context = hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+            # Without options, a rename onto a file that is there fails.
+            options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+            context.rename(files.makeQualified(draft), files.makeQualified(target), options)
     except Py4JJavaError as error:
         files.delete(draft, False)
         if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
             return False
         raise
+    if local:
+        files.delete(draft, False)
     return True
 
 

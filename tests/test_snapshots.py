@@ -56,6 +56,24 @@ def test_writers_at_once(spark):
     assert sorted(r[0] for r in snapshots.read(spark, path).collect()) == list(range(40))
 
 
+def test_one_writer_wins(spark):
+    """Of eight writers that put down one file at once, one wins, and the file is that one's."""
+    for n in range(40):
+        path, won, ready = f"{scratch_path(spark, 'made')}/{n}.json", [], threading.Barrier(8)
+
+        def write(i):
+            ready.wait()
+            if snapshots._create(spark, path, str(i) * 600):
+                won.append(i)
+
+        jobs = [threading.Thread(target=write, args=(i,)) for i in range(8)]
+        for job in jobs:
+            job.start()
+        for job in jobs:
+            job.join()
+        assert len(won) == 1 and spark.read.text(path).first()[0] == str(won[0]) * 600
+
+
 def test_compaction_that_lost(spark):
     """A compaction whose folders another one took commits nothing."""
     path = scratch_path(spark, "snap")
